@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekspark.llm.decontaminate import contamination_report
+from seekspark.llm.language_id import language_report
 from seekspark.llm.line_dedup import line_report
 from seekspark.llm.near_dedup import near_duplicate_report
 from seekspark.llm.sharding import shard
+from seekspark.llm.toxicity import toxicity_report
 from seekspark.llm.url_filter import filter_urls
 from seekspark.llm.vector_search import top_k
 
@@ -25,6 +27,14 @@ def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +56,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_top_k_search, op5_decontamination, op7_line_dedup, op8_sharding, op9_minhash_near_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op2_top_k_search, op3_toxicity, op4_language_id, op5_decontamination, op7_line_dedup, op8_sharding, op9_minhash_near_dedup, op10_url_filters)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
