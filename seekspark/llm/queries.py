@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekspark.llm.common import ship
 from seekspark.llm.decontaminate import contamination_report
 from seekspark.llm.language_id import language_report
 from seekspark.llm.line_dedup import line_report
 from seekspark.llm.near_dedup import near_duplicate_report
+from seekspark.llm.sentencepiece_lattice import round_trip
 from seekspark.llm.sharding import shard
 from seekspark.llm.toxicity import toxicity_report
 from seekspark.llm.url_filter import filter_urls
@@ -20,9 +22,14 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -56,7 +63,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_top_k_search, op3_toxicity, op4_language_id, op5_decontamination, op7_line_dedup, op8_sharding, op9_minhash_near_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_top_k_search, op3_toxicity, op4_language_id, op5_decontamination, op7_line_dedup, op8_sharding, op9_minhash_near_dedup, op10_url_filters)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
