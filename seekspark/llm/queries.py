@@ -14,6 +14,7 @@ from seekspark.llm.line_dedup import line_report
 from seekspark.llm.near_dedup import near_duplicate_report
 from seekspark.llm.sentencepiece_lattice import round_trip
 from seekspark.llm.sharding import shard
+from seekspark.llm.suffix_dedup import repeat_report
 from seekspark.llm.toxicity import toxicity_report
 from seekspark.llm.url_filter import filter_urls
 from seekspark.llm.vector_search import top_k
@@ -46,6 +47,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +68,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_top_k_search, op3_toxicity, op4_language_id, op5_decontamination, op7_line_dedup, op8_sharding, op9_minhash_near_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_top_k_search, op3_toxicity, op4_language_id, op5_decontamination, op6_suffix_array_dedup, op7_line_dedup, op8_sharding, op9_minhash_near_dedup, op10_url_filters)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
