@@ -127,12 +127,12 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of whole texts of at most limit bytes, or one longer text."""
+def chunks(off: np.ndarray, limit: int = CHUNK_BYTES, most: int = 10_000) -> Iterator[tuple[int, int]]:
+    """Runs of at most `most` whole texts of at most limit bytes together, or one longer text."""
     n, a = len(off) - 1, 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
-        yield a, min(b, n)
+        b = min(n, a + most, max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1))
+        yield a, b
         a = b
 
 

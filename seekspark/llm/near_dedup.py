@@ -23,8 +23,8 @@ from seekspark.llm.components import components
 
 #: A pair at similarity 0.8 shares none of the 32 bands of 5 with probability 3e-6.
 BANDS, ROWS = 32, 5
-#: In larger buckets whose documents aren't all linked yet, a pair has to share one more band.
-WIDE = 64
+#: Bits of the one-bit sketch that pairs behind the bucket's lead are screened with, and the standard deviations that a pair may lie below the threshold (a pair at the threshold is lost with probability 3e-6).
+SCREEN_BITS, SCREEN_SIGMA = 2048, 4.5
 
 _U = np.uint64
 _EMPTY = _U(2**64 - 1)
@@ -114,12 +114,29 @@ def _sets(n: int):
     return run
 
 
+def _screens(n: int):
+    """The least bit of each of SCREEN_BITS sketch values: equal with probability (1 + similarity) / 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = utf8(batch.column(1))
+            for a, b in chunks(off, most=1000):
+                s, begin = shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], n)
+                words = np.packbits((sketch(s, begin, SCREEN_BITS) & _U(1)).astype(bool), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(words.shape[1]))], names=["id", *(f"b{k}" for k in range(words.shape[1]))])
+
+    return run
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").join(small_side(ids, ids.count()), "doc_id", "left_semi")
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough."""
     pairs = stored(pairs, "pairs")
     ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
-    texts = docs.select("doc_id", "text").join(small_side(ids, ids.count()), "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets(n), "id long, s array<long>"), "sets")
+    sets = stored(_texts_of(docs, ids).mapInArrow(_sets(n), "id long, s array<long>"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return stored(both.withColumn("c", common).where(F.expr(f"100L * c >= {percent}L * (size(a) + size(b) - c)")).select("u", "v"), "confirmed")
@@ -141,26 +158,32 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     base = stored(by_partition(docs.select("doc_id", "text"), _sketches(words, bands, rows), T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])).drop("text"), "sketches")
     real = base.where("doc_id is not null and n_shingles > 0")
     classes = stored(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("x"), F.count("*").alias("copies")).select("h1", "h2", "rep", "copies", "x.*"), "classes")
-    members = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("k"))
+    members = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "copies", F.posexplode("bands").alias("band", "k"))
 
-    # Each member of a bucket against the bucket's first.
-    leads = members.groupBy("k").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    bucket = stored(members.join(leads, "k").select("k", "id", "n", "size", F.col("lead.id").alias("u"), F.col("lead.n").alias("m")), "buckets")
-    star = bucket.where("id != u").where(_alike(percent)).select("u", F.col("id").alias("v")).distinct()
+    # Each member of a bucket against the bucket's lead, the text with the most copies.
+    leads = members.groupBy("k").agg(F.min(F.struct((-F.col("copies")).alias("first"), "id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
+    bucket = stored(members.drop("copies").join(leads, "k").select("k", "band", "id", "n", "size", F.col("lead.id").alias("u"), F.col("lead.n").alias("m")), "buckets")
+    star = bucket.where("id != u").where(_alike(percent)).select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
     real_docs = docs.where("doc_id is not null")
     links = _confirmed(real_docs, star, words, percent)
     labels = components(links)
 
-    # The others of a bucket, where more than one component is left.
-    open_rows = bucket.where("size > 2").join(labels, "id", "left").select("k", "id", "n", "size", "u", F.coalesce("component", "id").alias("c"))
+    # The others of a bucket, where more than one component is left: pairs across components that pass the screen.
+    open_rows = bucket.where("size > 2").join(labels, "id", "left").select("k", "band", "id", "n", "u", F.coalesce("component", "id").alias("c"))
     open_rows = stored(open_rows, "open")
     mixed = open_rows.groupBy("k").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("k")
-    rest = open_rows.join(mixed, "k", "left_semi").where("id != u")
-    narrow = rest.where(F.col("size") <= WIDE).select("k", "id", "n", "c")
-    wide = rest.where(F.col("size") > WIDE).join(members.select("id", F.col("k").alias("k2")), "id").where("k != k2").select(F.xxhash64("k", "k2").alias("k"), "id", "n", "c")
-    seats = stored(narrow.union(wide), "rest")
-    a, b = seats, seats.select("k", F.col("id").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-    more = a.join(b, "k").where("id < v and c != d").where(_alike(percent)).select(F.col("id").alias("u"), "v").distinct().join(star, ["u", "v"], "left_anti")
+    rest = stored(open_rows.join(mixed, "k", "left_semi").where("id != u").drop("u"), "rest")
+    ids = stored(rest.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    n_words = SCREEN_BITS // 64
+    screens = _texts_of(real_docs, ids).mapInArrow(_screens(words), "id long, " + ", ".join(f"b{k} long" for k in range(n_words)))
+    screens = stored(screens.dropDuplicates(["id"]).join(classes.select(F.col("rep").alias("id"), "bands"), "id"), "screens")
+    seats = stored(rest.join(screens, "id"), "seats")
+    far = (1 - percent / 100) / 2
+    most = int(SCREEN_BITS * far + SCREEN_SIGMA * (SCREEN_BITS * far * (1 - far)) ** 0.5)
+    apart = " + ".join(f"bit_count(a.b{k} ^ b.b{k})" for k in range(n_words))
+    shared = "array_position(zip_with(a.bands, b.bands, (x, y) -> x = y), true) = a.band + 1"  # a pair counts in the first bucket that it shares
+    more = seats.alias("a").join(seats.alias("b"), F.expr(f"a.k = b.k and a.id < b.id and a.c != b.c and 100L * least(a.n, b.n) >= {percent}L * greatest(a.n, b.n) and {apart} <= {most} and {shared}"))
+    more = more.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
     more_links = _confirmed(real_docs, more, words, percent)
     if not more_links.isEmpty():
         labels = components(links.union(more_links))
