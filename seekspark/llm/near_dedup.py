@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
 
     copied = classes.where("copies > 1").select("h1", "h2", "rep")
     out = base.drop("bands").join(small_side(copied, copied.count()), ["h1", "h2"], "left")
-    out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+    out = out.withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     labels = labels.select(F.col("id").alias("rep"), "component")
     out = out.join(small_side(labels, labels.count()), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
