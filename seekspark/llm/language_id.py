@@ -161,8 +161,12 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, *, per_lang: int = SAMPLE_PER_LANG, max_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits on a bounded sample of the labelled rows: per_lang texts a language, by hash order."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.octet_length("text").between(1, max_bytes)).select("doc_id", "text", "lang")
-    order = W.Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    ids = rows.select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= per_lang).orderBy(F.xxhash64("text"), "lang", "text").collect()
+    # Three times as many as needed are drawn by hash before any are sorted.
+    h, share = F.xxhash64("doc_id"), F.lit(0)
+    for r in rows.groupBy("lang").count().collect():  # the languages
+        share = F.when(F.col("lang") == r.lang, min(1 << 30, (3 * per_lang << 30) // r["count"])).otherwise(share)
+    order = W.Window.partitionBy("lang").orderBy(h, "doc_id", "text")
+    ids = rows.where(F.pmod(h, F.lit(1 << 30)) < share).select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= per_lang).orderBy(F.xxhash64("text"), "lang", "text").collect()
     langs = sorted({r.lang for r in ids})
     return Model(langs).fit([r.text for r in ids], [langs.index(r.lang) for r in ids])
 
@@ -176,7 +180,7 @@ def _labeller(shared, text_at: int):
             raw, off = utf8(texts)
             n = len(off) - 1
             lang, score = np.full(n, -1), np.zeros(n)
-            for a, b in chunks(off) if model.langs else ():
+            for a, b in chunks(off, 1 << 20) if model.langs else ():
                 w = Words(raw[off[a] : off[b]], off[a : b + 1] - off[a])
                 g = model.words(w)
                 mass = np.stack([np.bincount(w.doc, g[:, k], b - a) for k in range(len(model.langs))], 1)

@@ -33,7 +33,7 @@ VOCABULARY, LONGEST = 200_000, 48
 #: What a character without a piece scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Words that a task remembers besides the vocabulary.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 

@@ -25,7 +25,9 @@ from seekspark.llm.common import NO_ID, Prefix, by_partition, chunks, expand, fr
 
 LENGTH, GRAM = 100, 20
 #: Contexts of one anchor that one shard takes, and the bytes of contexts that are sorted at once.
-SHARD_ROWS, SHARD_BYTES = 2048, 1 << 20
+SHARD_ROWS, SHARD_BYTES = 2048, 1 << 19
+#: Parts in which the first strings of one shard are merged with those of the others.
+MERGE_BUCKETS = 32
 #: Repeated anchors that are sent to every executor (16 bytes each); more are joined.
 SENT_ANCHORS = 4_000_000
 #: Documents whose removed spans are sent to every executor; more are joined.
@@ -57,84 +59,85 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[n
     return best, h[best]
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first `depth` symbols or more (symbols are 0 to 511).
+def _sorted_by(major: np.ndarray, minor: np.ndarray, items: np.ndarray, bits: int) -> np.ndarray:
+    """The order of (major, minor, item); in one sort of packed words while they fit."""
+    if 3 * bits <= 64:
+        packed = (major.astype(np.uint64) << _U(2 * bits)) | (minor.astype(np.uint64) << _U(bits)) | items.astype(np.uint64)
+        packed.sort()
+        return (packed & _U((1 << bits) - 1)).astype(np.int64)
+    return items[np.lexsort((items, minor, major))]
 
-    Ranks start from 7 symbols and double; each round sorts only the groups that are
-    still equal, by the rank of what follows.
+
+def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Suffixes of a byte array in order; each ends after `left` bytes, and an end is smaller than any byte.
+
+    Larsson-Sadakane: ranks start from the first bytes, and each round doubles the length
+    by which suffixes are sorted, but only within groups that are still equal, by the
+    rank of what follows. Equal suffixes stay in text order.
     """
-    n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.uint64), np.zeros(7, np.uint64)])
+    n, head = len(text), 4
+    bits = max(2, (n + 1).bit_length())
+    padded = np.concatenate([text, np.zeros(head, np.uint8)])
     key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = (key << _U(9)) | padded[k : k + n]
-    sa = np.argsort(key, kind="stable")
-    new = np.r_[True, key[sa][1:] != key[sa][:-1]]
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    h = 7
+    for k in range(head):
+        key = (key << _U(9)) | np.where(left > k, padded[k : k + n].astype(np.uint64) + _U(1), _U(0))
+    if 9 * head + bits <= 64:
+        packed = (key << _U(bits)) | np.arange(n, dtype=np.uint64)
+        packed.sort()
+        sa = (packed & _U((1 << bits) - 1)).astype(np.int64)
+    else:
+        sa = np.argsort(key, kind="stable")
+    ordered, ended = key[sa], left[sa] < head
+    # A suffix that has ended stands by itself, in text order among its equals.
+    new = np.r_[True, ordered[1:] != ordered[:-1]] | ended if n else np.zeros(0, bool)
+    rank = np.full(n + 1, -1, np.int64)
+    h = head
     while True:
         first = np.flatnonzero(new)
         size = np.diff(np.r_[first, n])
         rank[sa] = np.repeat(first, size)
-        open_groups = size > 1
-        if h >= depth or not open_groups.any():
+        open_groups = np.flatnonzero(size > 1)
+        if not len(open_groups):
             return sa
         place, group = expand(first[open_groups], size[open_groups])
         own = sa[place]
-        follow = rank[np.minimum(own + h, n)]
-        order = np.argsort(group.astype(np.int64) * (n + 2) + follow + 1, kind="stable")
-        sa[place] = own[order]
-        group, follow = group[order], follow[order]
-        new[place] = np.r_[True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])]
+        # What follows an ended suffix ranks 0; the others' ranks move up by one.
+        own = _sorted_by(group, np.where(left[own] > h, rank[np.minimum(own + h, n)] + 1, 0), own, bits)
+        sa[place] = own
+        follow = np.where(left[own] > h, rank[np.minimum(own + h, n)] + 1, 0)
+        new[place] = np.r_[True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])] | (follow == 0)
         h *= 2
 
 
-def common_prefixes(symbols: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """For each place in sa the common prefix with the place before, counted up to cap.
+def common_prefixes(text: np.ndarray, sa: np.ndarray, left: np.ndarray, cap: int) -> np.ndarray:
+    """For each suffix in sa (all of which have cap bytes left) the common prefix with the one before, up to cap.
 
     Kasai's bound in text order, 16 positions apart at once: a suffix shares with its
-    predecessor at least one symbol less than the suffix one position earlier did.
+    predecessor at least one byte less than the suffix one position earlier did, as long
+    as the suffix after that one's predecessor is in sa too. Bytes are compared by eights.
     """
-    n, stride = len(symbols), 16
-    before = np.full(n, -1, np.int64)
+    n, stride = len(text), 16
+    before = np.full(n + 1, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    padded = np.concatenate([symbols.astype(np.uint16), np.zeros(4, np.uint16)])
-    four = np.lib.stride_tricks.sliding_window_view(padded, 4)[:n].copy().view(np.uint64).reshape(-1)
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8)[:n].copy().view(np.uint64).reshape(-1)
+    inside = np.append(left >= cap, False)
     out = np.zeros(n, np.int64)
-    for r in range(stride):
-        i = np.arange(r, n, stride)
-        i = i[before[i] >= 0]
-        j = before[i]
-        lcp = np.maximum(0, out[i - 1] - 1) if r else np.zeros(len(i), np.int64)
-        live = np.arange(len(i))
-        while len(live):  # four symbols at a time
-            a, b = i[live] + lcp[live], j[live] + lcp[live]
-            live = live[(a < n) & (b < n) & (lcp[live] < cap)]
-            live = live[four[i[live] + lcp[live]] == four[j[live] + lcp[live]]]
-            lcp[live] += 4
-        for _ in range(3):
-            a, b = i + lcp, j + lcp
-            ok = np.flatnonzero((a < n) & (b < n))
-            lcp[ok[symbols[a[ok]] == symbols[b[ok]]]] += 1
+    mine = np.flatnonzero(before[:n] >= 0)
+    mine = mine[np.argsort(mine % stride, kind="stable")]
+    for i in np.split(mine, np.searchsorted(mine % stride, np.arange(1, stride))):
+        j, past = before[i], before[i - 1]
+        lcp = np.where((i > 0) & (past >= 0) & inside[past + 1], np.maximum(0, out[i - 1] - 1), 0)
+        live = np.flatnonzero(lcp < cap)
+        while len(live):
+            apart = eight[i[live] + lcp[live]] ^ eight[j[live] + lcp[live]]
+            same = apart == 0
+            lcp[live] += np.where(same, 8, np.bitwise_count((apart & (~apart + _U(1))) - _U(1)) >> 3)
+            live = live[same]
+            live = live[lcp[live] < cap]
         out[i] = np.minimum(lcp, cap)
     return out[sa]
 
 
-def _classes(symbols: np.ndarray, usable: np.ndarray, length: int) -> np.ndarray:
-    """For each usable start a number that equal strings of `length` symbols share."""
-    sa = suffix_array(symbols, len(symbols))  # to the end: Kasai's bound needs the whole order
-    lcp = common_prefixes(symbols, sa, length)
-    ok = np.flatnonzero(usable[sa])
-    least = np.minimum.reduceat(lcp, np.r_[0, ok[:-1] + 1]) if len(ok) else lcp[:0]
-    # reduceat's segments end before the next one's start: each usable place has the least since the usable place before.
-    least[-1:] = lcp[(ok[-2] + 1 if len(ok) > 1 else 0) : ok[-1] + 1].min() if len(ok) else 0
-    number = np.cumsum(least < length)
-    out = np.full(len(symbols), -1, np.int64)
-    out[sa[ok]] = number
-    return out
-
-
 def _firsts(group: np.ndarray, ids: np.ndarray, ts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The earliest row of each group, and which rows start where their group's earliest does (a string may be in several contexts)."""
     order = np.lexsort((starts, ts, ids))
@@ -249,17 +252,15 @@ def _shard(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     yield _found(ids[~first], ts[~first], start[~first], start[~first] + size[~first])
     # The distinct contexts are sorted, each where it is first.
     own, owner = expand(begin[:-1][keep], size[keep])
-    # Symbols are bytes + 1, with a 0 after each context.
-    symbols = np.zeros(len(own) + len(keep), np.int64)
-    place = np.arange(len(own)) + owner
-    symbols[place] = raw[own].astype(np.int64) + 1
     left = np.repeat(size[keep], size[keep]) - (own - begin[:-1][keep][owner])
-    usable = np.zeros(len(symbols), bool)
-    usable[place[left >= length]] = True
-    number = _classes(symbols, usable, length)
+    text = raw[own]
+    sa = suffix_array(text, left)
+    sa = sa[left[sa] >= length]
+    number = np.empty(len(text), np.int64)
+    number[sa] = np.cumsum(common_prefixes(text, sa, left, length) < length)
     w = np.flatnonzero(left >= length)
     c, at = keep[owner[w]], own[w] - begin[:-1][keep][owner[w]] + start[keep[owner[w]]]
-    lead, once = _firsts(number[place[w]], ids[c], ts[c], at)
+    lead, once = _firsts(number[w], ids[c], ts[c], at)
     gone = ~once
     # Neighbouring repeated strings make one span.
     if gone.any():
@@ -274,7 +275,7 @@ def _shard(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         p, q = Prefix(raw), Prefix(raw[::-1])
         w1 = p.of(own[w], own[w] + length).view(np.int64)
         w2 = q.of(len(raw) - own[w] - length, len(raw) - own[w]).view(np.int64)
-        bucket = (w1.view(np.uint64) % (-(-n[c] // SHARD_ROWS)).astype(np.uint64)).astype(np.int64)
+        bucket = (w1.view(np.uint64) % (MERGE_BUCKETS * -(-n[c] // SHARD_ROWS)).astype(np.uint64)).astype(np.int64)
         yield _found(ids[c], ts[c], at, at + length, a[c], bucket, w1, w2)
 
 
@@ -327,6 +328,24 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _found(ids[gone], ts[gone], s[gone], e[gone])
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's spans sorted, and made one where they overlap or touch."""
+    for batch in batches:
+        n = np.asarray(batch.column(2).value_lengths(), dtype=np.int64)
+        flat = batch.column(2).flatten()
+        s, e = (np.asarray(flat.field(k), dtype=np.int64) for k in range(2))
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((s, row))
+        s, e, row = s[order], e[order], row[order]
+        shift = row * (int(e.max()) + 1 if len(e) else 1)
+        reach = np.maximum.accumulate(e + shift) - shift
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (s[1:] > reach[:-1])]) if len(s) else np.zeros(0, np.int64)
+        last = np.r_[new[1:], len(s)] - 1 if len(s) else new
+        begin = np.r_[0, np.cumsum(np.bincount(row[new], minlength=len(n)))].astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(s[new]), pa.array(reach[last])], ["s", "e"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(begin), spans)], names=["id", "t", "spans"])
+
+
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, t, spans): for each text with repeated strings the spans [s, e) of its bytes that they cover."""
     spark = docs.sparkSession
@@ -348,7 +367,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     found = stored(sharded.mapInArrow(_shards(length), _FOUND), "found")
     split = found.where("bucket >= 0").repartition("a", "bucket").sortWithinPartitions("a", "bucket").mapInArrow(_merge, _FOUND)
     gone = found.where("bucket < 0").union(split)
-    return gone.groupBy("id", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    lists = gone.groupBy("id", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return lists.mapInArrow(_united, "id long, t long, spans array<struct<s:long,e:long>>")
 
 
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])

@@ -11,6 +11,7 @@ logistic model that is fitted on labelled rows.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ SAYING = ("said", "says", "called", "calls", "quote", "quoted", "word", "term",
 QUOTES = ('"', "“", "”", "„", "«", "»")
 
 #: The labelled rows that the model is fitted on: so many of each label at most, none longer than so many bytes.
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 4000, 20_000
+SAMPLE_PER_LABEL, SAMPLE_BYTES = 3000, 20_000
 #: Learned terms at most, the evidence that a term needs (log-likelihood ratio), and the words at either side that count as context.
 TERMS, EVIDENCE, CONTEXT = 96, 20.0, 6
 #: Shorter terms have to be spelled exactly.
@@ -207,15 +208,13 @@ def _hashes(words: list[str]) -> np.ndarray:
     return Prefix(raw).of(off[:-1], off[1:])
 
 
-def _words_of(texts: list[str]) -> list[set[str]]:
-    out = []
+def _words_of(texts: list[str]) -> Iterator[set[str]]:
     for t in texts:
         raw, off = utf8(pa.array([t], pa.large_string()))
         low = lowered(raw)
         start, end, _ = word_spans(low, off, _WORD)
         whole = low.tobytes()
-        out.append({whole[a:b].decode("utf-8", "ignore") for a, b in zip(start.tolist(), end.tolist(), strict=True)})
-    return out
+        yield {whole[a:b].decode("utf-8", "ignore") for a, b in zip(start.tolist(), end.tolist(), strict=True)}
 
 
 def _evidence(a: float, b: float, n1: float, n0: float) -> float:
@@ -246,9 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = SAMPLE_PER_LABEL
         if seen[r.toxic] <= per_label:
             sample.append(r)
     texts, y = [r.text for r in sample], np.array([r.toxic for r in sample], np.float64)
-    words = _words_of(texts)
     counts = [Counter(), Counter()]
-    for w, label in zip(words, y, strict=True):
+    for w, label in zip(_words_of(texts), y, strict=True):
         counts[int(label)].update(w)
         counts[int(label)].update({x.encode()[:STEM].decode("utf-8", "ignore") + "*" for x in w if len(x.encode()) > STEM})
     n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())

@@ -312,18 +312,23 @@ def test_suffix_dedup_edges(spark, docs):
 
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(2)
-    x = rng.integers(1, 3, 400)
-    x[150:260] = x[20:130]
-    sa = suffix_dedup.suffix_array(x, len(x))
-    assert sa.tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
-
-    def common(i, j):
-        n = 0
-        while max(i, j) + n < len(x) and x[i + n] == x[j + n]:
-            n += 1
-        return min(n, 100)
-
-    assert suffix_dedup.common_prefixes(x, sa, 100)[1:].tolist() == [common(sa[k], sa[k - 1]) for k in range(1, len(x))]
+    for parts in (1, 5):
+        x = rng.integers(97, 99, 400).astype(np.uint8)
+        x[150:260] = x[20:130]
+        size = 400 // parts
+        left = size - np.arange(400) % size
+        sa = suffix_dedup.suffix_array(x, left)
+        assert sa.tolist() == sorted(range(400), key=lambda i: (x[i : i + left[i]].tolist(), i))
+
+        def common(i, j, most):
+            n = 0
+            while n < most and x[i + n] == x[j + n]:
+                n += 1
+            return n
+
+        most = 60
+        own = sa[left[sa] >= most]
+        assert suffix_dedup.common_prefixes(x, own, left, most)[1:].tolist() == [common(own[k], own[k - 1], most) for k in range(1, len(own))]
 
 
 # ---- 1
