@@ -44,11 +44,11 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with a header, in UTF-8 (with or without a mark) or else in Korean code page 949.
 
-    Bytes that aren't UTF-8 read as replacement characters; a file with one is read anew.
+    The bytes of its lines decide.
     """
     read = lambda encoding: spark.read.csv(path, header=True, schema=schema, encoding=encoding, multiLine=True, enforceSchema=True)
-    text = spark.read.text(path)
-    return read("MS949") if not text.where(F.contains("value", F.lit("�"))).isEmpty() else read("UTF-8")
+    other = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    return read("UTF-8") if other.isEmpty() else read("MS949")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
