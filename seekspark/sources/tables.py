@@ -44,11 +44,15 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with a header, in UTF-8 (with or without a mark) or else in Korean code page 949.
 
-    The bytes of its lines decide.
+    The bytes of its lines decide. Reading code page 949 lets the session use all of
+    Java's charsets from then on, which Spark asks for.
     """
     read = lambda encoding: spark.read.csv(path, header=True, schema=schema, encoding=encoding, multiLine=True, enforceSchema=True)
     other = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return read("UTF-8") if other.isEmpty() else read("MS949")
+    if other.isEmpty():
+        return read("UTF-8")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return read("MS949")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
