@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -243,7 +244,7 @@ def _shard(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     """One shard's repeated spans (bucket -1), and the first strings of split anchors for the merge."""
     ids, ts, start, a, n = (np.asarray(t.column(c), dtype=np.int64) for c in ("id", "t", "start", "a", "n"))
     ctx = t.column("ctx").combine_chunks()
-    size = np.asarray(pa.compute.binary_length(ctx), dtype=np.int64)
+    size = np.asarray(pc.binary_length(ctx), dtype=np.int64)
     raw = np.frombuffer(b"".join(ctx.to_pylist()), np.uint8)
     begin = np.concatenate([[0], np.cumsum(size)])
     whole = Prefix(raw).of(begin[:-1], begin[1:])
@@ -309,7 +310,7 @@ def _held(batches: Iterator[pa.RecordBatch], keys: list[str], weigh, limit: int)
 
 def _shards(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _held(batches, ["a", "salt"], lambda b: int(pa.compute.sum(pa.compute.binary_length(b.column(6))).as_py() or 0), SHARD_BYTES):
+        for table in _held(batches, ["a", "salt"], lambda b: int(pc.sum(pc.binary_length(b.column(6))).as_py() or 0), SHARD_BYTES):
             yield from _shard(table, length)
 
     return run
