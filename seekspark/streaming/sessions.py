@@ -64,9 +64,14 @@ def session_events(messages: DataFrame) -> DataFrame:
 
 
 def for_each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):
-    """Runs a batch plan on each micro-batch and writes its rows to a folder of their own batch: a batch that is run again replaces its rows."""
+    """Runs a batch plan on each micro-batch and writes its rows to a folder of their own batch: a batch that is run again replaces its rows.
+
+    Ends when all that was there is done; timeouts are seen with the next messages.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{sink}/batch={n}")
 
+    # Else timeouts by the clock ask for empty batches without end.
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
