@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from seekspark.llm.common import LETTER, Prefix, by_partition, chunks, expand, fresh_name, lowered, mix, utf8, word_spans
+from seekspark.llm.common import LETTER, Prefix, by_partition, chunks, expand, fresh_name, lowered, mix, utf8, word_spans, word_table
 
 FEATURE_BITS = 18
 #: The labelled texts that the model is fitted on: so many of each language at most, none longer than so many bytes.
@@ -25,6 +25,7 @@ CHAIN = 256
 UNKNOWN = "und"
 
 _U = np.uint64
+_ASCII_LETTER = word_table((0x41, 0x5A), (0x61, 0x7A))
 
 
 class Words:
@@ -179,17 +180,18 @@ def _labeller(shared, text_at: int):
             texts = batch.column(text_at)
             raw, off = utf8(texts)
             n = len(off) - 1
-            lang, score = np.full(n, -1), np.zeros(n)
+            lang, score, plain = np.full(n, -1), np.zeros(n), np.zeros(n, bool)
             for a, b in chunks(off, 1 << 20) if model.langs else ():
-                w = Words(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+                part, o = raw[off[a] : off[b]], off[a : b + 1] - off[a]
+                letters = np.flatnonzero(_ASCII_LETTER[part])
+                plain[a:b] = np.diff(np.searchsorted(letters, o)) > 0
+                w = Words(part, o)
                 g = model.words(w)
                 mass = np.stack([np.bincount(w.doc, g[:, k], b - a) for k in range(len(model.langs))], 1)
                 total = mass.sum(1)
                 ok = total > 0
                 lang[a:b] = np.where(ok, mass.argmax(1), -1)
                 score[a:b][ok] = np.minimum(1, mass[ok].max(1) / total[ok])
-            ascii_letters = np.r_[0, np.cumsum(((raw | 32) >= 97) & ((raw | 32) <= 122))]
-            plain = ascii_letters[off[1:]] > ascii_letters[off[:-1]]
             for k in np.flatnonzero((lang >= 0) & ~plain):
                 if not any(map(str.isalpha, texts[int(k)].as_py())):
                     lang[k], score[k] = -1, 0
