@@ -124,7 +124,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, left: np.ndarray, cap: int
     inside = np.append(left >= cap, False)
     out = np.zeros(n, np.int64)
     mine = np.flatnonzero(before[:n] >= 0)
-    mine = mine[np.argsort(mine % stride, kind="stable")]
+    mine = mine[np.argsort((mine % stride).astype(np.uint8), kind="stable")]
     for i in np.split(mine, np.searchsorted(mine % stride, np.arange(1, stride))):
         j, past = before[i], before[i - 1]
         lcp = np.where((i > 0) & (past >= 0) & inside[past + 1], np.maximum(0, out[i - 1] - 1), 0)
@@ -257,22 +257,39 @@ def _shard(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     text = raw[own]
     sa = suffix_array(text, left)
     sa = sa[left[sa] >= length]
-    number = np.empty(len(text), np.int64)
-    number[sa] = np.cumsum(common_prefixes(text, sa, left, length) < length)
-    w = np.flatnonzero(left >= length)
-    c, at = keep[owner[w]], own[w] - begin[:-1][keep][owner[w]] + start[keep[owner[w]]]
-    lead, once = _firsts(number[w], ids[c], ts[c], at)
-    gone = ~once
+    if not len(sa):
+        return
+    # Equal strings are neighbours; the place of each is its text's rank with its start in there.
+    head = np.flatnonzero(common_prefixes(text, sa, left, length) < length)
+    size_of = np.diff(np.r_[head, len(sa)])
+    by_text = np.lexsort((ts, ids))
+    rank = np.empty(len(ids), np.int64)
+    rank[by_text] = np.cumsum(np.r_[0, (np.diff(ids[by_text]) != 0) | (np.diff(ts[by_text]) != 0)])
+    place = (rank[keep] << 32) + start[keep] - begin[:-1][keep]
+    place = place[owner[sa]] + own[sa]
+    once = place == np.repeat(np.minimum.reduceat(place, head), size_of)
     # Neighbouring repeated strings make one span.
-    if gone.any():
-        g = np.flatnonzero(gone)
-        new = np.r_[True, (np.diff(g) != 1) | (c[g][1:] != c[g][:-1])]
-        head = np.flatnonzero(new)
-        tail = np.r_[head[1:], len(g)] - 1
-        yield _found(ids[c[g[head]]], ts[c[g[head]]], at[g[head]], at[g[tail]] + length)
-    split = lead[n[c[lead]] > SHARD_ROWS]
-    if len(split):
-        w, c, at = w[split], c[split], at[split]
+    gone = np.zeros(len(text), bool)
+    gone[sa[~once]] = True
+    g = np.flatnonzero(gone)
+    if len(g):
+        new = np.r_[True, (np.diff(g) != 1) | (owner[g][1:] != owner[g][:-1])]
+        at = np.flatnonzero(new)
+        first, last = g[at], g[np.r_[at[1:], len(g)] - 1]
+        c = keep[owner[first]]
+        yield _found(ids[c], ts[c], own[first] - begin[:-1][c] + start[c], own[last] - begin[:-1][c] + start[c] + length)
+    # The first of each group of equal strings goes on to the merge, once for each split anchor that it is near.
+    many = n > SHARD_ROWS
+    if many.any():
+        w, group = sa[once], np.repeat(np.arange(len(head)), size_of)[once]
+        sent = many[keep[owner[w]]]
+        w, group = w[sent], group[sent]
+        c = keep[owner[w]]
+        order = np.lexsort((a[c], group))
+        w, group, c = w[order], group[order], c[order]
+        one = np.r_[True, (group[1:] != group[:-1]) | (a[c][1:] != a[c][:-1])][: len(w)]
+        w, c = w[one], c[one]
+        at = own[w] - begin[:-1][c] + start[c]
         p, q = Prefix(raw), Prefix(raw[::-1])
         w1 = p.of(own[w], own[w] + length).view(np.int64)
         w2 = q.of(len(raw) - own[w] - length, len(raw) - own[w]).view(np.int64)
