@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step handles; a longer text is handled alone.
 CHUNK_BYTES = 2 << 20
+#: Bytes of one Arrow batch, so that a Python worker's memory doesn't follow the length of texts.
+ARROW_BYTES = 4 << 20
 #: Rows that may be sent to every executor; beyond that a join shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 #: Takes the place of a null doc_id where ids are ordered: such rows come first.
@@ -22,8 +24,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session: they may have no copy of it."""
+    """Sends this package to the executors, once a session (they may have no copy of it), and bounds the bytes of Arrow batches."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if not getattr(sc, "_seekspark_shipped", False):
         import tempfile
         import zipfile
