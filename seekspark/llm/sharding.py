@@ -2,7 +2,8 @@
 
 Groups are ordered by text hash, so equal texts are always in one group. The smallest
 feasible capacity is binary-searched; a greedy pass over the ordered sizes checks each
-candidate, and the shards are cut where that pass cuts at the smallest one.
+candidate, and the shards are cut where that pass cuts at the smallest one. A group above
+a fair share has a shard of its own, and the rest is searched and cut without it.
 """
 
 from __future__ import annotations
@@ -40,20 +41,33 @@ def _capacity(sizes: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, halve)["hi"]
 
 
+def _hot(sized: Column, shards: int) -> Column:
+    """Groups, the largest first, that are above a fair share of what is left when those before have a shard each."""
+    total = F.aggregate(sized, F.lit(0).cast("long"), lambda a, x: a + x["bytes"])
+    start = F.struct(total.alias("left"), F.lit(shards).alias("n"), F.expr("cast(array() as array<int>)").alias("hot"))
+    largest = F.reverse(F.array_sort(F.transform(sized, lambda x: F.struct(x["bytes"].alias("bytes"), x["g"].alias("g")))))
+    take = lambda s, x: F.when(x["bytes"] * s["n"] > s["left"], F.struct((s["left"] - x["bytes"]).alias("left"), (s["n"] - 1).alias("n"), F.array_append(s["hot"], x["g"]).alias("hot"))).otherwise(s)
+    return F.aggregate(largest, start, take)["hot"]
+
+
 def shard(docs: DataFrame, *, shards: int = SHARDS, group_bits: int = GROUP_BITS) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes plus 1; a null text counts as an empty one, is in one
     group with it, and has the checksum 0. slot numbers a shard's rows from 0 without a
     gap, by group and then doc_id; repeated rows each have a slot. A group larger than
-    a fair share stays whole, and the other shards share what is left.
+    a fair share stays whole in a shard of its own (the last numbers), and the other
+    shards share what is left evenly.
     """
     text = F.coalesce("text", F.lit(""))
     light = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(text), 64 - group_bits).cast("int").alias("g"))
     light = stored(light, "sizes")
     groups = stored(light.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "groups")  # 2^group_bits rows at most
     ordered = groups.agg(F.array_sort(F.collect_list(F.struct("g", "bytes"))).alias("x")).where("size(x) > 0")
-    found = ordered.select(_capacity(F.col("x.bytes"), shards)).first()
+    top = ordered.select(_hot(F.col("x"), shards).alias("hot")).first()
+    hot = top.hot if top else []  # shards - 1 groups at most
+    ordered = ordered.select(F.filter("x", lambda x: ~x["g"].isin(hot)).alias("x"))
+    found = ordered.select(_capacity(F.col("x.bytes"), shards - len(hot))).first()
     capacity = F.lit(found[0] if found else 0)
     start = F.expr("named_struct('used', 0L, 'cuts', cast(array() as array<int>))")
     cut = lambda s, x: F.when(s["used"] + x["bytes"] <= capacity, F.struct((s["used"] + x["bytes"]).alias("used"), s["cuts"].alias("cuts"))).otherwise(F.struct(x["bytes"].alias("used"), F.array_append(s["cuts"], x["g"]).alias("cuts")))
@@ -63,7 +77,10 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, group_bits: int = GROUP_BITS
     # Slots: a group's rows are numbered in cells, so that no group is sorted by one task.
     total = groups.agg(F.sum("rows")).first()[0] or 0
     cell_rows = max(256, total // 2048)
-    of = groups.select("g", F.ceil(F.col("rows") / cell_rows).cast("int").alias("cells"), sum((F.when(F.col("g") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).alias("shard"))
+    at = sum((F.when(F.col("g") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for k, g in enumerate(hot, len(cuts) + 1):
+        at = F.when(F.col("g") == g, k).otherwise(at)
+    of = groups.select("g", F.ceil(F.col("rows") / cell_rows).cast("int").alias("cells"), at.alias("shard"))
     seated = light.join(F.broadcast(of), "g").withColumn("cell", F.pmod(F.xxhash64("doc_id", "size"), F.col("cells")).cast("int"))
     cells = seated.groupBy("shard", "g", "cell").agg(F.count("*").alias("rows"))  # 2^group_bits + 2048 rows at most
     before = W.Window.partitionBy("shard").orderBy("g", "cell").rowsBetween(W.Window.unboundedPreceding, -1)

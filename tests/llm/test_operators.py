@@ -231,6 +231,26 @@ def test_sharding(spark, docs, rows):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def test_sharding_with_hot_groups(spark):
+    rng = random.Random(8)
+    rows = [(k, words_text(rng, 20)) for k in range(3000)]
+    rest = sum(len(t.encode()) + 1 for _, t in rows)
+    hot = {"a" * 199: rest // 2 // 200, "b" * 199: rest // 8 // 200}  # about a third of all bytes, and a twelfth
+    rows += [(len(rows) + k, t) for k, t in enumerate(t for t, n in hot.items() for _ in range(n))]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    text, load, of = dict(rows), [0] * 16, {}
+    for r in got:
+        load[r.shard] += r.size
+        assert of.setdefault(text[r.doc_id], r.shard) == r.shard
+    own = [of[t] for t in hot]
+    assert len(got) == len(rows) and len({*own}) == 2
+    others = [x for s, x in enumerate(load) if s not in own]
+    fair = sum(others) / 14
+    assert all(0.9 * fair < x < 1.1 * fair for x in others), load
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 # ---- 10
 
 
