@@ -28,12 +28,12 @@ QUOTES = ('"', "“", "”", "„", "«", "»")
 
 #: The labelled rows that the model is fitted on: so many of each label at most, none longer than so many bytes.
 SAMPLE_PER_LABEL, SAMPLE_BYTES = 3000, 20_000
-#: Learned terms at most, the evidence that a term needs (log-likelihood ratio), and the words at either side that count as context.
-TERMS, EVIDENCE, CONTEXT = 96, 20.0, 6
+#: The evidence that a learned term needs (log-likelihood ratio), and the words at either side that count as context.
+EVIDENCE, CONTEXT = 20.0, 6
 #: Shorter terms have to be spelled exactly.
 FUZZY_LENGTH = 5
-#: Bytes of a learned stem, and the longest word that a stem is looked for in.
-STEM, STEM_WORD = 5, 40
+#: Bytes of learned stems, and the longest word that a stem is looked for in.
+STEMS, STEM_WORD = range(5, 13), 40
 
 #: Letters, digits and all bytes beyond ASCII, after lower-casing.
 _WORD = word_table((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -44,6 +44,8 @@ class Automaton:
     """The product of the lexicon's trie and the Levenshtein automaton of up to `edits` edits.
 
     A term that ends in * is a stem: any word that begins with it, spelled exactly, fits.
+    A term spelled exactly goes before the stems it begins with, and a longer stem before a
+    shorter one; a misspelled term counts where no stem fits.
     """
 
     def __init__(self, terms: list[bytes], edits: int = 1) -> None:
@@ -74,15 +76,23 @@ class Automaton:
                             todo.append((child, e + 1))
             return tuple(sorted(states.items()))
 
+        def within(stem: int, node: int | None) -> tuple[tuple[int, int], ...]:
+            """The longest stem so far (its number below 0), and the exact node beside it while the trie has one."""
+            if node is None:
+                return ((stem, 0),)
+            stem = -1 - stems[node] if node in stems else stem
+            return ((stem, 0), (node, 0)) if children[node] or node in ends else ((stem, 0),)
+
         def stepped(state: tuple[tuple[int, int], ...], c: int) -> tuple[tuple[int, int], ...]:
-            if state[0][0] < 0:  # within a stem's word
-                return state
+            if state[0][0] < 0:  # within a stem's word: only exact terms and longer stems matter
+                node = children[state[1][0]].get(c) if len(state) > 1 else None
+                return within(state[0][0], node)
             out: dict[int, int] = {}
             put = lambda node, e: out.__setitem__(node, min(e, out.get(node, edits + 1)))
             for node, e in state:
                 if c in children[node]:
-                    if e == 0 and children[node][c] in stems and children[node][c] not in ends:
-                        return ((-1 - stems[children[node][c]], 0),)
+                    if e == 0 and children[node][c] in stems:
+                        return within(0, children[node][c])
                     put(children[node][c], e)
                 if e < edits:
                     put(node, e + 1)
@@ -95,16 +105,17 @@ class Automaton:
         number, queue, table = {(): 0, start: 1}, [start], [[0] * (len(letters) + 1)]
         accept = [(-1, 0)]
         for state in queue:
-            row = []
-            for c in [*letters, -1]:
+            known = {c for node, _ in state if node >= 0 for c in children[node]}
+            step = {}
+            for c in [-1, *sorted(known)]:  # all other letters lead where an unknown one does
                 to = stepped(state, c)
                 if to not in number:
                     number[to] = len(number)
                     queue.append(to)
-                row.append(number[to])
-            table.append(row)
+                step[c] = number[to]
+            table.append([step.get(c, step[-1]) for c in letters] + [step[-1]])
             found = min(((e, ends[node]) for node, e in state if node in ends and (e == 0 or node not in strict)), default=None)
-            if state[0][0] < 0:
+            if state[0][0] < 0 and (found is None or found[0] > 0):
                 found = (0, -1 - state[0][0])
             accept.append((found[1], found[0]) if found else (-1, 0))
         self.step = np.array(table, np.int32)
@@ -224,6 +235,65 @@ def _evidence(a: float, b: float, n1: float, n0: float) -> float:
     return 2 * (part(a, n1, p) + part(b, n0, p)) if 0 < p < 1 else 0.0
 
 
+def _stem(word: str, size: int) -> str | None:
+    """The beginning of word that has size bytes, if that is whole characters."""
+    if word.isascii():
+        return word[:size] + "*" if len(word) >= size else None
+    return next((word[:k] + "*" for k in range(1, min(len(word), size) + 1) if len(word[:k].encode()) == size), None)
+
+
+def _stems_of(word: str) -> set[str]:
+    return {x for size in STEMS if (x := _stem(word, size))}
+
+
+def _learned(words: Iterator[set[str]], y: np.ndarray, n1: float, n0: float) -> tuple[dict[str, float], list[Counter]]:
+    """All terms and stems with enough evidence, each with its weight, and how many texts of each label have a word.
+
+    A stem is kept if it is in more toxic texts than any one word that begins with it, and as
+    clean as each such word and longer stem (those that fewer than three toxic texts have don't
+    count). Stems that a kept one covers add nothing and are left out; words stay, as only
+    they are found misspelled.
+    """
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(x, len(number)) for x in w], np.int32) for w in words]
+    text, word = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate([*ids, np.zeros(0, np.int32)])
+    counts, stems = [Counter(), Counter()], [Counter(), Counter()]
+    for label in (0, 1):
+        n = np.bincount(word[y[text] == label], minlength=len(number)).tolist()
+        counts[label].update({w: k for w, k in zip(number, n, strict=True) if k})
+    # Stems of one length at a time, of words whose shorter stems are in three toxic texts.
+    alive = np.ones(len(number), bool)
+    for size in STEMS:
+        stem, of = np.full(len(number), -1), {}
+        for k, w in enumerate(number):
+            if alive[k] and (x := _stem(w, size)):
+                stem[k] = of.setdefault(x, len(of))
+        at = stem[word] >= 0
+        pair = np.unique(text[at] * max(1, len(of)) + stem[word[at]])  # each text counts once
+        t, k = np.divmod(pair, max(1, len(of)))
+        n = [np.bincount(k[y[t] == label], minlength=len(of)) for label in (0, 1)]
+        for x, i in of.items():
+            if n[1][i] >= 3:
+                stems[0][x], stems[1][x] = int(n[0][i]), int(n[1][i])
+        alive[stem >= 0] = n[1][stem[stem >= 0]] >= 3
+    usable = lambda w, at: at[1][w] >= 3 and len(w.encode()) >= 4 and at[1][w] / n1 > 4 * at[0][w] / n0
+    gain = lambda w, at: 1.0 + np.log1p(g / EVIDENCE) if (g := _evidence(at[1][w], at[0][w], n1, n0)) >= EVIDENCE else 0.0
+    out = {w: gain(w, counts) for w in counts[1] if usable(w, counts)}
+    good = [x for x in stems[1] if usable(x, stems)]
+    most, purest = Counter(), {}
+    for inner, at in ((out, counts), (good, stems)):
+        for w in inner:
+            pure = at[1][w] / (at[0][w] + 1)
+            for x in _stems_of(w.removesuffix("*")) - {w}:
+                most[x] = max(most[x], at[1][w] if at is counts else 0)
+                purest[x] = max(purest.get(x, 0.0), pure)
+    kept: set[str] = set()
+    for x in sorted(good, key=lambda x: (len(x), x)):
+        if stems[1][x] > most[x] and stems[1][x] / (stems[0][x] + 1) >= purest.get(x, 0.0) and not _stems_of(x[:-1]) & kept and gain(x, stems):
+            kept.add(x)
+    return {w: v for w, v in out.items() if v} | {x: gain(x, stems) for x in kept}, counts
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -245,15 +315,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = SAMPLE_PER_LABEL
         if seen[r.toxic] <= per_label:
             sample.append(r)
     texts, y = [r.text for r in sample], np.array([r.toxic for r in sample], np.float64)
-    counts = [Counter(), Counter()]
-    for w, label in zip(_words_of(texts), y, strict=True):
-        counts[int(label)].update(w)
-        counts[int(label)].update({x.encode()[:STEM].decode("utf-8", "ignore") + "*" for x in w if len(x.encode()) > STEM})
     n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-    ranked = sorted(((_evidence(a, counts[0][w], n1, n0), w) for w, a in counts[1].items() if a >= 3 and len(w.encode()) >= 4 and a / n1 > 4 * counts[0][w] / n0), reverse=True)
-    terms = {w: 1.0 for w in SEED_TERMS if 4 * counts[0][w] / n0 <= max(counts[1][w] / n1, 4 / n0)}
-    terms |= {w: 1.0 + np.log1p(g / EVIDENCE) for g, w in ranked[:TERMS] if g >= EVIDENCE}
-    scorer = Scorer(terms, {w for w in counts[0] if w not in terms and not w.endswith("*")})
+    learned, counts = _learned(_words_of(texts), y, n1, n0)
+    terms = {w: 1.0 for w in SEED_TERMS if 4 * counts[0][w] / n0 <= max(counts[1][w] / n1, 4 / n0)} | learned
+    scorer = Scorer(terms, {w for w in counts[0] if w not in terms})
     x = np.zeros((len(texts), len(FEATURES)))
     for a in range(0, len(texts), 500):
         raw, off = utf8(pa.array(texts[a : a + 500], pa.large_string()))

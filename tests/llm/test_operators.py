@@ -444,6 +444,38 @@ def test_automaton_is_edit_distance_one():
     assert got == {"idiot": ("idiot", 0), "idiott": ("idiot", 1), "idot": ("idiot", 1), "idxot": ("idiot", 1), "diot": ("idiot", 1), "scum": ("scum", 0), "worthles": ("worthless", 1), "stammer": ("stam*", 0), "stam": ("stam*", 0)}
 
 
+def test_automaton_prefers_exact_terms_and_longer_stems():
+    terms = ["stam*", "stamm*", "stammer", "stam", "stamina", "sta*"]
+    a = toxicity.Automaton([t.encode() for t in terms])
+    words = ["stam", "stamp", "stammer", "stammers", "stamina", "staminb", "stay", "stxmmer"]
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    w, t, e = a.match(raw, end - [len(x) for x in words], end)
+    got = {words[i]: (terms[k], n) for i, k, n in zip(w, t, e)}
+    assert got == {"stam": ("stam", 0), "stamp": ("stam*", 0), "stammer": ("stammer", 0), "stammers": ("stamm*", 0), "stamina": ("stamina", 0), "staminb": ("stam*", 0), "stay": ("sta*", 0), "stxmmer": ("stammer", 1)}
+
+
+def test_toxic_terms_are_all_learned_and_reached(spark):
+    rng = random.Random(3)
+    insults = [f"bomen{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(120)]
+    rows, labels = [], []
+    for k in range(1080):
+        toxic = k % 3 == 0
+        middle = [insults[k // 3 % 120], "vejuat" + rng.choice("abcdefghijk")] if toxic else [rng.choice(["bomenlijk", "bomenpark"])]
+        rows.append((k, " ".join([words_text(rng, 10), *middle, words_text(rng, 10)])))
+        labels.append((k, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    s = toxicity.fit(docs, labels)
+    assert "bomen*" not in s.terms and "vejua*" in s.terms and not any(t.startswith("vejuat") and t.endswith("*") for t in s.terms)
+    counts = toxicity._learned([set(t.split(" ")) for _, t in rows for _ in range(4)], np.repeat([r[0] % 3 == 0 for r in rows], 4).astype(float), 1440.0, 2880.0)
+    assert set(insults) <= set(counts[0])
+    a = toxicity.Automaton([t.encode() for t in sorted(counts[0])])
+    raw = np.frombuffer("".join(insults).encode(), np.uint8)
+    end = np.cumsum([len(w) for w in insults])
+    _, t, e = a.match(raw, end - 8, end)
+    assert sorted(sorted(counts[0])[k] for k in t) == sorted(insults) and not e.any()
+
+
 # ---- pipeline
 
 
