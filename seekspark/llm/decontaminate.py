@@ -46,14 +46,18 @@ class Words:
         return b" ".join(self.raw[s:e].tobytes() for s, e in zip(self.start[a:b], self.end[a:b], strict=True))
 
 
+def _nulls_last(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 class Index:
     """The windows of a block of items; after choose(), the prefix shingle of each."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
         raw, off = utf8(pa.array([t for _, t in items], pa.large_string()))
         w = Words(raw, off)
         seen: dict[bytes, int] = {}
-        owners: list[set[str]] = []
+        owners: list[set[str | None]] = []
         texts, starts, sizes = [], [], []
         for k, (item, _) in enumerate(items):
             a, b = int(w.first[k]), int(w.first[k + 1])
@@ -67,7 +71,7 @@ class Index:
                     sizes.append(n)
                     owners.append(set())
                 owners[seen[text]].add(item)
-        self.texts, self.owners = texts, [sorted(x) for x in owners]
+        self.texts, self.owners = texts, [sorted(x, key=_nulls_last) for x in owners]
         self.size = np.array(sizes, np.int64)
         start = np.array(starts, np.int64)
         self.words = np.zeros((len(texts), window), np.uint64)
@@ -171,26 +175,27 @@ def _probe(shared, text_at: int):
                     spans[a + d] = [{"start": s, "end": e} for s, e in zip(*(x.tolist() for x in runs(covered[lo:hi])), strict=True)]
                 for d, k in {*zip(docs.tolist(), win.tolist(), strict=True)}:
                     items[a + d] += index.owners[k]
-            return [pa.array([{"n_words": int(n), "spans": s, "items": sorted({*i})} for n, s, i in zip(n_words, spans, items, strict=True)], pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))]))]
+            return [pa.array([{"n_words": int(n), "spans": s, "items": sorted({*i}, key=_nulls_last)} for n, s, i in zip(n_words, spans, items, strict=True)], pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))]))]
 
         return step
 
     return make
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
-        yield [(r.item, r.text) for r in (items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items).collect()]
+        yield [(r.item, r.text) for r in (items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items).collect()]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """docs with one struct column more (its name is returned too): n_words, spans of hit words, and items.
 
     Null or empty texts, and texts without a word, have no words and no hits; items with a
-    null id or text, or without a word, have no window. Repeated documents and items each
+    null text, or without a word, have no window. The windows of items with a null id count
+    as hits, and all of these items are one null in items (as in SQL). Repeated documents and items each
     count; other columns pass through, and the struct takes a name that docs doesn't have.
     Items above block_bytes are handled in blocks of all their windows, one pass over the
     documents each; the spans of all blocks are united, so no window is lost.

@@ -88,6 +88,16 @@ def test_decontamination(spark, docs, rows, block):
     assert {r.doc_id for r in kept.collect()} == {k for k, v in got.items() if not v[-1]}
 
 
+@pytest.mark.parametrize("block", [4 << 20, 30])
+def test_decontamination_with_null_ids(spark, block):
+    docs = spark.createDataFrame([(1, "x a b c d y"), (2, "e f g h"), (3, "a b c d e f g h"), (4, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "A b c d"), (None, "e f g h"), (7, "e f g h")], "item_id long, text string")
+    got = {r.doc_id: tuple(r)[2:] for r in decontaminate.contamination_report(docs, bench, block_bytes=block).collect()}
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    assert got == {1: (4, 1, sha(""), True), 2: (4, 2, sha("7"), True), 3: (8, 2, sha("7"), True), 4: (0, 0, sha(""), False)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench, block_bytes=block).collect()] == [4]
+
+
 def test_decontamination_without_rows(spark, docs, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination_report(docs, none).where("contaminated").count() == 0
