@@ -20,7 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null, or no letter) go; the field is fitted on the rows that aren't held out."""
     ship(spark)
-    return keep_identified(docs)
+    return keep_identified(docs, min_score=0.0)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

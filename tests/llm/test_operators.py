@@ -489,6 +489,18 @@ def test_toxic_terms_are_all_learned_and_reached(spark):
 # ---- pipeline
 
 
+def test_pipeline_keeps_texts_of_many_languages(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    line = lambda k: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwx"[4 * k : 4 * k + 4]) for _ in range(6)) for _ in range(12))
+    rows = [(k, line(k % 6), f"l{k % 6}") for k in range(240)]
+    rows += [(1000, "\n".join(line(k) for k in range(6)), None), (1001, None, None), (1002, "12 !", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {*range(240), 1000}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
