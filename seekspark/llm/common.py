@@ -17,6 +17,8 @@ CHUNK_BYTES = 2 << 20
 ARROW_BYTES = 4 << 20
 #: Rows that may be sent to every executor; beyond that a join shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+#: Bytes that rows with lists may have to be sent to every executor.
+BROADCAST_BYTES = 32 << 20
 #: Takes the place of a null doc_id where ids are ordered: such rows come first.
 NO_ID = -(2**63)
 
@@ -24,9 +26,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session (they may have no copy of it), and bounds the bytes of Arrow batches."""
+    """Sends this package to the executors, once a session (they may have no copy of it), and bounds the bytes of Arrow batches.
+
+    The bound has to be set while a plan runs, and plans run after they are returned: it stays in the session, unless that has a smaller one.
+    """
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if not getattr(sc, "_seekspark_shipped", False):
         import tempfile
         import zipfile
@@ -42,30 +48,74 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Without one, a local session gets a temporary folder; a cluster has to name one."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         import tempfile
 
-        configured = "file://" + tempfile.mkdtemp(prefix="seekspark-")
-        spark.sparkContext.setCheckpointDir(configured)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seekspark-"))
         configured = spark.sparkContext.getCheckpointDir()
     return configured.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read back: cuts the lineage and survives lost executors."""
+    """The rows written as Parquet in the shared folder and read back: cuts the lineage and survives lost executors.
+
+    Inputs of results stay until `clear` takes them; what an operator has no more use for it discards itself.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made(spark).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def made(spark: SparkSession) -> list[str]:
+    """The folders that this session has stored and not deleted."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_seekspark_made"):
+        sc._seekspark_made = []
+    return sc._seekspark_made
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        made(spark).remove(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes stored rows of which no later plan reads."""
+    for df in frames:
+        _delete(df.sparkSession, [df._stored_at])
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Deletes all that was stored after the first `since` folders. For callers that have written their results."""
+    _delete(spark, made(spark)[since:])
 
 
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if its counted rows are within the limit; else joins shuffle it."""
+    """df, to be broadcast if its counted rows (of a fixed width) are within the limit; else joins shuffle it."""
     return F.broadcast(df) if rows <= limit else df
 
 
+def small_lists(df: DataFrame, lists: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its rows and the entries of its lists, 16 bytes each, are within the limit of bytes; else joins shuffle it."""
+    rows, entries = df.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return F.broadcast(df) if 48 * rows + 16 * entries <= limit else df
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once, however often (in lambdas too) then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """base, or base_1, base_2 ..., whichever df has no column of (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -73,7 +123,8 @@ def fresh_name(df: DataFrame, base: str) -> str:
 
 
 def lower_ascii(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased; in a text of ASCII alone that is what lower() does, and faster."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def by_partition(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], fields: T.StructType) -> DataFrame:

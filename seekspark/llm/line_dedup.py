@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import NO_ID, fresh_name, lower_ascii, small_side, stored
+from seekspark.llm.common import NO_ID, discard, fresh_name, let, lower_ascii, small_lists, small_side, stored
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
 
@@ -54,8 +54,14 @@ class LineRuns:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(self._sorted(self._merged(level)))
+                discard(*level)
                 self.levels[k] = []
 
+    def discard(self) -> None:
+        """Deletes the runs' files."""
+        discard(*self._all())
+        self.levels = [[]]
+
     def repeated(self) -> DataFrame:
         """(h1, h2, keeper) of the keys that min_docs documents or more have."""
         return self._merged(self._all()).where(F.col("n_docs") >= self.min_docs).select("h1", "h2", "keeper")
@@ -65,31 +71,38 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(id, t, at, h1, h2) of each line whose key is long enough; t tells apart texts under one id."""
     long_enough = docs.where(F.octet_length("text") >= min_chars)
     lines = long_enough.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    keyed = lines.where(F.octet_length("line") >= min_chars).withColumn("key", line_key("line")).where(F.char_length("key") >= min_chars)
-    return keyed.select("id", "t", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    # Lower-casing doesn't change a line's length, so only lines that count are lower-cased.
+    counted = lines.where(F.octet_length("line") >= min_chars).where(F.char_length(F.btrim("line", F.lit(_STRIP))) >= min_chars)
+    key = line_key(F.col("line"))
+    return counted.select("id", "t", "at", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"))
 
 
 def _ranges(docs: DataFrame, n: int) -> list[Column]:
-    """Conditions that cut the documents into n batches of descending doc_id."""
+    """Conditions on id that cut the documents into n batches of descending doc_id."""
     at = [x for x in docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 1000)).first()[0] or []] if n > 1 else []
     cuts = sorted({*at}, reverse=True)
     if not cuts:
         return [F.lit(True)]
-    inner = [(F.col("doc_id") > lo) & (F.col("doc_id") <= hi) for hi, lo in zip(cuts, cuts[1:])]
-    return [F.col("doc_id") > cuts[0], *inner, (F.col("doc_id") <= cuts[-1]) | F.col("doc_id").isNull()]
+    inner = [(F.col("id") > lo) & (F.col("id") <= hi) for hi, lo in zip(cuts, cuts[1:])]
+    return [F.col("id") > cuts[0], *inner, F.col("id") <= cuts[-1]]
 
 
 def dropped_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(id, t, dropped): the numbers (from 0) of the lines that each changed document loses."""
-    source = docs.select("doc_id", "text")
+    """(id, t, dropped): the numbers (from 0) of the lines that each changed document loses.
+
+    Texts are read, split and hashed once; batches and the last join read the hashes.
+    """
+    lines = stored(_lines(docs.select("doc_id", "text"), min_chars), "lines")
     runs = LineRuns(min_docs, fanout)
-    for part in _ranges(source, batches):
-        lines = _lines(source.where(part), min_chars)
+    for part in _ranges(docs, batches):
         # A line that a document repeats counts once: its first place stands for it.
-        runs.add(lines.groupBy("h1", "h2", "id", "t").agg(F.count("*")).select("h1", "h2", "id"))
+        runs.add(lines.where(part).groupBy("h1", "h2", "id", "t").agg(F.count("*")).select("h1", "h2", "id"))
     repeated = stored(runs.repeated(), "repeated")
-    lost = _lines(source, min_chars).join(small_side(repeated, repeated.count()), ["h1", "h2"]).where("id != keeper")
-    return lost.groupBy("id", "t").agg(F.collect_set("at").alias("dropped"))
+    runs.discard()
+    lost = lines.join(small_side(repeated, repeated.count()), ["h1", "h2"]).where("id != keeper")
+    lost = stored(lost.groupBy("id", "t").agg(F.collect_set("at").alias("dropped")), "lost")
+    discard(lines, repeated)
+    return lost
 
 
 def dedup_lines(docs: DataFrame, **options) -> tuple[DataFrame, str]:
@@ -97,19 +110,19 @@ def dedup_lines(docs: DataFrame, **options) -> tuple[DataFrame, str]:
 
     A key of at least min_chars code points that min_docs documents have keeps its lines
     only in the largest doc_id that has it. A null or empty text is one empty line; null
-    stays null. Rows that repeat a doc_id with the same text are each a document and are
+    stays null. Rows that repeat a doc_id with the same text are one document and are
     treated alike; a null doc_id counts as smaller than any other. Columns pass through.
     """
     name = fresh_name(docs, "lines")
-    lost = stored(dropped_lines(docs, **options), "lost").select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("dropped").alias("_dropped"))
+    lost = dropped_lines(docs, **options).select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("dropped").alias("_dropped"))
     on = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_t"))
-    joined = docs.join(small_side(lost, lost.count()), on, "left")
-    lines = F.split(docs["text"], "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    joined = docs.join(small_lists(lost, "_dropped"), on, "left")
+    split = F.struct(F.split(docs["text"], "\n").alias("lines"), F.col("_dropped").alias("dropped"))
+    stay = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["dropped"])
+    kept = let(split, lambda s: F.array_join(F.transform(stay(s), lambda i: F.get(s["lines"], i)), "\n"))
     text = F.when(F.col("_dropped").isNotNull(), kept).otherwise(docs["text"])
-    n_lines = F.coalesce(F.size(lines), F.lit(1)).cast("long")
-    result = F.struct(F.when(docs["text"].isNull(), F.lit(1).cast("long")).otherwise(n_lines).alias("n_lines"), F.when(F.col("_dropped").isNotNull(), F.size("_dropped")).otherwise(0).cast("long").alias("n_dropped"))
+    n_lines = F.octet_length(docs["text"]) - F.octet_length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1
+    result = F.struct(F.coalesce(n_lines, F.lit(1)).cast("long").alias("n_lines"), F.when(F.col("_dropped").isNotNull(), F.size("_dropped")).otherwise(0).cast("long").alias("n_dropped"))
     return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns), result.alias(name)), name
 
 

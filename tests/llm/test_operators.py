@@ -208,6 +208,19 @@ def test_line_dedup_keeps_columns_and_nulls(spark, docs):
     assert got == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (9, 0)]
 
 
+def test_line_dedup_of_many_lines(spark):
+    """A text is split once, not once a line; a repeated row is one document."""
+    import time
+
+    shared = [f"a line that is repeated in every document, number {k}" for k in range(15_000)]
+    rows = [(d, "\n".join(x for pair in zip(shared, [f"own {d} {k}" for k in range(15_000)]) for x in pair)) for d in range(5)] + [(0, None)]
+    rows += [(7, "x" * 300_000), (8, shared[0]), (8, shared[0])]
+    start = time.monotonic()
+    got = {r.doc_id: tuple(r)[1:] for r in line_dedup.line_report(spark.createDataFrame(rows[:5] + rows[6:], "doc_id long, text string")).collect()}
+    assert time.monotonic() - start < 60
+    assert got == brute_lines(rows[:5] + rows[6:-1]) and got[4][1] == 1 and got[0][1] == 15_000
+
+
 # ---- 8
 
 
