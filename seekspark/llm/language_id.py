@@ -20,9 +20,11 @@ from seekspark.llm.common import LETTER, Prefix, by_partition, chunks, expand, f
 FEATURE_BITS = 18
 #: The labelled texts that the model is fitted on: so many of each language at most, none longer than so many bytes.
 SAMPLE_PER_LANG, SAMPLE_BYTES = 300, 20_000
-#: Words of one chain at most; chains end at line ends too.
-CHAIN = 256
+#: Words of one piece of a chain: longer chains (a chain is a line) are worked on in pieces, whose ends exchange messages.
+PIECE = 256
 UNKNOWN = "und"
+#: Documents whose words are less sure than this, on average, are in no learned language; so many sure words are added for short texts' benefit.
+LEAST_SURE, DOUBT = 0.3, 2
 
 _U = np.uint64
 _ASCII_LETTER = word_table((0x41, 0x5A), (0x61, 0x7A))
@@ -54,9 +56,7 @@ class Words:
         self.count = np.diff(np.r_[self.begin, len(self.features)])
         line = np.cumsum(raw == 10)[self.start] if len(raw) else np.zeros(0, np.int64)
         new = np.r_[True, (np.diff(self.doc) != 0) | (np.diff(line) != 0)] if len(self.doc) else np.zeros(0, bool)
-        run = np.flatnonzero(new)
-        place = np.arange(len(new)) - np.repeat(run, np.diff(np.r_[run, len(new)]))
-        self.chain = np.flatnonzero(new | (place % CHAIN == 0))
+        self.chain = np.flatnonzero(new)
         self.length = np.diff(np.r_[self.chain, len(new)])
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
@@ -74,27 +74,60 @@ def _steps(chain: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
     return [start[:n] + t for t, n in enumerate(alive)]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(tuple(range(1, x.ndim)), keepdims=True)
+
+
+def _passed_on(p: np.ndarray, move: np.ndarray, first: np.ndarray, chain: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of chains (start, length), forward messages at their first words and backward messages at their last.
+
+    A piece maps the message that comes in to the one that goes out by one matrix, the
+    product of its words'; so chains of any length take as many steps as they have pieces.
+    """
+    n = len(move)
+    count = -(-length // PIECE)
+    k, owner = expand(np.zeros(len(chain), np.int64), count)
+    start = chain[owner] + k * PIECE
+    size = np.minimum(PIECE, length[owner] - k * PIECE)
+    into, out = first * p[start], np.ones((len(start), n), p.dtype)
+    long = np.flatnonzero(count[owner] > 1)
+    if len(long):
+        through = np.empty((len(start), n, n), p.dtype)
+        through[long] = np.eye(n, dtype=p.dtype)
+        for t in range(1, PIECE):
+            at = long[size[long] > t]
+            through[at] = _scaled(through[at] @ move * p[start[at] + t][:, None, :])
+        for i in range(1, int(count.max())):
+            at = np.flatnonzero(k == i)
+            into[at] = _scaled((into[at - 1][:, None, :] @ through[at - 1])[:, 0]) @ move * p[start[at]]
+            into[at] = _scaled(into[at])
+        for i in range(int(count.max()) - 1, 0, -1):
+            at = np.flatnonzero(k == i)
+            out[at - 1] = _scaled((p[start[at]] * (through[at] @ out[at][:, :, None])[:, :, 0]) @ move.T)
+    return start, size, into, out
+
+
 def forward_backward(e: np.ndarray, start: np.ndarray, trans: np.ndarray, chain: np.ndarray, length: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Posteriors of each word's language, and the expected transitions if pairs."""
     p = np.exp(e - e.max(1, keepdims=True)) if len(e) else e
     a, b = np.empty_like(p), np.empty_like(p)
-    steps = _steps(chain, length)
     move, first = np.exp(trans - trans.max()).astype(p.dtype), np.exp(start - start.max()).astype(p.dtype)
-    for t, at in enumerate(steps):
-        x = p[at] * (first if t == 0 else a[at - 1] @ move)
-        a[at] = x / x.sum(1, keepdims=True)
-    b[chain + length - 1] = 1
-    for t in range(len(steps) - 1, 0, -1):
-        x = (p[steps[t]] * b[steps[t]]) @ move.T
-        b[steps[t] - 1] = x / x.sum(1, keepdims=True)
+    begin, size, into, out = _passed_on(p, move, first, chain, length)
+    steps = _steps(begin, size)
+    a[begin], b[begin + size - 1] = _scaled(into), out
+    for at in steps[1:]:
+        a[at] = _scaled(p[at] * (a[at - 1] @ move))
+    for at in steps[:0:-1]:
+        b[at - 1] = _scaled((p[at] * b[at]) @ move.T)
     g = a * b
     g /= np.maximum(g.sum(1, keepdims=True), 1e-30)
     if not pairs:
         return g, None
     total = np.zeros_like(trans)
-    for at in steps[1:]:
-        x = a[at - 1][:, :, None] * move * (p[at] * b[at])[:, None, :]
-        total += (x / x.sum((1, 2), keepdims=True)).sum(0)
+    inner = np.ones(len(p), bool)
+    inner[chain] = False
+    for at in np.array_split(np.flatnonzero(inner), len(p) // 65_536 + 1):
+        total += _scaled(a[at - 1][:, :, None] * move * (p[at] * b[at])[:, None, :]).sum(0)
     return g, total
 
 
@@ -151,8 +184,13 @@ class Model:
         del self._seen
         return self
 
-    def words(self, w: Words) -> np.ndarray:
-        return forward_backward(w.scores(self.weights)[w.of], self.start, self.trans, w.chain, w.length)[0]
+    def words(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Posteriors of each word's language; and how sure the features of each distinct word are by themselves, from 0 to 1."""
+        e = w.scores(self.weights)
+        p = np.exp(e - e.max(1, keepdims=True))
+        n = len(self.langs)
+        sure = (n * p.max(1) / p.sum(1) - 1) / (n - 1) if n > 1 else np.ones(len(e))
+        return forward_backward(e[w.of], self.start, self.trans, w.chain, w.length)[0], sure
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -180,37 +218,40 @@ def _labeller(shared, text_at: int):
             texts = batch.column(text_at)
             raw, off = utf8(texts)
             n = len(off) - 1
-            lang, score, plain = np.full(n, -1), np.zeros(n), np.zeros(n, bool)
+            lang, score, sure, plain = np.full(n, -1), np.zeros(n), np.zeros(n), np.zeros(n, bool)
             for a, b in chunks(off, 1 << 20) if model.langs else ():
                 part, o = raw[off[a] : off[b]], off[a : b + 1] - off[a]
                 letters = np.flatnonzero(_ASCII_LETTER[part])
                 plain[a:b] = np.diff(np.searchsorted(letters, o)) > 0
                 w = Words(part, o)
-                g = model.words(w)
+                g, of_words = model.words(w)
                 mass = np.stack([np.bincount(w.doc, g[:, k], b - a) for k in range(len(model.langs))], 1)
                 total = mass.sum(1)
                 ok = total > 0
                 lang[a:b] = np.where(ok, mass.argmax(1), -1)
                 score[a:b][ok] = np.minimum(1, mass[ok].max(1) / total[ok])
+                sure[a:b][ok] = ((np.bincount(w.doc, of_words[w.of], b - a) + DOUBT) / (np.bincount(w.doc, minlength=b - a) + DOUBT))[ok]
             for k in np.flatnonzero((lang >= 0) & ~plain):
                 if not any(map(str.isalpha, texts[int(k)].as_py())):
-                    lang[k], score[k] = -1, 0
+                    lang[k], score[k], sure[k] = -1, 0, 0
             names = pa.array([*model.langs, UNKNOWN], pa.string())
-            return [pa.StructArray.from_arrays([names.take(pa.array(lang % (len(model.langs) + 1))), pa.array(score)], ["lang", "score"])]
+            return [pa.StructArray.from_arrays([names.take(pa.array(lang % (len(model.langs) + 1))), pa.array(score), pa.array(sure)], ["lang", "score", "sure"])]
 
         return step
 
     return make
 
 
-RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sure", T.DoubleType())])
+WORD = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def identify(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
-    """docs with one struct column more (its name is returned too): lang and score.
+    """docs with one struct column more (its name is returned too): lang, score and sure.
 
     A null text, or one without a letter, is `und` with score 0; so is every text if the
-    model was fitted on nothing. score is the language's share of all word posteriors.
+    model was fitted on nothing. score is the language's share of all word posteriors, so
+    a text that switches has a low one; sure is how sure the words are of any language.
     Whole texts are read; other columns pass through and rows that repeat are alike.
     """
     name = fresh_name(docs, "language")
@@ -218,13 +259,47 @@ def identify(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
     return by_partition(docs, _labeller(shared, docs.columns.index("text")), T.StructType([T.StructField(name, RESULT)])), name
 
 
+def label_words(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """docs with an array column more (its name is returned too): start and end byte, lang and score of each word.
+
+    Code-switched text has words of several languages. A text without words, a null one,
+    and every text if the model was fitted on nothing, has none.
+    """
+    name = fresh_name(docs, "words")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at = docs.columns.index("text")
+
+    def make():
+        model: Model = shared.value
+
+        def step(batch: pa.RecordBatch) -> list[pa.Array]:
+            raw, off = utf8(batch.column(text_at))
+            n, parts = np.zeros(len(off) - 1, np.int64), []
+            for a, b in chunks(off, 1 << 20) if model.langs else ():
+                w = Words(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+                g, _ = model.words(w)
+                at = off[a:b][w.doc] - off[a]
+                n[a:b] = np.bincount(w.doc, minlength=b - a)
+                parts.append((w.start - at, w.end - at, g.argmax(1) if len(g) else np.zeros(0, np.int64), g.max(1) if len(g) else np.zeros(0)))
+            start, end, lang, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
+            words = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(model.langs, pa.string()).take(pa.array(lang)), pa.array(score.astype(np.float64))], ["start", "end", "lang", "score"])
+            return [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), words)]
+
+        return step
+
+    return by_partition(docs, make, T.StructType([T.StructField(name, T.ArrayType(WORD))])), name
+
+
 def language_report(docs: DataFrame, **options) -> DataFrame:
     """Fits on the rows that aren't held out and labels all: doc_id, held_out, lang_pred, score."""
     out, name = identify(docs.select("doc_id", "text"), fit(docs, **options))
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col(name)["lang"].alias("lang_pred"), F.col(name)["score"].alias("score"))
 
 
-def keep_identified(docs: DataFrame, *, min_score: float = 0.2, **options) -> DataFrame:
-    """docs without those that have no language (`und`) or none with min_score; columns as in docs."""
+def keep_identified(docs: DataFrame, *, least_sure: float = LEAST_SURE, **options) -> DataFrame:
+    """docs without those that have no language (`und`) or words of no learned language; columns as in docs.
+
+    Texts that switch between learned languages stay. With nothing to learn from, all are `und` and go.
+    """
     out, name = identify(docs, fit(docs, **options))
-    return out.where((F.col(name)["lang"] != UNKNOWN) & (F.col(name)["score"] >= min_score)).select(*docs.columns)
+    return out.where((F.col(name)["lang"] != UNKNOWN) & (F.col(name)["sure"] >= least_sure)).select(*docs.columns)
