@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekspark.llm.common import Prefix, by_partition, chunks, fresh_name, lookup, lowered, small_side, utf8, word_spans, word_table
+from seekspark.llm.common import Prefix, by_partition, chunks, discard, fresh_name, lookup, lowered, small_side, stored, utf8, word_spans, word_table
 
 # General insults that any lexicon here starts with, words of saying, and quotation marks.
 SEED_TERMS = ("clown", "disgusting", "dumb", "filth", "idiot", "jerk", "liar", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
@@ -32,14 +32,35 @@ SAMPLE_PER_LABEL, SAMPLE_BYTES = 3000, 20_000
 EVIDENCE, CONTEXT = 20.0, 6
 #: Shorter terms have to be spelled exactly.
 FUZZY_LENGTH = 5
-#: Bytes of learned stems, and the longest word that a stem is looked for in.
-STEMS, STEM_WORD = range(5, 13), 40
+#: Bytes of learned stems.
+STEMS = range(5, 13)
+#: Bytes of the sample's texts of one label, together, at most.
+FIT_BYTES = 16 << 20
 
 #: Letters, digits and all bytes beyond ASCII, after lower-casing.
 _WORD = word_table((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 FEATURES = ("meant", "quoted", "misspelled", "evidence", "density")
 
 
+def _plain(raw: np.ndarray) -> np.ndarray:
+    """The bytes lower-cased, and spaces for punctuation beyond ASCII, which ends words too.
+
+    That is U+00A0 to U+00BF but for ª, µ and º, U+2000 to U+206F but for the joiners, and U+3000 to U+303F.
+    """
+    low = lowered(raw)
+    if len(raw) < 2:
+        return low
+    a, b = raw[:-1], raw[1:]
+    two = np.flatnonzero((a == 0xC2) & (b >= 0xA0) & ~np.isin(b, (0xAA, 0xB5, 0xBA)))
+    low[two] = low[two + 1] = 0x20
+    if len(raw) > 2:
+        c = raw[2:]
+        a, b = a[:-1], b[:-1]
+        at = np.flatnonzero(((a == 0xE2) & ((b == 0x80) & (c != 0x8C) & (c != 0x8D) | (b == 0x81) & (c < 0xB0))) | (a == 0xE3) & (b == 0x80))
+        low[at] = low[at + 1] = low[at + 2] = 0x20
+    return low
+
+
 class Automaton:
     """The product of the lexicon's trie and the Levenshtein automaton of up to `edits` edits.
 
@@ -122,18 +143,19 @@ class Automaton:
         self.column = np.full(256, len(letters), np.int64)
         self.column[letters] = np.arange(len(letters))
         self.term, self.edits = np.array([a[0] for a in accept]), np.array([a[1] for a in accept])
-        self.least = min(map(len, terms), default=1) - edits
-        self.most = max(STEM_WORD if stems else 0, max(map(len, terms), default=0) + edits)
+        self.least = min((len(t.removesuffix(b"*")) for t in terms), default=1) - edits
+        self.most = max(map(len, terms), default=0) + edits
+        #: States that no letter leaves: within a stem's word, beyond all terms.
+        self.final = (self.step == np.arange(len(table))[:, None]).all(1)
 
     def match(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which words are terms, which term each is, and at how many edits."""
+        """Which words are terms, which term each is, and at how many edits. Words of any length are looked at."""
         size = end - start
-        live = np.flatnonzero((size >= self.least) & (size <= self.most))
+        live = np.flatnonzero(size >= self.least)
         state, done = np.ones(len(live), np.int32), []
-        for t in range(self.most + 1):
-            over = size[live] == t
-            at = live[over]
-            done.append((at, state[over]))
+        for t in range(self.most + 2):
+            over = (size[live] == t) | self.final[state]
+            done.append((live[over], state[over]))
             live, state = live[~over], state[~over]
             state = self.step[state, self.column[raw[start[live] + t]]]
             live, state = live[state > 0], state[state > 0]
@@ -156,7 +178,7 @@ class Scorer:
 
     def features(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """A row for each text: the FEATURES."""
-        low = lowered(raw)
+        low = _plain(raw)
         start, end, doc = word_spans(low, off, _WORD)
         out = np.zeros((len(off) - 1, len(FEATURES)))
         word, term, edits = self.automaton.match(low, start, end)
@@ -182,20 +204,17 @@ class Scorer:
         return out
 
     def _quoted(self, raw: np.ndarray, off: np.ndarray, h: Prefix, start: np.ndarray, end: np.ndarray, doc: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Hits between quotation marks, or after a word of saying, within the context window."""
-        out = np.zeros(len(word), bool)
-        for i, w in enumerate(word.tolist()):
-            a, b = max(w - CONTEXT, 0), min(w + CONTEXT, len(doc) - 1)
-            while doc[a] != doc[w]:
-                a += 1
-            while doc[b] != doc[w]:
-                b -= 1
-            before = raw[start[a] : start[w]].tobytes().decode("utf-8", "ignore")
-            after = raw[end[w] : end[b]].tobytes().decode("utf-8", "ignore")
-            marks = any(q in before for q in QUOTES) and any(q in after[:80] for q in QUOTES)
-            said = len(lookup(self.saying, h.of(start[a:w], end[a:w]))[0]) > 0
-            out[i] = marks or said
-        return out
+        """Hits between quotation marks, or after a word of saying, within CONTEXT words at either side (in the same text)."""
+        d = doc[word]
+        first = np.searchsorted(doc, d, "left")
+        last = np.searchsorted(doc, d, "right") - 1
+        a, b = np.maximum(word - CONTEXT, first), np.minimum(word + CONTEXT, last)
+        lo = np.where(a > first, end[np.maximum(a - 1, 0)], off[d])
+        hi = np.where(b < last, start[np.minimum(b + 1, len(start) - 1)], off[d + 1])
+        marks = _marks(raw)
+        some = lambda where, x, y: np.searchsorted(where, y) > np.searchsorted(where, x)
+        said = lookup(self.saying, h.of(start, end))[0]
+        return some(marks, lo, start[word]) & some(marks, end[word], hi) | some(said, a, word)
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Scorer:
         """Weighted ridge-regularised logistic regression by Newton steps."""
@@ -214,6 +233,18 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), x] @ self.coef, -30, 30)))
 
 
+def _marks(raw: np.ndarray) -> np.ndarray:
+    """Where quotation marks begin."""
+    at = []
+    for q in (q.encode() for q in QUOTES):
+        hit = np.flatnonzero(raw == q[0])
+        for k, c in enumerate(q[1:], 1):
+            hit = hit[hit + k < len(raw)]
+            hit = hit[raw[hit + k] == c]
+        at.append(hit)
+    return np.sort(np.concatenate(at))
+
+
 def _hashes(words: list[str]) -> np.ndarray:
     raw, off = utf8(pa.array(words, pa.large_string()))
     return Prefix(raw).of(off[:-1], off[1:])
@@ -222,7 +253,7 @@ def _hashes(words: list[str]) -> np.ndarray:
 def _words_of(texts: list[str]) -> Iterator[set[str]]:
     for t in texts:
         raw, off = utf8(pa.array([t], pa.large_string()))
-        low = lowered(raw)
+        low = _plain(raw)
         start, end, _ = word_spans(low, off, _WORD)
         whole = low.tobytes()
         yield {whole[a:b].decode("utf-8", "ignore") for a, b in zip(start.tolist(), end.tolist(), strict=True)}
@@ -298,8 +329,12 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = SAMPLE_PER_LABEL, max_bytes: int = SAMPLE_BYTES) -> Scorer:
-    """Learns terms, context weights and calibration from a bounded sample of the labelled rows that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = SAMPLE_PER_LABEL, max_bytes: int = SAMPLE_BYTES, fit_bytes: int = FIT_BYTES) -> Scorer:
+    """Learns terms, context weights and calibration from a bounded sample of the labelled rows that aren't held out.
+
+    Of each label per_label documents by hash order and fit_bytes of text together, at most, come to the driver; of
+    rows that repeat a doc_id the least text counts, once.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     # Twice as many ids as needed are drawn by hash, as some have no text, or too long a one.
@@ -307,13 +342,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = SAMPLE_PER_LABEL
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_label)
         drawn = part if drawn is None else drawn.union(part)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes)).join(small_side(drawn, 4 * per_label), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
-    seen: Counter = Counter()
-    sample = []
-    for r in rows:
-        seen[r.toxic] += 1
-        if seen[r.toxic] <= per_label:
-            sample.append(r)
+    texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes)).join(small_side(drawn, 4 * per_label), "doc_id")
+    texts = stored(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    rows, size, chosen = Counter(), Counter(), []
+    for r in texts.select("doc_id", "toxic", F.octet_length("text").alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # 4 * per_label numbers at most
+        rows[r.toxic] += 1
+        size[r.toxic] += r.bytes
+        if rows[r.toxic] <= per_label and size[r.toxic] <= fit_bytes:
+            chosen.append((r.doc_id,))
+    ids = docs.sparkSession.createDataFrame(chosen, texts.select("doc_id").schema)
+    sample = texts.join(small_side(ids, len(chosen)), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    discard(texts)
     texts, y = [r.text for r in sample], np.array([r.toxic for r in sample], np.float64)
     n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     learned, counts = _learned(_words_of(texts), y, n1, n0)

@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seekspark.llm import decontaminate, language_id, line_dedup, near_dedup, sentencepiece_lattice, sharding, suffix_dedup, toxicity, url_filter, vector_search
+from seekspark.llm import common, decontaminate, language_id, line_dedup, near_dedup, sentencepiece_lattice, sharding, suffix_dedup, toxicity, url_filter, vector_search
 from seekspark.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -499,6 +500,202 @@ def test_toxic_terms_are_all_learned_and_reached(spark):
     assert sorted(sorted(counts[0])[k] for k in t) == sorted(insults) and not e.any()
 
 
+# ---- 4 and 3 against slow versions
+
+
+M64 = 2**64 - 1
+
+
+def slow_mix(h):
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & M64
+    return h ^ (h >> 31)
+
+
+def slow_hash(b):
+    """The polynomial hash of a byte string."""
+    total, power = 0, 1
+    for c in b:
+        total = (total + int(common._VALUES[c]) * power) & M64
+        power = (power * common._BASE) & M64
+    return slow_mix((total + len(b)) & M64)
+
+
+def slow_language(model, text):
+    """lang, score and the words' languages, by loops over features, words and lines."""
+    n = len(model.langs)
+    mass, labels = np.zeros(n), []
+    word = re.compile(rb"[A-Za-z\x80-\xff]+")
+    move, first = np.exp(model.trans), np.exp(model.start)
+    for line in (text or "").split("\n"):
+        found = [m[0].lower() for m in word.finditer(line.encode())]
+        e = []
+        for w in found:
+            f = [slow_hash(w)]
+            for k in range(1, min(3, len(w)) + 1):
+                f += [slow_mix((slow_hash(w[:k]) + k) & M64), slow_mix((slow_hash(w[-k:]) + 8 + k) & M64)]
+            f += [slow_mix((slow_hash(w[i : i + 3]) + 16) & M64) for i in range(len(w) - 2)]
+            e.append(np.exp(sum(model.weights[x >> (64 - language_id.FEATURE_BITS)].astype(float) for x in f) / np.sqrt(len(f))))
+        a = []
+        for p in e:
+            a.append(p * (a[-1] @ move if a else first))
+            a[-1] /= a[-1].sum()
+        b = np.ones(n)
+        for i in range(len(e) - 1, -1, -1):
+            g = a[i] * b / (a[i] * b).sum()
+            mass += g
+            labels.append((i, model.langs[int(g.argmax())]))
+            b = move @ (e[i] * b)
+            b /= b.sum()
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0, []
+    return model.langs[int(mass.argmax())], mass.max() / mass.sum(), labels
+
+
+@pytest.mark.parametrize("piece", [256, 3])
+def test_language_id_equals_a_slow_field(spark, sf, piece, monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(docs)
+    rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 6000][:60]
+    rows += [(-1, None), (-2, ""), (-3, " 12 "), (-4, "É"), (-5, "\n\nthe\n"), (-5, "\n\nthe\n"), (-6, rows[0][1].replace("\n", " ") + rows[1][1].replace("\n", " "))]
+    slow = {d: slow_language(model, t) for d, t in rows}
+    raw, off = common.utf8(pa.array([t for _, t in rows], pa.large_string()))
+    w = language_id.Words(raw, off)
+    g, _ = model.words(w)
+    step = language_id._labeller(type("Shared", (), {"value": model}), 0)()
+    out = step(pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"]))[0].to_pylist()
+    for (d, _), r in zip(rows, out):
+        lang, score, _ = slow[d]
+        assert r["lang"] == lang and r["score"] == pytest.approx(score, abs=2e-3), d
+    for k, (d, _) in enumerate(rows):
+        got = [model.langs[x] for x in g[w.doc == k].argmax(1)]
+        assert sorted(x for _, x in slow[d][2]) == sorted(got)
+
+
+def test_forward_backward_in_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    e, start, trans = rng.normal(size=(60, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
+    chain, length = np.array([0, 41, 42, 52]), np.array([41, 1, 10, 8])
+    whole, pairs = language_id.forward_backward(e, start, trans, chain, length, True)
+    for n in (1, 2, 7, 10):
+        monkeypatch.setattr(language_id, "PIECE", n)
+        g, p = language_id.forward_backward(e, start, trans, chain, length, True)
+        assert np.allclose(g, whole) and np.allclose(p, pairs)
+
+
+def test_words_of_switched_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(docs)
+    part = {}
+    for r in docs.where("lang in ('en', 'de')").orderBy("doc_id").collect():
+        if not language_id_held(r.doc_id) and len(part.get(r.lang, "").split()) < 60:
+            part[r.lang] = f"{part.get(r.lang, '')} {' '.join(r.text.split())}"
+    en, de = (" ".join(part[x].split()[:40]) for x in ("en", "de"))
+    odd = spark.createDataFrame([(1, f"{en} {de}"), (2, None), (3, " 1 "), (4, (en + " ") * 4000)], "doc_id long, text string").withColumn("words", F.lit("own"))
+    out, name = language_id.label_words(odd, model)
+    got = {r.doc_id: r[name] for r in out.collect()}
+    half = len(en.encode())
+    assert name == "words_1" and got[2] == got[3] == [] and len(got[4]) == 4000 * sum(x.end <= half for x in got[1])
+    right = [x.lang == ("en" if x.end <= half else "de") for x in got[1]]
+    assert np.mean(right) > 0.85
+    labelled, n = language_id.identify(odd, model)
+    share = {r.doc_id: (r[n].lang, r[n].score) for r in labelled.collect()}
+    assert share[4][0] == "en" and share[4][1] > share[1][1]
+
+
+def language_id_held(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+def slow_toxicity(scorer, text):
+    """The score by edit distances of every word to every term, and a look at the words and marks around each hit."""
+    raw = (text or "").encode()
+    plain = re.sub("[\xa0-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\u2000-\u200b\u200e-\u206f\u3000-\u303f]", lambda m: " " * len(m[0].encode()), text or "").encode()
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in plain)
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[0-9a-z\x80-\xff]+", low)]
+    terms = [t.encode() for t in scorer.terms]
+    clean = set(scorer.clean.tolist())
+    meant, quoted, fuzzy, best = 0, 0, 0, 0.0
+    for k, (a, b) in enumerate(words):
+        w = low[a:b]
+        hit = next(((0, i) for i, t in enumerate(terms) if t == w), None)
+        if hit is None:
+            stems = [(len(t), i) for i, t in enumerate(terms) if t.endswith(b"*") and w.startswith(t[:-1])]
+            if stems:
+                hit = (0, max(stems)[1])
+            else:
+                near = [i for i, t in enumerate(terms) if not t.endswith(b"*") and len(t) >= toxicity.FUZZY_LENGTH and abs(len(t) - len(w)) <= 1 and edit_distance(t, w) == 1]
+                hit = (1, near[0]) if near and slow_hash(w) not in clean else None
+        if hit is None:
+            continue
+        n = toxicity.CONTEXT
+        lo = words[k - n - 1][1] if k > n else 0
+        hi = words[k + n + 1][0] if k + n + 1 < len(words) else len(raw)
+        has = lambda part: any(q.encode() in part for q in toxicity.QUOTES)
+        said = any(low[x:y].decode() in toxicity.SAYING for x, y in words[max(0, k - n) : k])
+        if has(raw[lo:a]) and has(raw[b:hi]) or said:
+            quoted += 1
+        else:
+            meant, fuzzy = meant + (hit[0] == 0), fuzzy + (hit[0] == 1)
+            best = max(best, scorer.weight[hit[1]] / (1 + hit[0]))
+    x = np.array([1, np.log1p(meant), np.log1p(quoted), np.log1p(fuzzy), best, np.log1p(100 * (meant + fuzzy) / max(1, len(words)))])
+    return 1 / (1 + np.exp(-np.clip(x @ scorer.coef, -30, 30)))
+
+
+def test_toxicity_equals_a_slow_scorer(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scorer = toxicity.fit(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id").collect() if len(r.text) < 3000][:25]
+    rows += [(-1, None), (-2, ""), (-3, "They said: “you stupid idiot”"), (-4, "you stupid idiot"), (-5, "“stupid”—idiot…moron"), (-6, "idiott stupjd"), (-7, 'a "' + "x " * 7 + 'idiot "'), (-8, "idiot" + "z" * 50_000 + " scum")]
+    long_stem = next((t[:-1] for t in scorer.terms if t.endswith("*")), None)
+    rows += [(-9, f"{long_stem}{'q' * 100}")] if long_stem else []
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out, name = toxicity.score_toxicity(frame, scorer)
+    for r in out.collect():
+        text = dict(rows)[r.doc_id]
+        if len(text or "") < 10_000:
+            assert r[name].score == pytest.approx(slow_toxicity(scorer, text), abs=1e-6), r.doc_id
+    if long_stem:
+        assert {r.doc_id: r[name].meant for r in out.collect()}[-9] == 1
+
+
+def test_toxicity_of_quotation_and_abuse(spark):
+    scorer = toxicity.Scorer({"idiot": 1.0, "scum": 1.0}, set())
+    said = "He called them “scum” and wrote"
+    long_quote = '"idiot" ' + "w" * 300 + ' "'
+    rows = [(1, said), (2, "you scum"), (3, "“" + "idiot " * 3 + "”"), (4, "scum"), (5, '"a b c d e f g h i scum j k l m n o p q"'), (6, 'first "idiot ' + "w" * 500 + '" end'), (7, long_quote), (8, None), (2, "you scum")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"toxicity": F.lit("own"), "score": F.lit(1)})
+    out, name = toxicity.score_toxicity(frame, scorer)
+    got = {r.doc_id: (r[name].meant, r[name].quoted) for r in out.collect()}
+    assert name == "toxicity_1" and got == {1: (0, 1), 2: (1, 0), 3: (0, 3), 4: (1, 0), 5: (1, 0), 6: (0, 1), 7: (0, 1), 8: (0, 0)}
+    assert toxicity.toxicity_report(frame.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, f"idiot {k} " * 50) for k in range(400)] + [(1, "idiot again")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    seen = []
+    learned = toxicity._learned
+    toxicity._learned = lambda words, y, *a: seen.append(len(y)) or learned(words, y, *a)
+    try:
+        toxicity.fit(docs, labels, fit_bytes=20_000)
+        toxicity.fit(docs, labels, per_label=30)
+    finally:
+        toxicity._learned = learned
+    assert seen[0] < 100 and seen[1] == 60
+
+
 # ---- pipeline
 
 
@@ -509,19 +706,34 @@ def test_pipeline_keeps_texts_of_many_languages(spark):
     line = lambda k: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwx"[4 * k : 4 * k + 4]) for _ in range(6)) for _ in range(12))
     rows = [(k, line(k % 6), f"l{k % 6}") for k in range(240)]
     rows += [(1000, "\n".join(line(k) for k in range(6)), None), (1001, None, None), (1002, "12 !", None)]
+    rows += [(1003, " ".join("".join(rng.choice("αβγδεζηθικλμ") for _ in range(7)) for _ in range(40)), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert kept == {*range(240), 1000}
 
 
-def test_pipeline(spark, sf):
+def test_pipeline(spark, sf, tmp_path):
     import corpus_pipeline
 
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(9)
+    junk = " ".join("".join(rng.choice("абвгдежзик") for _ in range(8)) for _ in range(50))
+    first = docs.orderBy("doc_id").first()
+    odd = [(900_001, None, None, None, None), (900_002, "", "en", "s", 0), (900_003, junk, None, "s", 0), (900_004, first.text, None, "s", 0), (first.doc_id, first.text, first.lang, first.source, first.n_chars), (None, "the and of", None, None, 0)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema)).withColumn("ids", F.lit("own"))
+    sf, old = f"{tmp_path}", sf
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"{old}/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = corpus_pipeline.run(spark, sf)
     assert out.columns[: len(docs.columns)] == docs.columns
     got = {r.doc_id: r for r in out.collect()}
+    assert out.columns[-3:] == ["ids_1", "n_ids", "same"]
+    gone = {900_001, 900_002, 900_003}
+    docs = docs.where(F.coalesce(~F.col("doc_id").isin(*gone), F.lit(True)))
     source = {r.doc_id: r.text for r in docs.collect()}
+    assert out.where("doc_id is null").count() == 1 and 900_004 not in got
+    source.pop(None), got.pop(None)
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     lines = [(d, t) for d, t in source.items()]
     keep = {k for k, x in brute_lines(lines).items()}
@@ -531,3 +743,13 @@ def test_pipeline(spark, sf):
     leaks = brute_contamination([(d, changed[d]) for d in want], bench)
     want = {d for d in want if not leaks[d][-1]}
     assert {*got} == want and all(got[d].text == changed[d] and got[d].same for d in want)
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = len(common.made(spark))
+    assert corpus_pipeline.run(spark, f"{tmp_path}").count() == 0
+    assert len(common.made(spark)) <= before + 1
