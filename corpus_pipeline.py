@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekspark.llm.common import shared_dir, ship
+from seekspark.llm.common import clear, made, shared_dir, ship
 from seekspark.llm.decontaminate import drop_contaminated
 from seekspark.llm.language_id import keep_identified
 from seekspark.llm.line_dedup import drop_repeated_lines
@@ -18,9 +18,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) go; the field is fitted on the rows that aren't held out."""
+    """Documents without a language go: null, no letter, or words of no learned language. The field is fitted on the rows that aren't held out."""
     ship(spark)
-    return keep_identified(docs, min_score=0.0)
+    return keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +59,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read by the next."""
+    """All stages over documents; each result is written to the shared folder and read by the next.
+
+    What a stage has stored, and the result of the stage before, are deleted once its own result is there.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", len(made(spark))
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        clear(spark, before)
+        made(spark).append(path)
+        docs = spark.read.parquet(path)
     return docs
