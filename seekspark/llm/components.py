@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import stored
+from seekspark.llm.common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,7 +37,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(edges)
     while state[0]:
-        edges = stored(_small_star(_large_star(edges)), "links")
+        old = edges
+        edges = stored(_small_star(_large_star(old)), "links")
+        discard(old)
         state, before = _state(edges), state
         if state == before:
             break

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekspark.llm.common import SOLID, Prefix, by_partition, chunks, lowered, mix, shingles, small_side, stored, utf8, word_spans
+from seekspark.llm.common import SOLID, Prefix, by_partition, chunks, discard, lowered, mix, shingles, small_side, stored, utf8, word_spans
 from seekspark.llm.components import components
 
 #: A pair at similarity 0.8 shares none of the 32 bands of 5 with probability 3e-6.
@@ -26,6 +26,9 @@ BANDS, ROWS = 32, 5
 #: Bits of the one-bit sketch that pairs behind the bucket's lead are screened with, and the standard deviations that a pair may lie below the threshold (a pair at the threshold is lost with probability 3e-6).
 SCREEN_BITS, SCREEN_SIGMA = 2048, 4.5
 
+#: Rows of one block of a large bucket; the pairs of two blocks are one cell of the join behind the lead.
+CELL_ROWS = 2000
+
 _U = np.uint64
 _EMPTY = _U(2**64 - 1)
 
@@ -139,14 +142,53 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
     sets = stored(_texts_of(docs, ids).mapInArrow(_sets(n), "id long, s array<long>"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return stored(both.withColumn("c", common).where(F.expr(f"100L * c >= {percent}L * (size(a) + size(b) - c)")).select("u", "v"), "confirmed")
+    out = stored(both.withColumn("c", common).where(F.expr(f"100L * c >= {percent}L * (size(a) + size(b) - c)")).select("u", "v"), "confirmed")
+    discard(pairs, ids, sets)
+    return out
 
 
 def _alike(percent: int) -> str:
     return f"100L * least(m, n) >= {percent}L * greatest(m, n)"
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _buckets(base: DataFrame, copied: DataFrame, n_copied: int) -> DataFrame:
+    """(k, band, id, n, size, u, m): the members of each band's bucket of two or more, with the bucket's lead u and its set size m.
+
+    Of equal sets the representative alone is a member. Only band keys are counted over all
+    documents; members are shuffled where their key repeats. The lead is the text with the
+    most copies (of several one by hash).
+    """
+    reps = base.where("doc_id is not null and n_shingles > 0").join(small_side(copied, n_copied), ["h1", "h2"], "left").where("rep is null or rep = doc_id")
+    keys = stored(reps.select(F.explode("bands").alias("k")).groupBy("k").count().where("count > 1").select("k"), "keys")
+    members = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.coalesce("copies", F.lit(1)).alias("copies"), F.posexplode("bands").alias("band", "k"))
+    members = stored(members.join(small_side(keys, keys.count()), "k").distinct(), "members")
+    order = F.shiftleft("copies", 32) + F.pmod(F.xxhash64("id"), F.lit(1 << 32))
+    leads = members.groupBy("k").agg(F.max_by("id", order).alias("u"), F.max_by("n", order).alias("m"), F.count("*").alias("size")).where("size > 1")
+    out = stored(members.drop("copies").join(leads, "k").select("k", "band", "id", "n", "size", "u", "m"), "buckets")
+    discard(keys, members)
+    return out
+
+
+def _met(rest: DataFrame, percent: int, cell_rows: int) -> DataFrame:
+    """(u, v): pairs of one bucket and two components that may be similar, by set sizes and the screen.
+
+    A bucket's rows are dealt into blocks of about cell_rows, and each two blocks meet in a
+    cell of their own, so that no task holds a whole large bucket.
+    """
+    n_words = SCREEN_BITS // 64
+    far = (1 - percent / 100) / 2
+    most = int(SCREEN_BITS * far + SCREEN_SIGMA * (SCREEN_BITS * far * (1 - far)) ** 0.5)
+    sizes = rest.groupBy("k").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "k").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    seats = stored(dealt.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("blocks", "other"), "seats")
+    apart = " + ".join(f"bit_count(a.b{k} ^ b.b{k})" for k in range(n_words))
+    shared = "array_position(zip_with(a.bands, b.bands, (x, y) -> x = y), true) = a.band + 1"  # a pair counts in the first bucket that it shares
+    on = f"a.k = b.k and a.x = b.x and a.y = b.y and (a.block = b.block) = (a.x = a.y) and a.id < b.id and a.c != b.c and 100L * least(a.n, b.n) >= {percent}L * greatest(a.n, b.n) and {apart} <= {most} and {shared}"
+    return seats.alias("a").join(seats.alias("b"), F.expr(on)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Documents are linked where 100 * intersection >= percent * union of their sets of
@@ -157,13 +199,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     """
     base = stored(by_partition(docs.select("doc_id", "text"), _sketches(words, bands, rows), T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])).drop("text"), "sketches")
     real = base.where("doc_id is not null and n_shingles > 0")
-    classes = stored(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("x"), F.count("*").alias("copies")).select("h1", "h2", "rep", "copies", "x.*"), "classes")
-    members = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "copies", F.posexplode("bands").alias("band", "k"))
+    copied = stored(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "copied")
+    n_copied = copied.count()
 
-    # Each member of a bucket against the bucket's lead, the text with the most copies.
-    leads = members.groupBy("k").agg(F.min(F.struct((-F.col("copies")).alias("first"), "id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    bucket = stored(members.drop("copies").join(leads, "k").select("k", "band", "id", "n", "size", F.col("lead.id").alias("u"), F.col("lead.n").alias("m")), "buckets")
-    star = bucket.where("id != u").where(_alike(percent)).select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
+    # Each member of a bucket against the bucket's lead.
+    bucket = _buckets(base, copied, n_copied)
+    star = stored(bucket.where("id != u").where(_alike(percent)).select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct(), "star")
     real_docs = docs.where("doc_id is not null")
     links = _confirmed(real_docs, star, words, percent)
     labels = components(links)
@@ -174,22 +215,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     mixed = open_rows.groupBy("k").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("k")
     rest = stored(open_rows.join(mixed, "k", "left_semi").where("id != u").drop("u"), "rest")
     ids = stored(rest.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    n_words = SCREEN_BITS // 64
-    screens = _texts_of(real_docs, ids).mapInArrow(_screens(words), "id long, " + ", ".join(f"b{k} long" for k in range(n_words)))
-    screens = stored(screens.dropDuplicates(["id"]).join(classes.select(F.col("rep").alias("id"), "bands"), "id"), "screens")
-    seats = stored(rest.join(screens, "id"), "seats")
-    far = (1 - percent / 100) / 2
-    most = int(SCREEN_BITS * far + SCREEN_SIGMA * (SCREEN_BITS * far * (1 - far)) ** 0.5)
-    apart = " + ".join(f"bit_count(a.b{k} ^ b.b{k})" for k in range(n_words))
-    shared = "array_position(zip_with(a.bands, b.bands, (x, y) -> x = y), true) = a.band + 1"  # a pair counts in the first bucket that it shares
-    more = seats.alias("a").join(seats.alias("b"), F.expr(f"a.k = b.k and a.id < b.id and a.c != b.c and 100L * least(a.n, b.n) >= {percent}L * greatest(a.n, b.n) and {apart} <= {most} and {shared}"))
-    more = more.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
+    screens = _texts_of(real_docs, ids).mapInArrow(_screens(words), "id long, " + ", ".join(f"b{k} long" for k in range(SCREEN_BITS // 64)))
+    own_bands = real.select(F.col("doc_id").alias("id"), "bands").join(small_side(ids.select(F.col("doc_id").alias("id")), ids.count()), "id", "left_semi")
+    screens = stored(screens.dropDuplicates(["id"]).join(own_bands.dropDuplicates(["id"]), "id"), "screens")
+    more = _met(rest.join(screens, "id"), percent, cell_rows).join(star, ["u", "v"], "left_anti")
     more_links = _confirmed(real_docs, more, words, percent)
     if not more_links.isEmpty():
         labels = components(links.union(more_links))
+    discard(bucket, star, links, open_rows, rest, ids, screens, more_links)
 
-    copied = classes.where("copies > 1").select("h1", "h2", "rep")
-    out = base.drop("bands").join(small_side(copied, copied.count()), ["h1", "h2"], "left")
+    out = base.drop("bands").join(small_side(copied.select("h1", "h2", "rep"), n_copied), ["h1", "h2"], "left")
     out = out.withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     labels = labels.select(F.col("id").alias("rep"), "component")
     out = out.join(small_side(labels, labels.count()), "rep", "left")

@@ -151,6 +151,22 @@ def test_near_duplicates_of_one_large_group(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("cell_rows", [2000, 7])
+def test_near_duplicates_of_a_hot_bucket(spark, cell_rows):
+    """Many texts in common buckets, few of them linked: bands of one row meet in large buckets, which are dealt into cells."""
+    rng = random.Random(11)
+    head = [f"h{k}" for k in range(25)]
+    rows = []
+    for k in range(90):
+        tail = [f"t{k // 2}x{j}" for j in range(40)]
+        if k % 2:
+            tail[rng.randrange(40)] = "edit"
+        rows.append((k, " ".join(head + tail), "en", "s", 0))
+    rows.append((500, "word " * 100_000, "en", "s", 0))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicate_report(spark.createDataFrame(rows, DOCS), words=4, bands=40, rows=1, cell_rows=cell_rows).collect()}
+    assert got == brute_components(rows) and sum(x[2] for x in got.values()) < 60
+
+
 def test_null_ids_are_linked_with_nothing(spark):
     rows = [(None, "a b c d e", "en", "s", 0), (4, "a b c d e", "en", "s", 0), (4, "a b c d e", "en", "s", 0), (7, "A b c d e", "en", "s", 0)]
     got = sorted(near_dedup.near_duplicate_report(spark.createDataFrame(rows, DOCS)).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
