@@ -253,8 +253,9 @@ def minimax(sizes, shards):
     return lo
 
 
-def test_sharding(spark, docs, rows):
-    got = sharding.shard(docs, shards=4).collect()
+@pytest.mark.parametrize("range_bits", [14, 2])
+def test_sharding(spark, docs, rows, range_bits):
+    got = sharding.shard(clashing(docs, "size", "shard", "h"), shards=4, range_bits=range_bits).collect()
     assert {r.doc_id for r in got} == {r[0] for r in rows} and len(got) == len(rows)
     text = {r[0]: r[1] or "" for r in rows}
     of = {}
@@ -263,14 +264,42 @@ def test_sharding(spark, docs, rows):
         assert of.setdefault(text[r.doc_id], r.shard) == r.shard
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    groups = {}
-    for r in docs.select("text", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 50).alias("g")).collect():
-        groups[r.g] = groups.get(r.g, 0) + len((r.text or "").encode()) + 1
-    load = [sum(r.size for r in got if r.shard == s) for s in range(4)]
-    assert max(load) == minimax([groups[g] for g in sorted(groups)], 4)
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def best_of(spark, rows, shards, hot=()):
+    """The least maximum of contiguous partitions of the equal texts in the order of their hash, without the hot ones."""
+    groups = {}
+    for r in spark.createDataFrame(rows, "doc_id long, text string").select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect():
+        if r.text not in hot:
+            groups[r.h] = groups.get(r.h, 0) + len(r.text.encode()) + 1
+    return minimax([groups[h] for h in sorted(groups)], shards)
+
+
+@pytest.mark.parametrize("range_bits,n", [(14, 3000), (3, 3000), (6, 40), (2, 5)])
+def test_sharding_is_the_best_partition(spark, range_bits, n):
+    rng = random.Random(n)
+    rows = [(k, words_text(rng, rng.randrange(1, 40), 30)) for k in range(n)]
+    rows += [(k, rows[k][1]) for k in range(0, n, 3)] + [(7, rows[0][1])] * 3
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), range_bits=range_bits).collect()
+    load = [sum(r.size for r in got if r.shard == s) for s in range(16)]
+    of, text = {}, dict(rows)
+    for r in got:
+        assert of.setdefault(text[r.doc_id] if r.doc_id != 7 else (r.doc_id, r.text_crc32), r.shard) == r.shard
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    total, free, hot = sum(load), 16, []
+    sizes = {}
+    for _, t in rows:
+        sizes[t] = sizes.get(t, 0) + len(t.encode()) + 1
+    for t, x in sorted(sizes.items(), key=lambda p: -p[1])[:16]:
+        if x * free > total:
+            total, free, hot = total - x, free - 1, [*hot, t]
+    own = {of[t] for t in hot if t in of}
+    if n > 5:
+        assert max(x for s, x in enumerate(load) if s not in own) == best_of(spark, rows, free, hot)
+
+
 def test_sharding_with_hot_groups(spark):
     rng = random.Random(8)
     rows = [(k, words_text(rng, 20)) for k in range(3000)]
@@ -284,9 +313,7 @@ def test_sharding_with_hot_groups(spark):
         assert of.setdefault(text[r.doc_id], r.shard) == r.shard
     own = [of[t] for t in hot]
     assert len(got) == len(rows) and len({*own}) == 2
-    others = [x for s, x in enumerate(load) if s not in own]
-    fair = sum(others) / 14
-    assert all(0.9 * fair < x < 1.1 * fair for x in others), load
+    assert max(x for s, x in enumerate(load) if s not in own) == best_of(spark, rows, 14, hot)
     for s in range(16):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
