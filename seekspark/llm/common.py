@@ -245,17 +245,28 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class Known:
+    """Sorted distinct keys (unsigned integers), with a bitmap that most others fail at."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.mask = _U((1 << max(16, min(26, int(np.log2(max(1, len(keys)))) + 5))) - 1)
+        self.likely = np.zeros(int(self.mask) + 1, bool)
+        self.likely[keys & self.mask] = True
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where values are among the keys: positions in values, and in keys."""
+        if not len(self.keys) or not len(values):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.likely[values & self.mask])
+        where = np.minimum(np.searchsorted(self.keys, values[at]), len(self.keys) - 1)
+        same = self.keys[where] == values[at]
+        return at[same], where[same]
+
+
 def lookup(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where values are among the sorted distinct keys: positions in values, and in keys."""
-    if not len(keys) or not len(values):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bits = max(16, min(26, int(np.log2(len(keys))) + 5))
-    likely = np.zeros(1 << bits, bool)
-    likely[keys & _U((1 << bits) - 1)] = True
-    at = np.flatnonzero(likely[values & _U((1 << bits) - 1)])
-    where = np.minimum(np.searchsorted(keys, values[at]), len(keys) - 1)
-    same = keys[where] == values[at]
-    return at[same], where[same]
+    return Known(keys).find(values) if len(keys) and len(values) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def expand(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ are sharded by anchor, so equal strings meet in one shard; an anchor with very m
 contexts is split over more shards. Each shard sorts its distinct contexts' suffixes with
 Larsson-Sadakane refinement and gets their common prefixes with Kasai's bound; strings
 that an earlier one equals are repeated. The first strings of the shards of one split
-anchor are merged by binary search.
+anchor are sorted runs of bytes, which are merged two by two by binary search.
 """
 
 from __future__ import annotations
@@ -22,17 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekspark.llm.common import NO_ID, Prefix, by_partition, chunks, expand, fresh_name, runs, small_side, stored, utf8
+from seekspark.llm.common import NO_ID, Known, Prefix, by_partition, chunks, discard, expand, fresh_name, mix, runs, small_lists, stored, utf8
 
 LENGTH, GRAM = 100, 20
 #: Contexts of one anchor that one shard takes, and the bytes of contexts that are sorted at once.
 SHARD_ROWS, SHARD_BYTES = 2048, 1 << 19
-#: Parts in which the first strings of one shard are merged with those of the others.
-MERGE_BUCKETS = 32
-#: Repeated anchors that are sent to every executor (16 bytes each); more are joined.
-SENT_ANCHORS = 4_000_000
-#: Documents whose removed spans are sent to every executor; more are joined.
-SENT_SPANS = 500_000
+#: Parts in which the first strings of one shard are merged with those of the others, and first strings that are merged at once.
+MERGE_BUCKETS, MERGE_ROWS = 32, 50_000
+#: Repeated anchors that are sent to every executor (4 bytes each); more are joined.
+SENT_ANCHORS = 12_000_000
 
 _U = np.uint64
 
@@ -60,13 +58,37 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[n
     return best, h[best]
 
 
-def _sorted_by(major: np.ndarray, minor: np.ndarray, items: np.ndarray, bits: int) -> np.ndarray:
-    """The order of (major, minor, item); in one sort of packed words while they fit."""
+def _heads(text: np.ndarray, left: np.ndarray, room: int) -> tuple[np.ndarray, int]:
+    """The first bytes of each suffix as one number below 2^room, and how many they are. An end is 0, bytes are numbered from 1."""
+    used = np.flatnonzero(np.bincount(text, minlength=256))
+    code = np.zeros(256, np.uint64)
+    code[used] = np.arange(1, len(used) + 1)
+    width = len(used).bit_length()
+    size = max(1, room // max(1, width))
+    part, key, have, span = code[text], np.zeros(len(text), np.uint64), 0, 1
+    while True:  # part holds `span` bytes; the binary digits of size say which parts make the key
+        if size & span:
+            more = np.zeros_like(part)
+            more[: len(part) - have] = part[have:]
+            key = (key << _U(span * width)) | np.where(left > have, more, _U(0))
+            have += span
+        if 2 * span > size:
+            return key, size
+        more = np.zeros_like(part)
+        more[: len(part) - span] = part[span:]
+        part = (part << _U(span * width)) | np.where(left > span, more, _U(0))
+        span *= 2
+
+
+def _sorted_by(major: np.ndarray, minor: np.ndarray, items: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """minor and items in the order of (major, minor, item); by one sort of packed words while they fit."""
     if 3 * bits <= 64:
         packed = (major.astype(np.uint64) << _U(2 * bits)) | (minor.astype(np.uint64) << _U(bits)) | items.astype(np.uint64)
         packed.sort()
-        return (packed & _U((1 << bits) - 1)).astype(np.int64)
-    return items[np.lexsort((items, minor, major))]
+        low = _U((1 << bits) - 1)
+        return ((packed >> _U(bits)) & low).astype(np.int64), (packed & low).astype(np.int64)
+    order = np.lexsort((items, minor, major))
+    return minor[order], items[order]
 
 
 def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -76,37 +98,30 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     by which suffixes are sorted, but only within groups that are still equal, by the
     rank of what follows. Equal suffixes stay in text order.
     """
-    n, head = len(text), 4
-    bits = max(2, (n + 1).bit_length())
-    padded = np.concatenate([text, np.zeros(head, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for k in range(head):
-        key = (key << _U(9)) | np.where(left > k, padded[k : k + n].astype(np.uint64) + _U(1), _U(0))
-    if 9 * head + bits <= 64:
-        packed = (key << _U(bits)) | np.arange(n, dtype=np.uint64)
-        packed.sort()
-        sa = (packed & _U((1 << bits) - 1)).astype(np.int64)
-    else:
-        sa = np.argsort(key, kind="stable")
-    ordered, ended = key[sa], left[sa] < head
+    n = len(text)
+    bits = max(2, (n + 2).bit_length())
+    key, h = _heads(text, left, 64 - bits)
+    packed = (key << _U(bits)) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    sa = (packed & _U((1 << bits) - 1)).astype(np.int64)
+    ordered, ended = packed >> _U(bits), left[sa] < h
     # A suffix that has ended stands by itself, in text order among its equals.
     new = np.r_[True, ordered[1:] != ordered[:-1]] | ended if n else np.zeros(0, bool)
     rank = np.full(n + 1, -1, np.int64)
-    h = head
-    while True:
+    place, own = np.arange(n), sa
+    while True:  # place: where the suffixes stand whose groups were open; own: those suffixes
         first = np.flatnonzero(new)
-        size = np.diff(np.r_[first, n])
-        rank[sa] = np.repeat(first, size)
-        open_groups = np.flatnonzero(size > 1)
-        if not len(open_groups):
+        size = np.diff(np.r_[first, len(place)])
+        group = np.repeat(place[first], size)
+        rank[own] = group
+        still = np.repeat(size > 1, size)
+        place, group, own = place[still], group[still], own[still]
+        if not len(place):
             return sa
-        place, group = expand(first[open_groups], size[open_groups])
-        own = sa[place]
         # What follows an ended suffix ranks 0; the others' ranks move up by one.
-        own = _sorted_by(group, np.where(left[own] > h, rank[np.minimum(own + h, n)] + 1, 0), own, bits)
+        follow, own = _sorted_by(group, np.where(left[own] > h, rank[np.minimum(own + h, n)] + 1, 0), own, bits)
         sa[place] = own
-        follow = np.where(left[own] > h, rank[np.minimum(own + h, n)] + 1, 0)
-        new[place] = np.r_[True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])] | (follow == 0)
+        new = np.r_[True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])] | (follow == 0)
         h *= 2
 
 
@@ -182,8 +197,9 @@ def _cut_contexts(batch_ids, batch_ts, raw, off, doc, pos, h, n, length, gram) -
     lo = np.maximum(off[doc], pos - (length - gram))
     hi = np.minimum(off[doc + 1], pos + length)
     ids, ts = batch_ids.take(pa.array(doc)), batch_ts.take(pa.array(doc))
-    shards = -(-n // SHARD_ROWS)
-    salt = (np.asarray(ids, dtype=np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(33)).astype(np.int64) % np.maximum(1, shards)
+    # Each place has its salt, so that a split anchor's shards are even if one text has most of its occurrences.
+    own = np.asarray(ids, dtype=np.int64).view(np.uint64) ^ mix(np.asarray(ts, dtype=np.int64).view(np.uint64) + (pos - off[doc]).astype(np.uint64))
+    salt = (mix(own) % np.maximum(1, -(-n // SHARD_ROWS)).astype(np.uint64)).astype(np.int64)
     at = np.concatenate([[0], np.cumsum(hi - lo)])
     data = raw[expand(lo, hi - lo)[0]]
     ctx = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
@@ -191,20 +207,27 @@ def _cut_contexts(batch_ids, batch_ts, raw, off, doc, pos, h, n, length, gram) -
 
 
 def _known_contexts(shared, length: int, gram: int):
-    """(id, t, text) to contexts, by the repeated anchors that every executor has."""
+    """(id, t, text) to contexts, by what every executor has of the repeated anchors.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from seekspark.llm.common import lookup
+    That is the upper halves of their hashes; an anchor that shares its half with a repeated
+    one gives a context too many, which meets no equal. Those that are split are known in full.
+    """
 
-        keys, counts = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves, keys, counts = shared.value
+        halves, split = Known(halves), Known(keys)
         for batch in batches:
             raw, off = utf8(batch.column(2))
             for a, b in chunks(off, CONTEXT_BYTES):
                 part, o = raw[off[a] : off[b]], off[a : b + 1] - off[a]
                 pos, h = anchors(part, o, length, gram)
-                hit, key = lookup(keys, h)
-                doc = np.searchsorted(o, pos[hit], "right") - 1
-                yield _cut_contexts(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), part, o, doc, pos[hit], h[hit], counts[key], length, gram)
+                hit, _ = halves.find((h >> _U(32)).astype(np.uint32))
+                pos, h = pos[hit], h[hit]
+                n = np.ones(len(h), np.int64)
+                at, key = split.find(h)
+                n[at] = counts[key]
+                doc = np.searchsorted(o, pos, "right") - 1
+                yield _cut_contexts(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), part, o, doc, pos, h, n, length, gram)
 
     return run
 
@@ -232,23 +255,23 @@ def _joined_contexts(length: int, gram: int):
     return run
 
 
-_FOUND = "id long, t long, s long, e long, a long, bucket int, w1 long, w2 long"
+_FOUND = "id long, t long, s long, e long, a long, bucket int, salt int, string binary"
 
 
-def _found(ids, ts, s, e, a=None, bucket=None, w1=None, w2=None) -> pa.RecordBatch:
+def _found(ids, ts, s, e, a=None, bucket=None, salt=None, string=None) -> pa.RecordBatch:
+    """Spans that go (bucket -1), or first strings on their way to the merge."""
     zero = np.zeros(len(ids), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ts), pa.array(s), pa.array(e), pa.array(zero if a is None else a), pa.array((zero - 1 if bucket is None else bucket).astype(np.int32)), pa.array(zero if w1 is None else w1), pa.array(zero if w2 is None else w2)], names=["id", "t", "s", "e", "a", "bucket", "w1", "w2"])
+    string = pa.nulls(len(ids), pa.binary()) if string is None else string
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ts), pa.array(s), pa.array(e), pa.array(zero if a is None else a), pa.array((zero - 1 if bucket is None else bucket).astype(np.int32)), pa.array((zero if salt is None else salt).astype(np.int32)), string], names=["id", "t", "s", "e", "a", "bucket", "salt", "string"])
 
 
 def _shard(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     """One shard's repeated spans (bucket -1), and the first strings of split anchors for the merge."""
-    ids, ts, start, a, n = (np.asarray(t.column(c), dtype=np.int64) for c in ("id", "t", "start", "a", "n"))
+    ids, ts, start, a, n, salt = (np.asarray(t.column(c), dtype=np.int64) for c in ("id", "t", "start", "a", "n", "salt"))
     ctx = t.column("ctx").combine_chunks()
-    size = np.asarray(pc.binary_length(ctx), dtype=np.int64)
-    raw = np.frombuffer(b"".join(ctx.to_pylist()), np.uint8)
-    begin = np.concatenate([[0], np.cumsum(size)])
-    whole = Prefix(raw).of(begin[:-1], begin[1:])
-    keep, first = _firsts(whole, ids, ts, start)
+    begin = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
+    size, raw = np.diff(begin), np.frombuffer(ctx.buffers()[2], np.uint8)
+    keep, first = _firsts(np.asarray(pc.dictionary_encode(ctx).indices), ids, ts, start)
     # An earlier context is the same: all of this one is repeated.
     yield _found(ids[~first], ts[~first], start[~first], start[~first] + size[~first])
     # The distinct contexts are sorted, each where it is first.
@@ -290,11 +313,10 @@ def _shard(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         one = np.r_[True, (group[1:] != group[:-1]) | (a[c][1:] != a[c][:-1])][: len(w)]
         w, c = w[one], c[one]
         at = own[w] - begin[:-1][c] + start[c]
-        p, q = Prefix(raw), Prefix(raw[::-1])
-        w1 = p.of(own[w], own[w] + length).view(np.int64)
-        w2 = q.of(len(raw) - own[w] - length, len(raw) - own[w]).view(np.int64)
-        bucket = (w1.view(np.uint64) % (MERGE_BUCKETS * -(-n[c] // SHARD_ROWS)).astype(np.uint64)).astype(np.int64)
-        yield _found(ids[c], ts[c], at, at + length, a[c], bucket, w1, w2)
+        strings = np.lib.stride_tricks.sliding_window_view(raw, length)[own[w]] if len(w) else np.zeros((0, length), np.uint8)
+        bucket = (Prefix(raw).of(own[w], own[w] + length) % (MERGE_BUCKETS * -(-n[c] // SHARD_ROWS)).astype(np.uint64)).astype(np.int64)
+        offsets = pa.py_buffer(np.arange(0, (len(w) + 1) * length, length, dtype=np.int32))
+        yield _found(ids[c], ts[c], at, at + length, a[c], bucket, salt[c], pa.Array.from_buffers(pa.binary(), len(w), [None, offsets, pa.py_buffer(np.ascontiguousarray(strings))]))
 
 
 def _held(batches: Iterator[pa.RecordBatch], keys: list[str], weigh, limit: int) -> Iterator[pa.Table]:
@@ -333,17 +355,55 @@ def _shards(length: int):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First strings of the shards of one anchor to those that an earlier shard's string equals."""
-    for table in _held(batches, ["a", "bucket"], lambda b: b.num_rows, 200_000):
-        ids, ts, s, e, w1, w2 = (np.asarray(table.column(c), dtype=np.int64) for c in ("id", "t", "s", "e", "w1", "w2"))
-        merged = np.unique(w1)
-        at = np.searchsorted(merged, w1)  # each shard's strings looked up in the merged order
-        order = np.lexsort((w2, at))
-        both = np.empty(len(at), np.int64)
-        both[order] = np.cumsum(np.r_[0, (np.diff(at[order]) != 0) | (np.diff(w2[order]) != 0)])
-        gone = ~_firsts(both, ids, ts, s)[1]
-        yield _found(ids[gone], ts[gone], s[gone], e[gone])
+def _merged(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of (string, row) as one; of equal strings the smaller row stays and the other is marked gone."""
+    at = np.searchsorted(x[0], y[0])  # binary search of the one run's strings in the other
+    there = np.minimum(at, len(x[0]) - 1)
+    same = np.flatnonzero(x[0][there] == y[0])
+    mine, theirs = x[1][there[same]], y[1][same]
+    gone[np.maximum(mine, theirs)] = True
+    x[1][there[same]] = np.minimum(mine, theirs)
+    rest = np.ones(len(at), bool)
+    rest[same] = False
+    return np.insert(x[0], at[rest], y[0][rest]), np.insert(x[1], at[rest], y[1][rest])
+
+
+def _merge(length: int):
+    """First strings of the shards of one anchor to those that another shard has earlier: sorted runs are merged two by two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _held(batches, ["a", "bucket"], lambda b: b.num_rows, MERGE_ROWS):
+            ids, ts, s, e, a, bucket, salt = (np.asarray(table.column(c), dtype=np.int64) for c in ("id", "t", "s", "e", "a", "bucket", "salt"))
+            order = np.lexsort((s, ts, ids, bucket, a))  # a group's rows by where they start: the smaller, the earlier
+            ids, ts, s, e, a, bucket, salt = (x[order] for x in (ids, ts, s, e, a, bucket, salt))
+            words = table.column("string").combine_chunks()
+            begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset]
+            words = np.frombuffer(words.buffers()[2], np.uint8)[begin : begin + length * len(s)].reshape(-1, length)[order]
+            # Runs hold the strings of one shard number, of each anchor by itself.
+            head = np.stack([a.view(np.uint64) ^ _U(1 << 63), bucket.astype(np.uint64)], 1).astype(">u8").view(np.uint8).reshape(len(s), 16)
+            keys = np.concatenate([head, words], 1).view(f"S{16 + length}").reshape(-1)
+            gone, runs_ = np.zeros(len(s), bool), []
+            by_salt = np.argsort(salt, kind="stable")
+            for rows in np.split(by_salt, np.flatnonzero(np.diff(salt[by_salt])) + 1) if len(s) else ():
+                strings, first, of = np.unique(keys[rows], return_index=True, return_inverse=True)
+                gone[rows] = first[of] != np.arange(len(rows))  # one shard may have been sorted in parts
+                runs_.append((strings, rows[first]))
+            while len(runs_) > 1:
+                runs_ = [_merged(runs_[k], runs_[k + 1], gone) if k + 1 < len(runs_) else runs_[k] for k in range(0, len(runs_), 2)]
+            # A place that was sent more than once is gone only where an earlier place has its string.
+            earliest = _earliest(gone, a, bucket, ids, ts, s)
+            yield _found(ids[earliest], ts[earliest], s[earliest], e[earliest])
+
+    return run
+
+
+def _earliest(gone: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Rows that are gone, without those whose group and place are those of a row that stays."""
+    new = np.r_[True, np.any([np.diff(x) != 0 for x in place], axis=0)] if len(gone) else np.zeros(0, bool)
+    number = np.cumsum(new) - 1
+    stays = np.zeros(len(gone), bool)
+    stays[number[~gone]] = True
+    return np.flatnonzero(gone & ~stays[number])
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,23 +430,26 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     texts = docs.where(F.octet_length("text") >= length).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("t"), "text")
     counts = texts.select("text").mapInArrow(_count(length, gram), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
     counts = stored(counts, "anchors")
-    n = counts.count()
-    if n <= SENT_ANCHORS:
-        table = counts.toArrow()
-        keys = np.asarray(table.column("a"), dtype=np.int64).view(np.uint64)
+    if counts.count() <= SENT_ANCHORS:
+        halves = np.unique(np.asarray(counts.select(F.shiftright("a", 32).cast("int")).toArrow().column(0), dtype=np.int32).view(np.uint32))
+        split = counts.where(F.col("n") > SHARD_ROWS).toArrow()
+        keys = np.asarray(split.column("a"), dtype=np.int64).view(np.uint64)
         order = np.argsort(keys)
-        shared = spark.sparkContext.broadcast((keys[order], np.asarray(table.column("n"), dtype=np.int64)[order]))
+        shared = spark.sparkContext.broadcast((halves, keys[order], np.asarray(split.column("n"), dtype=np.int64)[order]))
         contexts = texts.mapInArrow(_known_contexts(shared, length, gram), _CONTEXT)
     else:
+        # An anchor with very many occurrences makes a skewed join, which adaptive execution splits.
         marks = texts.mapInArrow(_all_anchors(length, gram), "id long, t long, pos long, a long").join(counts, "a")
         marks = marks.groupBy("id", "t").agg(F.collect_set(F.struct("pos", "a", "n")).alias("marks"))
         contexts = texts.join(marks, ["id", "t"]).select("id", "t", "text", "marks").mapInArrow(_joined_contexts(length, gram), _CONTEXT)
     sharded = contexts.repartition("a", "salt").sortWithinPartitions("a", "salt")
     found = stored(sharded.mapInArrow(_shards(length), _FOUND), "found")
-    split = found.where("bucket >= 0").repartition("a", "bucket").sortWithinPartitions("a", "bucket").mapInArrow(_merge, _FOUND)
+    split = found.where("bucket >= 0").repartition("a", "bucket").sortWithinPartitions("a", "bucket").mapInArrow(_merge(length), _FOUND)
     gone = found.where("bucket < 0").union(split)
     lists = gone.groupBy("id", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return lists.mapInArrow(_united, "id long, t long, spans array<struct<s:long,e:long>>")
+    spans = stored(lists.mapInArrow(_united, "id long, t long, spans array<struct<s:long,e:long>>"), "spans")
+    discard(counts, found)
+    return spans
 
 
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
@@ -433,10 +496,9 @@ def remove_repeats(docs: DataFrame, *, digest: bool = False, **options) -> tuple
     both id and text are one document. With digest, kept is the SHA-256 of the kept
     bytes in hex. Other columns pass through.
     """
-    spans = stored(repeated_spans(docs, **options), "spans")
-    gone = spans.select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
+    gone = repeated_spans(docs, **options).select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
     on = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_t"))
-    joined = docs.join(small_side(gone, spans.count(), SENT_SPANS), on, "left")
+    joined = docs.join(small_lists(gone, "_spans"), on, "left")
     name = fresh_name(docs, "repeats")
     source = joined.select(*(docs[c] for c in docs.columns), "_spans")
     out = by_partition(source, _remove(docs.columns.index("text"), len(docs.columns), digest), T.StructType([T.StructField(name, RESULT)]))

@@ -397,6 +397,27 @@ def test_suffix_dedup_edges(spark, docs):
     assert suffix_dedup.repeat_report(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows,sent", [(2, 10**6), (50, 10**6), (50, 0), (10**6, 10**6)])
+def test_suffix_dedup_of_hot_anchors(spark, shard_rows, sent, monkeypatch):
+    """One text with many occurrences of an anchor, many copies, texts without an id, short texts near two anchors."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(suffix_dedup, "SENT_ANCHORS", sent)
+    monkeypatch.setattr(suffix_dedup, "MERGE_ROWS", 300)
+    rng = random.Random(4)
+    unit = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    rows = [(0, "".join(unit + f"{k % 7}" for k in range(200))), (1, "z" * 20_000)]
+    rows += [(10 + k, f"{k} {unit} {unit[:60]}{k}") for k in range(60)]
+    rows += [(200 + k, unit[:105] + ("x" if k % 2 else "y")) for k in range(20)]
+    rows += [(300 + k, "".join(rng.choice("ab") for _ in range(400))) for k in range(10)]
+    rows += [(400, "\x00" * 150), (401, "\x00" * 149 + "a"), (402, "é" * 99 + "\x00" * 3)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeat_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_repeats(rows, 100)
+    nulls = [(None, f"{unit}{chr(33 + k)}") for k in range(40)] + [(5, unit)]
+    out = suffix_dedup.repeat_report(spark.createDataFrame(nulls, "doc_id long, text string").repartition(4)).collect()
+    removed = sorted(r.n_removed for r in out if r.doc_id is None)
+    assert sum(r.n_removed == 130 for r in out if r.doc_id == 5) == 1 and removed.count(0) == 1 and all(x == 130 for x in removed[1:])
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(2)
     for parts in (1, 5):
