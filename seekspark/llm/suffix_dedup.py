@@ -1,8 +1,9 @@
 """Repeated byte strings, found with suffix arrays of shards.
 
 Any two equal 100-byte strings have the same minimal 20-byte gram in them (winnowing), at
-the same place. A document's minimal grams are its anchors; the bytes around an anchor
-that such strings can reach are its context. Contexts whose anchor occurs more than once
+the same place. A document's minimal grams are its anchors; the strings of which an anchor
+is the minimal gram follow each other, and together are its context. Each string is in one
+context. Contexts whose anchor occurs more than once
 are sharded by anchor, so equal strings meet in one shard; an anchor with very many
 contexts is split over more shards. Each shard sorts its distinct contexts' suffixes with
 Larsson-Sadakane refinement and gets their common prefixes with Kasai's bound; strings
@@ -26,7 +27,7 @@ from seekspark.llm.common import NO_ID, Known, Prefix, by_partition, chunks, dis
 
 LENGTH, GRAM = 100, 20
 #: Contexts of one anchor that one shard takes, and the bytes of contexts that are sorted at once.
-SHARD_ROWS, SHARD_BYTES = 2048, 1 << 19
+SHARD_ROWS, SHARD_BYTES = 8192, 1 << 19
 #: Parts in which the first strings of one shard are merged with those of the others, and first strings that are merged at once.
 MERGE_BUCKETS, MERGE_ROWS = 32, 50_000
 #: Repeated anchors that are sent to every executor (4 bytes each); more are joined.
@@ -35,12 +36,12 @@ SENT_ANCHORS = 12_000_000
 _U = np.uint64
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are the first least one of a string of `length` bytes in one text."""
+def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each context, and the hash of its anchor: the gram that is the first least one of each of its strings."""
     size = np.diff(off)
     long_enough = np.flatnonzero(size >= length)
     if not len(long_enough):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     n = len(raw) - gram + 1
     at = np.arange(n)
     h = Prefix(raw).of(at, at + gram)
@@ -54,8 +55,8 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[n
         key = np.minimum(key[: len(key) - (reach - width)], key[reach - width :])
     starts = expand(off[:-1][long_enough], size[long_enough] - length + 1)[0]
     best = (key[starts] & _U(0xFFFFFFFF)).astype(np.int64)
-    best = np.unique(best)
-    return best, h[best]
+    first = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
+    return starts[first], starts[np.r_[first[1:], len(best)] - 1] + length, h[best[first]]
 
 
 def _heads(text: np.ndarray, left: np.ndarray, room: int) -> tuple[np.ndarray, int]:
@@ -168,7 +169,7 @@ def _count(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = utf8(batch.column(0))
-            found = [anchors(raw[off[a] : off[b]], off[a : b + 1] - off[a], length, gram)[1] for a, b in chunks(off)]
+            found = [anchors(raw[off[a] : off[b]], off[a : b + 1] - off[a], length, gram)[2] for a, b in chunks(off)]
             keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["a", "n"])
 
@@ -176,15 +177,16 @@ def _count(length: int, gram: int):
 
 
 def _all_anchors(length: int, gram: int):
-    """(id, t, text) to a row for each anchor: id, t, pos, a."""
+    """(id, t, text) to a row for each context: id, t, lo, hi, a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = utf8(batch.column(2))
             for a, b in chunks(off):
-                pos, h = anchors(raw[off[a] : off[b]], off[a : b + 1] - off[a], length, gram)
-                doc = np.searchsorted(off[a : b + 1] - off[a], pos, "right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), batch.column(1).take(pa.array(doc + a)), pa.array(pos - (off[a:b][doc] - off[a])), pa.array(h.view(np.int64))], names=["id", "t", "pos", "a"])
+                o = off[a : b + 1] - off[a]
+                lo, hi, h = anchors(raw[off[a] : off[b]], o, length, gram)
+                doc = np.searchsorted(o, lo, "right") - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), batch.column(1).take(pa.array(doc + a)), pa.array(lo - o[doc]), pa.array(hi - o[doc]), pa.array(h.view(np.int64))], names=["id", "t", "lo", "hi", "a"])
 
     return run
 
@@ -192,13 +194,11 @@ def _all_anchors(length: int, gram: int):
 _CONTEXT = "a long, n long, salt int, id long, t long, start long, ctx binary"
 
 
-def _cut_contexts(batch_ids, batch_ts, raw, off, doc, pos, h, n, length, gram) -> pa.RecordBatch:
-    """The context of each anchor (text number, position in raw, hash, occurrences)."""
-    lo = np.maximum(off[doc], pos - (length - gram))
-    hi = np.minimum(off[doc + 1], pos + length)
+def _cut_contexts(batch_ids, batch_ts, raw, off, doc, lo, hi, h, n) -> pa.RecordBatch:
+    """Contexts (text number, start and end in raw, the anchor's hash and occurrences) with their bytes."""
     ids, ts = batch_ids.take(pa.array(doc)), batch_ts.take(pa.array(doc))
     # Each place has its salt, so that a split anchor's shards are even if one text has most of its occurrences.
-    own = np.asarray(ids, dtype=np.int64).view(np.uint64) ^ mix(np.asarray(ts, dtype=np.int64).view(np.uint64) + (pos - off[doc]).astype(np.uint64))
+    own = np.asarray(ids, dtype=np.int64).view(np.uint64) ^ mix(np.asarray(ts, dtype=np.int64).view(np.uint64) + (lo - off[doc]).astype(np.uint64))
     salt = (mix(own) % np.maximum(1, -(-n // SHARD_ROWS)).astype(np.uint64)).astype(np.int64)
     at = np.concatenate([[0], np.cumsum(hi - lo)])
     data = raw[expand(lo, hi - lo)[0]]
@@ -220,14 +220,14 @@ def _known_contexts(shared, length: int, gram: int):
             raw, off = utf8(batch.column(2))
             for a, b in chunks(off, CONTEXT_BYTES):
                 part, o = raw[off[a] : off[b]], off[a : b + 1] - off[a]
-                pos, h = anchors(part, o, length, gram)
+                lo, hi, h = anchors(part, o, length, gram)
                 hit, _ = halves.find((h >> _U(32)).astype(np.uint32))
-                pos, h = pos[hit], h[hit]
+                lo, hi, h = lo[hit], hi[hit], h[hit]
                 n = np.ones(len(h), np.int64)
                 at, key = split.find(h)
                 n[at] = counts[key]
-                doc = np.searchsorted(o, pos, "right") - 1
-                yield _cut_contexts(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), part, o, doc, pos, h, n, length, gram)
+                doc = np.searchsorted(o, lo, "right") - 1
+                yield _cut_contexts(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), part, o, doc, lo, hi, h, n)
 
     return run
 
@@ -236,23 +236,19 @@ def _known_contexts(shared, length: int, gram: int):
 CONTEXT_BYTES = 1 << 20
 
 
-def _joined_contexts(length: int, gram: int):
-    """(id, t, text, marks array of (pos, a, n)) to contexts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = utf8(batch.column(2))
-            marks = batch.column(3)
-            begin = np.r_[0, np.cumsum(np.asarray(marks.value_lengths()))]
-            flat = marks.flatten()
-            pos, h, n = (np.asarray(flat.field(k), dtype=np.int64) for k in range(3))
-            for a, b in chunks(off, CONTEXT_BYTES):
-                s = slice(int(begin[a]), int(begin[b]))
-                doc = np.repeat(np.arange(b - a), np.diff(begin[a : b + 1]))
-                o = off[a : b + 1] - off[a]
-                yield _cut_contexts(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), raw[off[a] : off[b]], o, doc, pos[s] + o[doc], h[s].view(np.uint64), n[s], length, gram)
-
-    return run
+def _joined_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, t, text, marks array of (lo, hi, a, n)) to contexts."""
+    for batch in batches:
+        raw, off = utf8(batch.column(2))
+        marks = batch.column(3)
+        begin = np.r_[0, np.cumsum(np.asarray(marks.value_lengths()))]
+        flat = marks.flatten()
+        lo, hi, h, n = (np.asarray(flat.field(k), dtype=np.int64) for k in range(4))
+        for a, b in chunks(off, CONTEXT_BYTES):
+            s = slice(int(begin[a]), int(begin[b]))
+            doc = np.repeat(np.arange(b - a), np.diff(begin[a : b + 1]))
+            o = off[a : b + 1] - off[a]
+            yield _cut_contexts(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), raw[off[a] : off[b]], o, doc, lo[s] + o[doc], hi[s] + o[doc], h[s].view(np.uint64), n[s])
 
 
 _FOUND = "id long, t long, s long, e long, a long, bucket int, salt int, string binary"
@@ -439,9 +435,9 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
         contexts = texts.mapInArrow(_known_contexts(shared, length, gram), _CONTEXT)
     else:
         # An anchor with very many occurrences makes a skewed join, which adaptive execution splits.
-        marks = texts.mapInArrow(_all_anchors(length, gram), "id long, t long, pos long, a long").join(counts, "a")
-        marks = marks.groupBy("id", "t").agg(F.collect_set(F.struct("pos", "a", "n")).alias("marks"))
-        contexts = texts.join(marks, ["id", "t"]).select("id", "t", "text", "marks").mapInArrow(_joined_contexts(length, gram), _CONTEXT)
+        marks = texts.mapInArrow(_all_anchors(length, gram), "id long, t long, lo long, hi long, a long").join(counts, "a")
+        marks = marks.groupBy("id", "t").agg(F.collect_set(F.struct("lo", "hi", "a", "n")).alias("marks"))
+        contexts = texts.join(marks, ["id", "t"]).select("id", "t", "text", "marks").mapInArrow(_joined_contexts, _CONTEXT)
     sharded = contexts.repartition("a", "salt").sortWithinPartitions("a", "salt")
     found = stored(sharded.mapInArrow(_shards(length), _FOUND), "found")
     split = found.where("bucket >= 0").repartition("a", "bucket").sortWithinPartitions("a", "bucket").mapInArrow(_merge(length), _FOUND)
