@@ -115,10 +115,77 @@ def scene_parts(scene: Column) -> list[Column]:
     return [F.get(parts, F.lit(k)) for k in range(3)]
 
 
+def thumb_key(scene: Column) -> Column:
+    return F.concat(F.lit("thumbs/"), scene, F.lit(".jpg"))
+
+
 def thumb_url(base: str | None, key: Column) -> Column:
     return F.concat_ws("/", F.lit(base.rstrip("/")), key) if base else F.lit(None).cast("string")
 
 
+def korean_plot(plots: Column) -> Column:
+    """The text of the first Korean plot that isn't blank, trimmed, of an array of structs with plotLang and plotText; else null."""
+    white = F.lit(" \t\n\r\x0b\x0c")
+    filled = F.filter(plots, lambda p: (p["plotLang"] == "한국어") & (F.btrim(F.coalesce(p["plotText"], F.lit("")), white) != ""))
+    return F.btrim(F.get(filled, F.lit(0))["plotText"], white)
+
+
+def from_caption(caption: Column) -> Column:
+    """A rewritten query of a picture's caption: both sentences, its place and objects as keywords, no filter."""
+    filled = lambda a: F.filter(a, lambda x: x.isNotNull() & (x != ""))
+    words = F.concat(F.array(caption["setting"]), F.coalesce(caption["objects"], F.array().cast("array<string>")))
+    return F.struct(F.array_join(filled(F.array(caption["caption_ko"], caption["caption_en"])), " ").alias("scene_ko"), filled(words).alias("keywords_ko"), F.expr("cast(map() as map<string,string>)").alias("soft_filters"))
+
+
+def has_query(text: Column, caption: Column) -> Column:
+    """Whether there is anything to search for: a text that isn't blank, or a caption."""
+    return (F.trim(F.coalesce(text, F.lit(""))) != "") | caption.isNotNull()
+
+
+def rewritten_or_raw(rewritten: Column, text: Column, caption_ko: Column) -> Column:
+    """The rewritten query; where there is none, or it has no scene, the user's text, else the caption, stands for its scene."""
+    raw = F.coalesce(F.nullif(text, F.lit("")), caption_ko, F.lit(""))
+    scene = F.coalesce(F.nullif(rewritten["scene_ko"], F.lit("")), raw)
+    return F.struct(scene.alias("scene_ko"), F.coalesce(rewritten["keywords_ko"], F.array().cast("array<string>")).alias("keywords_ko"), F.coalesce(rewritten["soft_filters"], F.expr("cast(map() as map<string,string>)")).alias("soft_filters"))
+
+
+# Particles at a word's end, in the order in which they are tried, and words that nearly every query has.
+PARTICLES = (
+    "에서는", "으로는", "에서", "으로", "에게", "까지", "부터", "처럼", "하고", "이랑", "랑", "은",
+    "는", "이", "가", "을", "를", "에", "로", "와", "과", "도", "의", "만",
+)
+COMMON_WORDS = (
+    "장면", "영화", "안에서", "안에", "같은데", "같아요", "기억", "있었는데", "있던", "나오던",
+    "나오는", "하던", "있는", "그리고", "어떤", "누군가",
+)
+
+
+def query_terms(query: Column) -> Column:
+    """The words of a query that are worth marking: without their particle (if two letters stay), common words dropped, order kept."""
+    words = F.filter(F.split(query, r"[\s,.!?~·]+"), lambda w: w != "")
+    particles = F.array(*map(F.lit, PARTICLES))
+    common = list(COMMON_WORDS)
+
+    def bare(w: Column) -> Column:
+        own = F.get(F.filter(particles, lambda p: (F.length(w) > F.length(p)) & F.endswith(w, p)), F.lit(0))
+        left = F.length(w) - F.length(own)
+        return F.when(left >= 2, F.substr(w, F.lit(1), left)).otherwise(w)
+
+    pairs = F.transform(words, lambda w: F.struct(w.alias("raw"), bare(w).alias("word")))
+    kept = F.filter(pairs, lambda p: (F.length(p["word"]) >= 2) & ~p["word"].isin(common) & ~p["raw"].isin(common))
+    return F.array_distinct(F.transform(kept, lambda p: p["word"]))
+
+
+def highlighted(caption: Column, terms: Column) -> Column:
+    """array<struct<text, match>>: the caption cut where terms begin and end, of several the longest; whole if there is no term."""
+    mark = "\ufdd0"  # no character; it stands for the cuts
+    longest = F.array_sort(terms, lambda a, b: F.length(b) - F.length(a))
+    pattern = F.concat(F.lit("("), F.array_join(F.transform(longest, lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), "|"), F.lit(")"))
+    parts = F.split(F.regexp_replace(caption, pattern, F.lit(f"{mark}$1{mark}")), mark)
+    found = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("text"), (i % 2 == 1).alias("match"))), lambda x: x["text"] != "")
+    return F.when(F.size(terms) > 0, found).otherwise(F.array(F.struct(caption.alias("text"), F.lit(False).alias("match"))))
+
+
 def redacted_images(json: Column) -> Column:
     """Inline pictures in a JSON text replaced by a mark."""
     return F.regexp_replace(json, r'data:image/[^"\\]*', "[image]")

@@ -14,8 +14,10 @@ MIN_CONFIDENCE, MAX_TURNS = 0.7, 2
 #: Entropy that counts as none, in bits.
 NO_ENTROPY = 1e-9
 
-# What a question calls the options.
-LABELS = {UNKNOWN: "잘 모르겠어요", "KR": "한국", "other": "해외", "true": "애니메이션", "false": "실사"}
+# What a question calls the options; of an attribute with two the first stands for the value beside it.
+UNKNOWN_LABEL = "모르겠어요"
+COUNTRY_LABELS = ("한국 영화", "외국 영화")
+ANIMATION_LABELS = ("애니메이션", "실사 영화")
 
 
 def distributions(items: DataFrame, home: str = HOME, top: int = TOP_ITEMS) -> DataFrame:
@@ -61,12 +63,16 @@ def choose(items: DataFrame, asked: DataFrame | None = None, home: str = HOME) -
     return chosen.join(options(dist), ["query_id", "attr"])
 
 
-def option_label(attr: Column, value: Column) -> Column:
-    """How an option reads: fixed labels, decades with their suffix, else the value."""
-    out = F.when((attr == "decade") & value.rlike(r"^\d{4}s$"), F.concat(F.substring(value, 1, 4), F.lit("년대")))
-    for code, label in LABELS.items():
-        out = out.when((attr != "genre") & (value == code) | (value == code) & (F.lit(code) == UNKNOWN), label)
-    return out.otherwise(value)
+def option_label(attr: Column, value: Column, home: str = HOME) -> Column:
+    """How an option reads: decades with their suffix, two labels for country and animation, else the value."""
+    two = lambda first, labels: F.when(value == first, labels[0]).otherwise(labels[1])
+    return (
+        F.when(value == UNKNOWN, UNKNOWN_LABEL)
+        .when((attr == "decade") & value.rlike(r"^\d+s$"), F.concat(F.regexp_extract(value, r"^(\d+)", 1), F.lit("년대")))
+        .when(attr == "country", two(home, COUNTRY_LABELS))
+        .when(attr == "is_animation", two("true", ANIMATION_LABELS))
+        .otherwise(value)
+    )
 
 
 def should_ask(confidence: Column, turns: Column, entropy: Column) -> Column:

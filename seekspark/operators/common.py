@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,3 +35,26 @@ def hash_rank(df: DataFrame, bucket: str, *order: str, name: str = "k") -> DataF
     offsets = counts.select(bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each bucket
     own = F.row_number().over(W.Window.partitionBy(bucket).orderBy(*order))
     return df.withColumn("_own", own).join(F.broadcast(offsets), bucket).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before")
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once, however often (in lambdas too) then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def numbered(df: DataFrame, key: str, width: int = 4096, name: str = "pos") -> DataFrame:
+    """df numbered from 1 by an integer key: in ranges of width keys, offset by the ranges before."""
+    ranges = df.withColumn("_range", F.floor(F.col(key) / width))
+    return hash_rank(ranges, "_range", key, name=name).drop("_range")
+
+
+def in_cells(rows: DataFrame, group: str, key: str, cell_rows: int) -> DataFrame:
+    """rows with block, x and y: a group's rows are dealt into blocks of about cell_rows by their key, and each two blocks meet in a cell (x, y).
+
+    Each pair of a group's rows is together in one cell: of their blocks if those differ,
+    else of their block with itself. So a large group is many tasks' work.
+    """
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_blocks"))
+    dealt = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return dealt.withColumns({"x": F.least("block", "_other"), "y": F.greatest("block", "_other")}).drop("_blocks", "_other")

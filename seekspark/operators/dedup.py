@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seekspark.operators.common import in_cells
+from seekspark.sources.shared import discarded, materialised
+
 MAX_DISTANCE = 20
+#: Bands that are narrower find more chance pairs than they save comparisons.
+BAND_BITS = 8
+#: Fingerprints of one block; two blocks are compared by one task.
+CELL_ROWS = 2048
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -17,38 +26,82 @@ def hamming(a: Column, b: Column) -> Column:
 def near_pairs(rows: DataFrame, max_distance: int, *, key: str = "n", group: str = "movie_id", fingerprint: str = "h") -> DataFrame:
     """(group, a, b, distance) of fingerprints within max_distance in one group, a before b.
 
-    Two fingerprints within d bits agree on one of d + 1 bands (pigeonhole), so pairs meet
-    by equi-joins on bands instead of all against all.
+    Two fingerprints within d bits agree on one of d + 1 bands (pigeonhole). While those are
+    wide enough to tell fingerprints apart, pairs meet by equi-joins on bands. For larger
+    distances every pair of a group has to be compared: blocks of fingerprints are, two by
+    two, and only the near pairs leave a task.
     """
-    bands = min(64, max_distance + 1)
+    named = rows.select(F.col(group).alias("_g"), F.col(key).alias("k"), F.col(fingerprint).alias("f")).where("f is not null")
+    if 64 // (max_distance + 1) >= BAND_BITS:
+        pairs = _by_bands(named, max_distance + 1)
+    else:
+        kinds = dict(named.dtypes)
+        cells = in_cells(named, "_g", "k", CELL_ROWS).groupBy("_g", "x", "y")
+        pairs = cells.applyInPandas(_compared(max_distance), f"_g {kinds['_g']}, a {kinds['k']}, b {kinds['k']}, distance long")
+    return pairs.where(F.col("distance") <= max_distance).select(F.col("_g").alias(group), "a", "b", "distance")
+
+
+def _by_bands(named: DataFrame, bands: int) -> DataFrame:
     cuts = [64 * k // bands for k in range(bands + 1)]
-    piece = lambda k: F.shiftrightunsigned(F.shiftleft(F.col(fingerprint), 64 - cuts[k + 1]), 64 - (cuts[k + 1] - cuts[k]))
-    keyed = rows.select(group, F.col(key).alias("k"), F.col(fingerprint).alias("f"), F.posexplode(F.array(*(piece(k) for k in range(bands)))).alias("band", "bits"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, F.expr(f"a.{group} = b.{group} and a.band = b.band and a.bits = b.bits and a.k < b.k"))
-    pairs = met.select(F.col(f"a.{group}"), F.col("a.k").alias("a"), F.col("b.k").alias("b"), hamming(F.col("a.f"), F.col("b.f")).cast("long").alias("distance"))
-    return pairs.where(F.col("distance") <= max_distance).distinct()
+    piece = lambda k: F.shiftrightunsigned(F.shiftleft("f", 64 - cuts[k + 1]), 64 - (cuts[k + 1] - cuts[k]))
+    keyed = named.select("_g", "k", "f", F.posexplode(F.array(*(piece(k) for k in range(bands)))).alias("band", "bits"))
+    met = keyed.alias("a").join(keyed.alias("b"), F.expr("a._g = b._g and a.band = b.band and a.bits = b.bits and a.k < b.k"))
+    return met.select(F.col("a._g").alias("_g"), F.col("a.k").alias("a"), F.col("b.k").alias("b"), hamming(F.col("a.f"), F.col("b.f")).cast("long").alias("distance")).distinct()
 
 
-def representatives(rows: DataFrame, max_distance: int = MAX_DISTANCE, *, key: str = "n", group: str = "movie_id", fingerprint: str = "h") -> DataFrame:
+def _compared(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(cell["x"].iloc[0]), int(cell["y"].iloc[0])
+        cell = cell.sort_values("k", kind="stable")
+        one, two = cell[cell["block"] == x], cell[cell["block"] == y]
+        f, g = (t["f"].to_numpy(np.int64).view(np.uint64) for t in (one, two))
+        p, q = one["k"].to_numpy(), two["k"].to_numpy()
+        found = []
+        for i in range(0, len(f), 256):
+            d = np.bitwise_count(f[i : i + 256, None] ^ g[None, :])
+            r, c = np.nonzero(d <= most)
+            keep = p[i + r] < q[c] if x == y else p[i + r] != q[c]
+            found.append((p[i + r[keep]], q[c[keep]], d[r[keep], c[keep]]))
+        a, b, d = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (p[:0], q[:0], np.zeros(0, np.int64))
+        return pd.DataFrame({"_g": pd.Series([cell["_g"].iloc[0]] * len(a), dtype=object), "a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d.astype(np.int64)})
+
+    return run
+
+
+def representatives(rows: DataFrame, max_distance: int = MAX_DISTANCE, *, key: str = "n", group: str = "movie_id", fingerprint: str = "h", save: Callable[[DataFrame], DataFrame] = materialised) -> DataFrame:
     """(group, key) kept when each row, in key order, stays unless it is near one kept before.
 
-    The choice depends on order and isn't transitive. A group is a movie's pictures, some
-    hundreds at most by contract of the source; each is scanned once against its kept rows.
+    The choice depends on order and isn't transitive. Of equal fingerprints the first stands
+    for all. Then rows are settled in rounds of joins over the near pairs: a row stays once
+    every earlier row near it is dropped, and is dropped once one of them stays. Each round
+    settles the first open row of every chain, at least. Null fingerprints take no part.
     """
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable")
-        h = pdf[fingerprint].to_numpy(np.int64).view(np.uint64)
-        kept = np.zeros(0, np.uint64)
-        stay = np.zeros(len(h), bool)
-        for i, x in enumerate(h):
-            if not len(kept) or int(np.bitwise_count(kept ^ x).min()) > max_distance:
-                kept, stay[i] = np.append(kept, x), True
-        return pdf.loc[stay, [group, key]]
-
-    kinds = dict(rows.dtypes)
-    return rows.select(group, key, fingerprint).where(F.col(fingerprint).isNotNull()).groupBy(group).applyInPandas(greedy, f"{group} {kinds[group]}, {key} {kinds[key]}")
+    first = rows.where(F.col(fingerprint).isNotNull()).groupBy(group, fingerprint).agg(F.min(key).alias(key))
+    first = save(first)
+    pairs = save(near_pairs(first, max_distance, key=key, group=group, fingerprint=fingerprint).select(F.col(group).alias("_g"), "a", "b"))
+    later = pairs.select("_g", F.col("b").alias("k")).distinct()
+    open_pairs, kept = pairs, first.select(F.col(group).alias("_g"), F.col(key).alias("k")).join(later, ["_g", "k"], "left_anti")
+    kept = save(kept)
+    fresh, parts = kept, [kept]
+    while True:
+        dropped = open_pairs.join(fresh.select("_g", F.col("k").alias("a")), ["_g", "a"], "left_semi").select("_g", F.col("b").alias("k")).distinct()
+        dropped = save(dropped)
+        if dropped.isEmpty():
+            break
+        # Pairs of dropped rows are settled; rows that only they held back now stay.
+        held = open_pairs.join(dropped.select("_g", F.col("k").alias("b")), ["_g", "b"], "left_anti")
+        freed = held.join(dropped.select("_g", F.col("k").alias("a")), ["_g", "a"], "left_semi").select("_g", F.col("b").alias("k")).distinct()
+        rest = save(held.join(dropped.select("_g", F.col("k").alias("a")), ["_g", "a"], "left_anti"))
+        fresh = save(freed.join(rest.select("_g", F.col("b").alias("k")).distinct(), ["_g", "k"], "left_anti"))
+        parts.append(fresh)
+        discarded(dropped, open_pairs)
+        open_pairs = rest
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    out = save(out.select(F.col("_g").alias(group), F.col("k").alias(key)))
+    discarded(first, dropped, open_pairs, *parts)
+    return out
 
 
 def keep_representatives(scenes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

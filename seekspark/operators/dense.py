@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from seekspark.operators.common import ranked
 
 BRANCH_LIMIT = 50
-#: Queries that are sent to every executor at once; more go in blocks.
-QUERY_BLOCK = 4096
+#: Queries that are sent to every executor at once; more go in blocks. Scores that a task holds at once (8 MB).
+QUERY_BLOCK, TILE = 4096, 1 << 20
 
 
 def inner(a: Column, b: Column) -> Column:
@@ -28,7 +28,10 @@ def shortened(vector: Column, dim: int) -> Column:
 
 
 def _best(queries: np.ndarray, ids: np.ndarray, limit: int):
-    """Vectors to each query's best of a batch, so that a batch gives limit rows a query at most."""
+    """Vectors to each query's best of a batch, so that a batch gives limit rows a query at most.
+
+    Queries are scored in tiles; of a tile only the scores that reach a query's limit are sorted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -36,12 +39,20 @@ def _best(queries: np.ndarray, ids: np.ndarray, limit: int):
                 continue
             v = np.asarray(b.column(1).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
             norm = np.linalg.norm(v, axis=1)
-            s = np.round(queries @ (v / np.where(norm, norm, 1)[:, None]).T, 9)
+            v = v / np.where(norm, norm, 1)[:, None]
             key = np.asarray(b.column(0), dtype=np.int64)
-            order = np.lexsort((np.broadcast_to(key, s.shape), -s), axis=1)[:, :limit]
-            row = np.repeat(np.arange(len(ids)), order.shape[1])
-            at = order.reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(key[at]), pa.array(s[row, at])], names=["query_id", "doc_id", "score"])
+            tile = max(1, TILE // b.num_rows)
+            for q in range(0, len(ids), tile):
+                s = np.round(queries[q : q + tile] @ v.T, 9)
+                if limit < s.shape[1]:
+                    row, at = np.nonzero(s >= -np.partition(-s, limit - 1, axis=1)[:, limit - 1 : limit])
+                else:
+                    row, at = np.divmod(np.arange(s.size), s.shape[1])
+                order = np.lexsort((key[at], -s[row, at], row))
+                row, at = row[order], at[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, at = row[place < limit], at[place < limit]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q + row]), pa.array(key[at]), pa.array(s[row, at])], names=["query_id", "doc_id", "score"])
 
     return run
 
@@ -50,24 +61,24 @@ def dense_branch(vectors: DataFrame, queries: DataFrame, *, limit: int = BRANCH_
     """The best `limit` vectors of each query by cosine: query_key, key, score, rank.
 
     Queries (query_key, vector) go out in bounded blocks; each batch of vectors is scored
-    by one matrix product and keeps its best, so no pair leaves a task unranked. keep
-    restricts the vectors (hard filters) before they are ranked. Vectors of other lengths
-    than the queries' take no part.
+    by matrix products and keeps its best, so no pair leaves a task unranked. keep
+    restricts the vectors (hard filters) before they are ranked. A query meets the vectors
+    of its own length; null and empty vectors take no part.
     """
     cut = (lambda c: shortened(c, dim)) if dim else (lambda c: c.cast("array<double>"))
     asked = queries.where(F.size(vector) > 0).select(F.col(query_key).alias("q"), cut(F.col(vector)).alias("v"))
     candidates = vectors if keep is None else vectors.join(keep.select(key).distinct(), key, "left_semi")
-    n = asked.count()
     parts = []
-    for k in range(max(1, -(-n // QUERY_BLOCK))):
-        rows = (asked if n <= QUERY_BLOCK else asked.where(F.pmod(F.xxhash64("q"), F.lit(-(-n // QUERY_BLOCK))) == k)).collect()
-        if not rows:
-            continue
-        q = np.array([r.v for r in rows], np.float64)
-        length = np.linalg.norm(q, axis=1)
-        q /= np.where(length, length, 1)[:, None]
-        batch = candidates.select(F.col(key).cast("long"), cut(F.col(vector)).alias("v")).where(F.size("v") == q.shape[1])
-        parts.append(batch.mapInArrow(_best(q, np.array([r.q for r in rows], np.int64), limit), "query_id long, doc_id long, score double"))
+    for dim_, n in asked.groupBy(F.size("v")).count().orderBy("count").collect():  # the lengths that queries have
+        own, blocks = asked.where(F.size("v") == dim_), -(-n // QUERY_BLOCK)
+        batch = candidates.select(F.col(key).cast("long"), cut(F.col(vector)).alias("v")).where(F.size("v") == dim_)
+        for k in range(blocks):
+            rows = (own if blocks == 1 else own.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)).collect()
+            if rows:
+                q = np.array([r.v for r in rows], np.float64)
+                length = np.linalg.norm(q, axis=1)
+                q /= np.where(length, length, 1)[:, None]
+                parts.append(batch.mapInArrow(_best(q, np.array([r.q for r in rows], np.int64), limit), "query_id long, doc_id long, score double"))
     if not parts:
         return vectors.sparkSession.createDataFrame([], f"{query_key} long, {key} long, score double, rank long")
     out = parts[0]

@@ -1,29 +1,70 @@
-"""Inverted index with BM25 weights, built and searched as joins and aggregations."""
+"""Inverted index with BM25 weights: built once, stored by term, searched by joins and aggregations."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.functions.text import TOKENIZERS
-from seekspark.operators.common import ranked
+from seekspark.operators.common import let, ranked
+from seekspark.sources.shared import discarded, materialised
 
 K1, B = 1.2, 0.75
 BRANCH_LIMIT = 50
-#: Distinct (query, term) rows up to which the postings are filtered by a broadcast; more are shuffled.
+#: Distinct query terms up to which the postings are filtered by a broadcast; more are shuffled.
 BROADCAST_TERMS = 200_000
+#: Distinct query terms that are pushed down to the files of a stored index, which are ranges of terms.
+PUSHED_TERMS = 2_000
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings(key, term, tf, dl) of a collection, n_docs (with those that have no token) and the average length."""
+
+    postings: DataFrame
+    n_docs: int
+    avgdl: float
+    tokenizer: str = "word"
+
 
+def counted(tokens: Column) -> Column:
+    """array<struct<term, tf>> of an array of tokens: sorted, and each run of equal ones counted. A row's terms never leave it."""
 
-def term_rows(docs: DataFrame, key: str, text: str, tokenizer: str = "word") -> DataFrame:
-    """(key, term), a row for each token."""
-    return docs.select(key, F.explode(TOKENIZERS[tokenizer](F.col(text))).alias("term"))
+    def runs(sorted_: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(sorted_) - 1), lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1)))
+        return let(starts, lambda st: F.transform(st, lambda b, j: F.struct(F.get(sorted_, b).alias("term"), (F.coalesce(F.get(st, j + 1), F.size(sorted_)) - b).cast("long").alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs))
+
+
+def forward(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "word") -> DataFrame:
+    """(key, dl, terms): each document's length with repeated tokens, and its terms with their frequencies (null for none)."""
+    cut = docs.select(key, TOKENIZERS[tokenizer](F.col(text)).alias("_tokens"))
+    return cut.select(key, F.size("_tokens").cast("long").alias("dl"), counted(F.col("_tokens")).alias("terms"))
+
+
+def _exploded(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, "dl", F.explode("terms").alias("x")).select(key, F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), "dl")
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "word") -> DataFrame:
     """(key, term, tf, dl): term frequency, and the document's length with repeated tokens."""
-    cut = docs.select(key, TOKENIZERS[tokenizer](F.col(text)).alias("_tokens"))
-    rows = cut.select(key, F.size("_tokens").cast("long").alias("dl"), F.explode("_tokens").alias("term"))
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return _exploded(forward(docs, key, text, tokenizer), key)
+
+
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "word", save: Callable[[DataFrame, str], DataFrame] = materialised) -> Index:
+    """Tokenises the documents once and stores the postings in ranges of (term, key), so that a search reads few files.
+
+    The ranges cut very frequent terms too: no file or task has all documents of one.
+    """
+    rows = save(forward(docs, key, text, tokenizer), "forward")
+    stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+    stored = save(_exploded(rows, key).repartitionByRange("term", key).sortWithinPartitions("term", key), "postings")
+    discarded(rows)
+    return Index(stored, stats.n, stats.total / max(1, stats.n), tokenizer)
 
 
 def statistics(docs: DataFrame, text: str = "text", tokenizer: str = "word") -> DataFrame:
@@ -33,9 +74,9 @@ def statistics(docs: DataFrame, text: str = "text", tokenizer: str = "word") ->
     return total.select("n_docs", (F.col("total").cast("double") / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
+def document_frequency(postings: DataFrame) -> DataFrame:
     """(term, df) of postings, which have a row for each document and term."""
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -47,10 +88,9 @@ def bm25_weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float
     return tf * (k1 + 1) / (tf + k1 * (F.lit(1.0) - b + b * dl / avgdl))
 
 
-def document_weights(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "word") -> DataFrame:
+def document_weights(index: Index, key: str = "doc_id") -> DataFrame:
     """(key, term, weight): the sparse vector of each document, without the query-time idf."""
-    stats = F.broadcast(statistics(docs, text, tokenizer))  # one row
-    return postings(docs, key, text, tokenizer).join(stats).select(key, "term", bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("weight"))
+    return index.postings.select(key, "term", bm25_weight(F.col("tf"), F.col("dl"), F.lit(index.avgdl)).alias("weight"))
 
 
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text", tokenizer: str = "word") -> DataFrame:
@@ -58,28 +98,29 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text", t
     return queries.select(key, F.explode(F.array_distinct(TOKENIZERS[tokenizer](F.col(text)))).alias("term"))
 
 
-def sparse_scores(docs: DataFrame, queries: DataFrame, *, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "text", tokenizer: str = "word", keep: DataFrame | None = None) -> DataFrame:
+def sparse_scores(index: Index, queries: DataFrame, *, key: str = "doc_id", query_key: str = "query_id", query_text: str = "text", keep: DataFrame | None = None) -> DataFrame:
     """(query_key, key, score): sum of idf times weight over shared terms.
 
-    Postings are cut to the queries' terms before they are grouped. keep restricts the
-    documents that may be returned (hard filters) before anything is ranked; frequencies
-    and lengths are those of the whole collection.
+    Of the index only the queries' terms are read. keep restricts the documents that may be
+    returned (hard filters) before anything is ranked; frequencies and lengths are those of
+    the whole collection.
     """
-    asked = query_terms(queries, query_key, query_text, tokenizer)
+    asked = query_terms(queries, query_key, query_text, index.tokenizer)
     terms = asked.select("term").distinct()
-    n_terms = terms.count()
-    terms = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    stats = F.broadcast(statistics(docs, text, tokenizer))
-    cut = docs.select(key, TOKENIZERS[tokenizer](F.col(text)).alias("_tokens"))
-    rows = cut.select(key, F.size("_tokens").cast("long").alias("dl"), F.explode("_tokens").alias("term")).join(terms, "term", "left_semi")
-    found = rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    few = terms.limit(BROADCAST_TERMS + 1).count()
+    found = index.postings
+    if few <= PUSHED_TERMS:
+        found = found.where(F.col("term").isin([r.term for r in terms.collect()]))
+    else:
+        found = found.join(F.broadcast(terms) if few <= BROADCAST_TERMS else terms, "term", "left_semi")
     df = document_frequency(found)
+    df = F.broadcast(df) if few <= BROADCAST_TERMS else df  # a row for each of the queries' terms
     if keep is not None:
         found = found.join(keep.select(key).distinct(), key, "left_semi")
-    weighted = found.join(df, "term").join(stats).select(key, "term", (idf(F.col("n_docs"), F.col("df")) * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w"))
+    weighted = found.join(df, "term").select(key, "term", (idf(F.lit(index.n_docs), F.col("df")) * bm25_weight(F.col("tf"), F.col("dl"), F.lit(index.avgdl))).alias("w"))
     return weighted.join(asked, "term").groupBy(query_key, key).agg(F.sum("w").alias("score"))
 
 
-def sparse_branch(docs: DataFrame, queries: DataFrame, *, limit: int = BRANCH_LIMIT, key: str = "doc_id", query_key: str = "query_id", **options) -> DataFrame:
+def sparse_branch(index: Index, queries: DataFrame, *, limit: int = BRANCH_LIMIT, key: str = "doc_id", query_key: str = "query_id", **options) -> DataFrame:
     """The best `limit` documents of each query by BM25: query_key, key, score, rank."""
-    return ranked(sparse_scores(docs, queries, key=key, query_key=query_key, **options), [query_key], "score", key, limit=limit)
+    return ranked(sparse_scores(index, queries, key=key, query_key=query_key, **options), [query_key], "score", key, limit=limit)

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seekspark.functions.text import tokens
+from seekspark.operators.common import let
+
+#: Distinct runs of passages that are sent to every executor; more are shuffled.
+SENT_RUNS = 200_000
 # The metrics that every report has, and how many ranks count.
 SEARCH_DEPTH, AGENT_DEPTH = 10, 5
 
@@ -15,6 +20,35 @@ def ranks_of(predictions: DataFrame, truth: DataFrame, depth: int = SEARCH_DEPTH
     return truth.join(found, ["query_id", "answer_id"], "left")
 
 
+#: Words of the run by which passages are found, and passages without so many inner words that are sent to every executor, to be looked for one by one.
+RUN, SHORT_PASSAGES = 3, 10_000
+
+
+def containing(docs: DataFrame, passages: DataFrame, *, key: str = "doc_id", passage_key: str = "query_id") -> DataFrame:
+    """(passage_key, key): docs(key, text) whose text contains that of passages(passage_key, text).
+
+    A text that contains a passage has the passage's inner words (but the first and last,
+    which may be parts of words there) as a run. Of each passage the run with the most
+    letters is joined to the runs of the documents, and what meets is compared whole.
+    Empty and null passages are in nothing.
+    """
+    def runs(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(c) - RUN + 1), lambda i: F.array_join(F.slice(c, i, F.lit(RUN)), " "))
+
+    words = tokens(F.col("text"))
+    cut = passages.where("text != ''").select(F.col(passage_key), F.col("text").alias("_passage"), F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))).alias("_inner"))
+    best = let(runs(F.col("_inner")), lambda r: F.array_max(F.transform(r, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
+    long = cut.where(F.size("_inner") >= RUN).select(passage_key, "_passage", best.alias("_run"))
+    own = docs.select(key, "text", words.alias("_words")).where(F.size("_words") >= RUN).select(key, "text", let(F.col("_words"), runs).alias("_runs"))
+    wanted = long.select("_run").distinct()
+    n = wanted.limit(SENT_RUNS + 1).count()
+    met = own.select(key, F.explode(F.array_distinct("_runs")).alias("_run")).join(F.broadcast(wanted) if n <= SENT_RUNS else wanted, "_run", "left_semi")
+    found = met.join(long, "_run").join(docs.select(key, "text"), key).where(F.contains("text", F.col("_passage"))).select(passage_key, key)
+    short = cut.where(F.size("_inner") < RUN).select(passage_key, "_passage")
+    k = short.limit(SHORT_PASSAGES + 1).count()
+    return found.unionAll(docs.join(F.broadcast(short) if k <= SHORT_PASSAGES else short, F.contains("text", F.col("_passage"))).select(passage_key, key)) if k else found
+
+
 def hit_metrics(rank: Column | str = "rank") -> list[Column]:
     """recall_at_1, recall_at_5 and mrr of a group; a missing rank counts 0, no row gives 0."""
     r = F.col(rank) if isinstance(rank, str) else rank

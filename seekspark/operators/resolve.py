@@ -6,26 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from seekspark.functions.text import normalized_title
+from seekspark.functions.text import decade, normalized_title
 from seekspark.operators.common import first_by
 
 # How far years may be apart, and the shortest feature film in minutes.
 YEAR_SLACK, FEATURE_MINUTES = 1, 40
+# Fixed value: the home nation in the records.
+HOME_NATION = "대한민국"
 
 
-def match_records(movies: DataFrame, records: DataFrame) -> DataFrame:
+def match_records(movies: DataFrame, records: DataFrame, home: str = HOME_NATION) -> DataFrame:
     """(id, record_id, year_diff): the best record for each movie, if any.
 
     movies(id, variants, year, home boolean), records(record_id, pos, variants, years,
-    home boolean, runtime). A record fits if a normalised title is shared, a year is at
-    most YEAR_SLACK away, a home-country movie meets a home record, and the runtime is a
-    feature's (or unknown). Of several the nearest year wins, then the first. Titles meet
-    by an equi-join on exploded variants; the other rules are residual conditions.
+    nations array, runtime). A record fits if a normalised title is shared, a year is at
+    most YEAR_SLACK away, and the runtime is a feature's (or unknown). A home film needs
+    the home nation among the record's nations; for any other film (one of an unknown
+    country too) a record of the home nation alone doesn't fit. Of several the nearest year
+    wins, then the first. Records meet movies by an equi-join on a title and a year, of
+    which a record has those at most YEAR_SLACK from its own.
     """
-    m = movies.select("id", "year", F.col("home").alias("m_home"), F.explode("variants").alias("title"))
-    r = records.select("record_id", "pos", "years", "runtime", F.col("home").alias("r_home"), F.explode("variants").alias("title"))
-    diff = F.array_min(F.transform("years", lambda y: F.abs(y - F.col("year"))))
-    fit = m.join(r, "title").withColumn("year_diff", diff).where((F.col("year_diff") <= YEAR_SLACK) & (F.col("m_home") == F.col("r_home")) & (F.coalesce("runtime", F.lit(FEATURE_MINUTES)) >= FEATURE_MINUTES))
+    m = movies.select("id", F.coalesce("home", F.lit(False)).alias("m_home"), "year", F.explode("variants").alias("title"))
+    near = F.array_distinct(F.flatten(F.transform("years", lambda y: F.transform(F.lit([*range(-YEAR_SLACK, YEAR_SLACK + 1)]), lambda d: (y + d).cast("int")))))
+    r = records.where(F.coalesce("runtime", F.lit(FEATURE_MINUTES)) >= FEATURE_MINUTES).select("record_id", "pos", "years", F.coalesce(F.array_contains("nations", home), F.lit(False)).alias("has"), F.coalesce(F.col("nations") == F.array(F.lit(home)), F.lit(False)).alias("alone"), F.explode(near).alias("year"), "variants")
+    r = r.withColumn("title", F.explode("variants")).drop("variants")
+    fit = m.join(r, ["title", "year"]).where(F.when(F.col("m_home"), F.col("has")).otherwise(~F.col("alone")))
+    fit = fit.withColumn("year_diff", F.array_min(F.transform("years", lambda y: F.abs(y - F.col("year")))))
     return first_by(fit, ["id"], F.col("year_diff"), F.col("pos")).select("id", "record_id", "year_diff")
 
 
@@ -70,6 +76,17 @@ def to_movie(raw: DataFrame, animation_genre: int = 16) -> DataFrame:
     )
 
 
+def movie_payload(movies: DataFrame) -> DataFrame:
+    """What is kept beside a movie's vector for filters: no null list, no null flag."""
+    return movies.select(F.col("id").alias("movie_id"), "tmdb_id", "year", decade(F.col("year")).alias("decade"), "country", F.coalesce("genres", F.array().cast("array<string>")).alias("genres"), F.coalesce("is_animation", F.lit(False)).alias("is_animation"))
+
+
+def scene_values(captions: DataFrame, version: str) -> DataFrame:
+    """captions(id, caption struct) to what a scene's row gets: the sentences, the other fields as tags, the model's version."""
+    tags = [f.name for f in captions.schema["caption"].dataType.fields if f.name not in ("caption_ko", "caption_en")]
+    return captions.select("id", F.col("caption.caption_ko").alias("caption_ko"), F.col("caption.caption_en").alias("caption_en"), F.struct(*(F.col(f"caption.{t}").alias(t) for t in tags)).alias("tags"), F.lit(version).alias("model_version"))
+
+
 def interleaved(home: DataFrame, others: DataFrame, key: str = "id", pos: str = "pos") -> DataFrame:
     """(key as string, place): k home and m other ids mixed so that every beginning keeps their ratio.
 

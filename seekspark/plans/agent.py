@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seekspark.functions.text import thumb_key, thumb_url
 from seekspark.operators.clarify import MAX_TURNS, apply_answer, choose, should_ask, simulated_answer
 from seekspark.operators.filters import ATTRIBUTES, attribute_value
 from seekspark.operators.rank import confidence, rerank
@@ -30,8 +31,23 @@ def decide(candidates: DataFrame, verified: DataFrame, state: DataFrame) -> Data
     return sure.join(question, "query_id", "left").select("query_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "attr", "options", F.coalesce(ask, F.lit(False)).alias("ask"))
 
 
-def answers(order: DataFrame, n: int = ANSWERS) -> DataFrame:
-    return order.where(F.col("new_rank") <= n)
+def answers(order: DataFrame, movies: DataFrame | None = None, scenes: DataFrame | None = None, *, base: str | None = None, n: int = ANSWERS) -> DataFrame:
+    """The best n of each query. With movies and scenes: title, year, poster, score, reason, and each evidence scene with its picture's address and caption.
+
+    order has evidence(array of scene ids), verified and reason; movies(id, title_ko, year,
+    poster_url), scenes(id, caption_ko). A movie that isn't in the catalogue has nulls, an
+    unverified one the score 0 and no reason; evidence keeps its order.
+    """
+    best = order.where(F.col("new_rank") <= n)
+    if movies is None or scenes is None:
+        return best
+    shown = best.select("query_id", "movie_id", "new_rank", F.posexplode_outer("evidence").alias("pos", "scene_id"))
+    shown = shown.join(scenes.select(F.col("id").alias("scene_id"), "caption_ko"), "scene_id", "left")
+    one = F.struct("pos", "scene_id", thumb_url(base, thumb_key(F.col("scene_id"))).alias("thumb_url"), F.coalesce("caption_ko", F.lit("")).alias("caption_ko"))
+    listed = shown.groupBy("query_id", "movie_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("scene_id").isNotNull(), one))), lambda x: x.dropFields("pos")).alias("evidence"))
+    info = movies.select(F.col("id").alias("movie_id"), "title_ko", "year", "poster_url")
+    out = best.drop("evidence").join(listed, ["query_id", "movie_id"]).join(info, "movie_id", "left")
+    return out.select("query_id", F.col("new_rank").alias("rank"), "movie_id", "title_ko", "year", "poster_url", F.col("verified").alias("score"), F.coalesce("reason", F.lit("")).alias("reason"), "evidence")
 
 
 def run(queries: DataFrame, retrieve: Retriever, verify: Verifier, truth: DataFrame, *, max_turns: int = MAX_TURNS, save: Callable[[DataFrame], DataFrame] = materialised) -> tuple[DataFrame, DataFrame]:

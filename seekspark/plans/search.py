@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seekspark.operators.dense import dense_branch
 from seekspark.operators.fuse import branches_of, fuse
-from seekspark.operators.index import sparse_branch
+from seekspark.operators.index import Index, build, sparse_branch
 from seekspark.operators.rank import aggregate
 
 SCENES, PLOTS = 50, 20
@@ -17,11 +17,12 @@ SCENES, PLOTS = 50, 20
 
 @dataclass(frozen=True)
 class Collection:
-    """Indexed items: docs(item_id, movie_id, text), vectors(item_id, embedding) or None, and attrs of movie_id for filters."""
+    """Indexed items: docs(item_id, movie_id, text), vectors(item_id, embedding) or None, and the inverted index of docs (built when it is needed, if None)."""
 
     docs: DataFrame
     vectors: DataFrame | None
     limit: int
+    index: Index | None = None
 
 
 def search(collection: Collection, queries: DataFrame, *, mode: str = "hybrid", keep: DataFrame | None = None, tokenizer: str = "word", dim: int | None = None) -> DataFrame:
@@ -32,7 +33,8 @@ def search(collection: Collection, queries: DataFrame, *, mode: str = "hybrid",
     allowed = None if keep is None else collection.docs.join(keep.select("movie_id").distinct(), "movie_id", "left_semi").select("item_id")
     available = {}
     if mode in ("hybrid", "sparse"):
-        available["sparse"] = sparse_branch(collection.docs, queries.select("query_id", "text"), key="item_id", keep=allowed, tokenizer=tokenizer)
+        own = collection.index if collection.index is not None and collection.index.tokenizer == tokenizer else build(collection.docs, "item_id", tokenizer=tokenizer)
+        available["sparse"] = sparse_branch(own, queries.select("query_id", "text"), key="item_id", keep=allowed)
     if mode in ("hybrid", "dense"):
         if collection.vectors is None:
             raise ValueError("the collection has no vectors")

@@ -58,17 +58,41 @@ def config_from(values: dict) -> SearchConfig:
     return SearchConfig(**{k: v for k, v in values.items() if k in own}, index=IndexVariant(**{k: v for k, v in values.items() if k in index_keys}))
 
 
+# The experiments that are compared, by what they set beside the defaults (those of hosted models left out).
+EXPERIMENTS = (
+    ("E1", "dense", {"mode": "dense"}),
+    ("E1", "hybrid", {"mode": "hybrid"}),
+    ("E1", "sparse", {"mode": "sparse"}),
+    ("E3", "caption_both", {"doc_lang": "both"}),
+    ("E3", "caption_both_agent", {"agent": True, "doc_lang": "both"}),
+    ("E3", "caption_en", {"doc_lang": "en"}),
+    ("E3", "caption_ko", {"doc_lang": "ko"}),
+    ("E3", "caption_ko_agent", {"agent": True, "doc_lang": "ko"}),
+    ("E4", "char2", {"tokenizer": "char2"}),
+    ("E5", "wplot_0", {"w_plot": 0.0}),
+    ("E5", "wplot_0.5", {"w_plot": 0.5}),
+    ("E5", "wplot_0.5_agent", {"agent": True, "w_plot": 0.5}),
+    ("E5", "wplot_0_agent", {"agent": True, "w_plot": 0.0}),
+    ("E5", "wplot_1.0", {"w_plot": 1.0}),
+    ("E6", "turns0", {"agent": True, "max_turns": 0}),
+    ("E6", "turns1", {"agent": True, "max_turns": 1}),
+    ("E6", "turns2", {"agent": True, "max_turns": 2}),
+    ("E7", "dim_1536", {"embed_dim": 1536}),
+    ("E7", "dim_512", {"embed_dim": 512}),
+    ("FINAL", "agent", {"agent": True, "max_turns": 2}),
+    ("FINAL", "search", {"mode": "hybrid"}),
+    ("KW", "plot", {"doc_lang": "both"}),
+    ("KW", "plot_agent", {"agent": True, "doc_lang": "both"}),
+    ("KW", "plot_kw", {"doc_lang": "both", "plot_doc": "plot_kw"}),
+    ("KW", "plot_kw_agent", {"agent": True, "doc_lang": "both", "plot_doc": "plot_kw"}),
+    ("TOPK", "topk10_agent", {"agent": True, "top": 10}),
+    ("TOPK", "topk20_agent", {"agent": True, "top": 20}),
+)
+
+
 def matrix() -> list[SearchConfig]:
-    """The families of experiments, from their varied settings."""
-    out = [SearchConfig("E1", mode, mode=mode) for mode in MODES]
-    out += [SearchConfig("E3", f"{lang}{'_agent' * agent}", agent=agent, index=IndexVariant(doc_lang=lang)) for lang in ("ko", "en", "both") for agent in (False, True)]
-    out += [SearchConfig("E4", t, index=IndexVariant(tokenizer=t)) for t in TOKENIZERS]
-    out += [SearchConfig("E5", f"wplot{round(10 * w):02d}{'_agent' * agent}", w_plot=w, agent=agent) for w in (0.0, 0.5, 1.0) for agent in (False, True)]
-    out += [SearchConfig("E6", f"turns{n}", agent=True, max_turns=n) for n in (0, 1, 2)]
-    out += [SearchConfig("E7", f"dim{d}", index=IndexVariant(embed_dim=d)) for d in (512, 1536)]
-    out += [SearchConfig("KW", p, index=IndexVariant(plot_doc=p)) for p in ("plot", "plot_kw")]
-    out += [SearchConfig("TOPK", f"top{n}_agent", agent=True, top=n) for n in (10, 20)]
-    return [*out, SearchConfig("FINAL", "search"), SearchConfig("FINAL", "agent", agent=True)]
+    """A configuration for each experiment."""
+    return [config_from({"experiment": e, "name": n} | values) for e, n, values in EXPERIMENTS]
 
 
 def config_table(spark: SparkSession, configs: list[SearchConfig]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seekspark.functions import text as X
 from seekspark.operators import clarify, dedup, filters, index, metrics, quality, rank, report, resolve
-from seekspark.operators.common import ranked
+from seekspark.operators.common import numbered, ranked
 from seekspark.operators.dense import dense_branch
 from seekspark.plans import search as S
 from seekspark.plans import variants
@@ -28,16 +28,22 @@ _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
+def query_registry(functions: dict, sqls: dict):
+    """A decorator that registers a query under its function's name, beside its SQL if there is any."""
 
-    def add(f):
-        _Q[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
+    def query(sql: str | None = None):
+        def add(f):
+            functions[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
 
-    return add
+        return add
+
+    return query
+
+
+query = query_registry(_Q, _SQL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -67,7 +73,7 @@ def _attrs(spark: SparkSession, d: str) -> DataFrame:
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return q.join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    return q.join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 
 def _plots(spark: SparkSession, d: str) -> DataFrame:
@@ -78,8 +84,26 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
 
 
+_INDEXES: dict[tuple, index.Index] = {}
+
+
+def _index(spark: SparkSession, d: str, docs: Callable[[SparkSession, str], DataFrame]) -> index.Index:
+    """The stored index of a collection: built when a session first searches it, and again if the table has changed."""
+    at = f"{d}/documents.parquet"
+    key = (spark.sparkContext.applicationId, docs.__name__, at, tables.state_of(spark, at))
+    if key not in _INDEXES:
+        _INDEXES[key] = index.build(docs(spark, d), "item_id")
+    return _INDEXES[key]
+
+
 def _scenes(spark: SparkSession, d: str) -> S.Collection:
-    return S.Collection(_items(spark, d), _vectors(spark, d), S.SCENES)
+    return S.Collection(_items(spark, d), _vectors(spark, d), S.SCENES, _index(spark, d, _items))
+
+
+def _plot_items(spark: SparkSession, d: str, vectors: bool = False) -> S.Collection:
+    """Plots; with vectors those of the embeddings that have the movie's number."""
+    plots = _plots(spark, d)
+    return S.Collection(plots, plots.select("item_id").join(_vectors(spark, d), "item_id") if vectors else None, S.PLOTS, _index(spark, d, _plots))
 
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
@@ -101,7 +125,7 @@ scores as (select query_id, item_id, sum(ln(1 + (n - df + 0.5::double) / (df + 0
 
 
 _DOCS_SQL = "select doc_id item_id, text from documents"
-_QUERIES_SQL = "select item_id query_id, text from benchmark where item_id in (select vec_id from embeddings)"
+_QUERIES_SQL = "select item_id query_id, text from benchmark"
 _PLOTS_SQL = "select substr(source, 4)::bigint item_id, min_by(text, doc_id) text from documents group by source"
 _UNIT = "list_transform({v}, lambda x: x::double / sqrt(list_inner_product(list_transform({v}, lambda y: y::double), list_transform({v}, lambda y: y::double))))"
 
@@ -147,7 +171,7 @@ def bm25_stats(spark, d):
 
 @query(f"select term, count(distinct doc_id)::bigint df from (select doc_id, unnest({_TOK}) term from documents) group by 1")
 def term_df(spark, d):
-    return index.document_frequency(index.postings(_t(spark, d, "documents")))
+    return index.document_frequency(_index(spark, d, _items).postings)
 
 
 @query(rf"""
@@ -155,7 +179,8 @@ with dt as (select doc_id, {_TOK} w from documents), st as (select avg(len(w)) a
 po as (select doc_id, term, count(*) tf, any_value(dl) dl from (select doc_id, len(w) dl, unnest(w) term from dt) group by 1, 2)
 select doc_id, count(*)::bigint n_terms, round(sum(tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl))), 6) total from po, st group by 1""")
 def bm25_doc_weights(spark, d):
-    return index.document_weights(_t(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"))
+    weights = index.document_weights(_index(spark, d, _items), "item_id")
+    return weights.groupBy(F.col("item_id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -165,7 +190,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 @query(f"with {_bm25_sql(_DOCS_SQL, 'select item_id query_id, text from benchmark')}, {_rank_sql('scores', 'r', 50)} select query_id, item_id, round(score, 6) score, rank from r")
 def bm25_topk(spark, d):
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return _rounded(index.sparse_branch(_items(spark, d), q, key="item_id"), "score")
+    return _rounded(index.sparse_branch(_index(spark, d, _items), q, key="item_id"), "score")
 
 
 @query(f"with {_dense_sql()}, {_rank_sql('dscores', 'r', 50)} select query_id, item_id, round(score, 6) score, rank from r")
@@ -204,7 +229,7 @@ def rrf_sparse_only(spark, d):
 @query(f"with {_ATTRS_SQL}, {_bm25_sql(_DOCS_SQL, _QUERIES_SQL)}, kept as (select query_id, item_id, score from scores join attrs on doc_id = item_id where country = 'en' and list_contains(genres, 'g1')), {_rank_sql('kept', 'r', 50)} select query_id, item_id, round(score, 6) score, rank from r")
 def hard_filter_topk(spark, d):
     keep = _attrs(spark, d).where(filters.hard_filter({"country": "en", "genre": "g1"}, HOME)).select(F.col("doc_id").alias("item_id"))
-    return _rounded(index.sparse_branch(_items(spark, d), _queries(spark, d), key="item_id", keep=keep), "score")
+    return _rounded(index.sparse_branch(_index(spark, d, _items), _queries(spark, d), key="item_id", keep=keep), "score")
 
 
 @query(f"with {_ATTRS_SQL} select doc_id from attrs where country is distinct from 'en' and decade = '1990s'")
@@ -245,7 +270,7 @@ movies as (select * from (select *, s1 + 0.3::double * s2 + 0.5::double * plot_s
 
 
 def _movies(spark: SparkSession, d: str) -> DataFrame:
-    return S.retrieve(_scenes(spark, d), S.Collection(_plots(spark, d), None, S.PLOTS), _queries(spark, d), mode="sparse")
+    return S.retrieve(_scenes(spark, d), _plot_items(spark, d), _queries(spark, d), mode="sparse")
 
 
 @query(f"with {_MOVIES_SQL} select query_id, movie_id, round(score, 6) score, round(s1, 6) s1, round(s2, 6) s2, round(plot_score, 6) plot_score, rank from movies")
@@ -258,6 +283,27 @@ def movie_evidence(spark, d):
     return _movies(spark, d).select("query_id", "movie_id", F.array_join("evidence", ",").alias("evidence"), F.size("evidence").cast("long").alias("n"))
 
 
+_SCORE2 = "(s1 + 0.3::double * s2 + 0.5::double * plot_score) * case when boosted then 1.1::double else 1.0::double end"
+_HYBRID_SQL = f"""
+{_ATTRS_SQL}, {_DENSE_BRANCH_SQL}, {_MOVIES_SQL.replace(_rrf_sql('sb', limit=50), _rrf_sql('sb', 'db', limit=50)).replace(_rrf_sql('pb', limit=20, name='pfused'), "pdscores as (select * from dscores where item_id in (select substr(source, 4)::bigint from documents)), " + _rank_sql('pdscores', 'pdb', 50) + ", " + _rrf_sql('pb', 'pdb', limit=20, name='pfused'))},
+mattr as (select substr(source, 4)::bigint movie_id, min_by(decade, doc_id) as decade, min_by(genres, doc_id) genres from attrs group by source),
+boosts as (select cand.*, coalesce(case when query_id % 2 = 0 then decade = '1990s' else list_contains(genres, 'g1') end, false) boosted from cand left join mattr using (movie_id)),
+hybrid as (select * from (select *, {_SCORE2} score, row_number() over (partition by query_id order by round({_SCORE2}, 9) desc, movie_id) rank from boosts) where rank <= 20)"""
+
+
+def hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Both branches over scenes and over plots, movies boosted by each query's soft filter."""
+    attrs = _attrs(spark, d).groupBy(F.substring("source", 4, 9).cast("long").alias("movie_id")).agg(F.min_by(F.struct("decade", "country", "genres", "is_animation"), "doc_id").alias("x")).select("movie_id", "x.*")
+    q = _queries(spark, d)
+    soft = q.select("query_id", F.when(F.col("query_id") % 2 == 0, F.create_map(F.lit("decade"), F.lit("1990s"))).otherwise(F.create_map(F.lit("genre"), F.lit("g1"))).alias("filters"))
+    return S.retrieve(_scenes(spark, d), _plot_items(spark, d, vectors=True), q, soft_filters=soft, attrs=attrs)
+
+
+@query(f"with {_HYBRID_SQL} select query_id, movie_id, round(score, 6) score, round(s1, 6) s1, round(plot_score, 6) plot_score, boosted, rank from hybrid")
+def hybrid_movies(spark, d):
+    return _rounded(hybrid_candidates(spark, d), "score", "s1", "plot_score").select("query_id", "movie_id", "score", "s1", "plot_score", "boosted", "rank")
+
+
 _VERIFIED_SQL = f"""{_MOVIES_SQL},
 ver as (select query_id, movie_id, rank, case when movie_id % 4 = 3 then 0 else least(1, greatest(0, ((movie_id * 37 + query_id * 11) % 13)::double / 10)) end verified from movies),
 rr as (select *, row_number() over (partition by query_id order by round(verified, 9) desc, rank) new_rank from ver)"""
@@ -342,9 +388,8 @@ _METRICS = "round(coalesce(avg(case when rank = 1 then 1.0 else 0 end), 0), 6) r
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    predicted = index.sparse_branch(_items(spark, d), q, key="item_id", limit=metrics.SEARCH_DEPTH).withColumnRenamed("item_id", "id")
-    b = F.broadcast(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))  # the query set, by contract small
-    truth = _t(spark, d, "documents").join(b, F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("answer_id"), F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("dataset"))
+    predicted = index.sparse_branch(_index(spark, d, _items), q, key="item_id", limit=metrics.SEARCH_DEPTH).withColumnRenamed("item_id", "id")
+    truth = metrics.containing(_t(spark, d, "documents").select("doc_id", "text"), q).select("query_id", F.col("doc_id").alias("answer_id"), F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("dataset"))
     return metrics.ranks_of(predicted, truth)
 
 
@@ -513,15 +558,18 @@ def title_match(spark, d):
     return resolve.match_titles(rows, movies).select("row_id", F.size("movie_ids").cast("long").alias("n"), F.get("movie_ids", F.lit(0)).alias("first_id"))
 
 
-@query(r"""with m as (select p_partkey id, p_name, p_brand, p_size yr, p_partkey % 2 = 0 home from part),
+@query(r"""with m as (select p_partkey id, p_name, p_brand, p_size yr, case when p_partkey % 5 <> 0 then p_partkey % 2 = 0 end home, case p_partkey % 4 when 0 then ['대한민국'] when 1 then ['대한민국', 'US'] when 2 then ['US'] end nations from part),
 fit as (select a.id, b.id record_id, least(abs(b.yr - a.yr), abs(b.yr + 1 - a.yr)) diff, b.id pos from m a join m b on a.p_name = b.p_name or a.p_brand = b.p_brand
-        where a.home = b.home and least(abs(b.yr - a.yr), abs(b.yr + 1 - a.yr)) <= 1 and 30 + b.yr >= 40)
+        where case when coalesce(a.home, false) then coalesce(list_contains(b.nations, '대한민국'), false) else not coalesce(b.nations = ['대한민국'], false) end and least(abs(b.yr - a.yr), abs(b.yr + 1 - a.yr)) <= 1 and 30 + b.yr >= 40)
 select id, record_id, diff::int year_diff from (select *, row_number() over (partition by id order by diff, pos) r from fit) where r = 1""")
 def fuzzy_year_match(spark, d):
     p = _t(spark, d, "part")
     variants_ = X.title_variants(F.col("p_name"), F.col("p_brand"))
-    movies = p.select(F.col("p_partkey").alias("id"), variants_.alias("variants"), F.col("p_size").cast("int").alias("year"), (F.col("p_partkey") % 2 == 0).alias("home"))
-    records = p.select(F.col("p_partkey").alias("record_id"), F.col("p_partkey").alias("pos"), variants_.alias("variants"), F.array(F.col("p_size").cast("int"), (F.col("p_size") + 1).cast("int")).alias("years"), (F.col("p_partkey") % 2 == 0).alias("home"), (F.col("p_size") + 30).alias("runtime"))
+    home = F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey") % 2 == 0)
+    kind = F.col("p_partkey") % 4
+    nations = F.when(kind == 0, F.array(F.lit(resolve.HOME_NATION))).when(kind == 1, F.array(F.lit(resolve.HOME_NATION), F.lit("US"))).when(kind == 2, F.array(F.lit("US")))
+    movies = p.select(F.col("p_partkey").alias("id"), variants_.alias("variants"), F.col("p_size").cast("int").alias("year"), home.alias("home"))
+    records = p.select(F.col("p_partkey").alias("record_id"), F.col("p_partkey").alias("pos"), variants_.alias("variants"), F.array(F.col("p_size").cast("int"), (F.col("p_size") + 1).cast("int")).alias("years"), nations.alias("nations"), (F.col("p_size") + 30).alias("runtime"))
     return resolve.match_records(movies, records)
 
 
@@ -533,11 +581,12 @@ def caption_problems(spark, d):
     return _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.array_join(quality.caption_problems(F.col("text")), ",").alias("problems"))
 
 
-@query(r"""with w(movie_id, word) as (select * from (values (0, 'the'), (1, 'hand'), (2, 'una'), (0, 'Über')))
+@query(rf"""with w as (select movie_id, unnest(list_distinct(w[3:5])) word from (select substr(source, 4)::bigint movie_id, {_TOK.replace('text', 'min_by(text, doc_id)')} w from documents group by source))
 select doc_id scene_id, array_to_string(list(distinct word order by word), ',') words from documents join w on substr(source, 4)::bigint = movie_id
-where regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])' || word || '($|[^a-zA-Z])') group by 1""")
+where regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])' || word || '($|[^a-zA-Z])') group by 1""")
 def forbidden_hits(spark, d):
-    words = spark.createDataFrame([(0, "the"), (1, "hand"), (2, "una"), (0, "Über")], "movie_id long, word string")
+    """Each movie's giveaway words are some of its plot's."""
+    words = _plots(spark, d).select("movie_id", F.explode(F.array_distinct(F.slice(X.tokens(F.col("text")), 3, 3))).alias("word"))
     found = quality.forbidden_hits(_items(spark, d).withColumnRenamed("item_id", "scene_id"), words)
     return found.select("scene_id", F.array_join("words", ",").alias("words"))
 
@@ -645,8 +694,8 @@ s as (select p, round_even(p * k::double / (k + m), 0)::bigint j, round_even((p
 select 'home' kind, s_suppkey::bigint id, p::bigint place from s join (select s_suppkey, row_number() over (order by s_suppkey) pos from supplier) on pos = j where j > i
 union all select 'other', n_nationkey::bigint, p::bigint from s join (select n_nationkey, row_number() over (order by n_nationkey) pos from nation) on pos = p - j where j = i""")
 def interleave_ratio(spark, d):
-    numbered = lambda df, key: ranked(df.select(F.lit(0).alias("all"), F.lit(0.0).alias("zero"), F.col(key).cast("long").alias("id")), ["all"], "zero", "id", name="pos")  # noqa: E731  small dimension tables
-    home, other = numbered(_t(spark, d, "supplier"), "s_suppkey"), numbered(_t(spark, d, "nation"), "n_nationkey")
+    placed = lambda name, key: numbered(_t(spark, d, name).select(F.col(key).cast("long").alias("id")), "id")
+    home, other = placed("supplier", "s_suppkey"), placed("nation", "n_nationkey")
     out = resolve.interleaved(home.select("id", "pos"), other.select(F.concat(F.lit("n"), "id").alias("id"), "pos"))
     return out.select(F.when(F.startswith("id", F.lit("n")), "other").otherwise("home").alias("kind"), F.regexp_replace("id", "n", "").cast("long").alias("id"), "place")
 
@@ -711,8 +760,8 @@ def scene_ids(spark, d):
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: movie candidates of each benchmark query by hybrid search."""
-    return S.retrieve(_scenes(spark, sf_dir), S.Collection(_plots(spark, sf_dir), None, S.PLOTS), _queries(spark, sf_dir), mode="sparse")
+    """The flagship: movie candidates of each benchmark query by hybrid search over scenes and plots."""
+    return S.retrieve(_scenes(spark, sf_dir), _plot_items(spark, sf_dir, vectors=True), _queries(spark, sf_dir))
 
 
 def agent_retriever(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:

@@ -1,52 +1,28 @@
-"""Schemas of the engine's tables; nothing is inferred."""
-
-from __future__ import annotations
-
-from pyspark.sql import types as T
-
-
-_ATOMS = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "DOUBLE": T.DoubleType(), "FLOAT": T.FloatType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType()}
-
-
-def _fields(*columns: str, required: str = "", **nested: T.DataType) -> T.StructType:
-    """Columns given as "name TYPE" or "name [TYPE]" for arrays; nested ones by keyword."""
-    out = T.StructType()
-    for name, kind in (c.rsplit(" ", 1) for c in columns):
-        out.add(name, T.ArrayType(_ATOMS[kind[1:-1]]) if kind[0] == "[" else _ATOMS[kind], name not in required.split())
-    for name, kind in nested.items():
-        out.add(name, kind)
-    return out
-
-
-_STRINGS = T.ArrayType(T.StringType())
-_STRING_MAP = T.MapType(T.StringType(), T.StringType())
-
-MOVIES = _fields(
-    "id BIGINT", "tmdb_id BIGINT", "title_ko STRING", "title_en STRING", "year INT", "country STRING", "genres [STRING]", "is_animation BOOLEAN",
-    "plot_ko STRING", "poster_url STRING", "kmdb_id STRING", "plot_kmdb STRING", "keywords_ko [STRING]", required="id tmdb_id",
-)
-TAGS = _fields("setting STRING", "time_of_day STRING", "weather STRING", people=_fields("count INT", "actions [STRING]"), objects=_STRINGS, colors=_STRINGS, text_in_frame=T.StringType())
-CAPTION = T.StructType([*_fields("caption_ko STRING", "caption_en STRING").fields, *TAGS.fields])
-SCENES = _fields("id STRING", "movie_id BIGINT", "source STRING", "phash STRING", "caption_ko STRING", "caption_en STRING", "r2_key STRING", "model_version STRING", "created_at TIMESTAMP", required="id movie_id", tags=TAGS)
-REWRITTEN = _fields("scene_ko STRING", "keywords_ko [STRING]", soft_filters=_STRING_MAP)
-SESSIONS = _fields(
-    "id STRING", "created_at TIMESTAMP", "query_text STRING", "image_key STRING", "clarify_turns INT", "result_movie_ids [BIGINT]", "confidence DOUBLE", "latency_ms INT", "trace_run_id STRING",
-    required="id", rewritten=REWRITTEN, hard_filters=_STRING_MAP, cost_usd=T.DecimalType(10, 6),
-)
-FEEDBACK = _fields("id BIGINT", "session_id STRING", "movie_id BIGINT", "is_correct BOOLEAN", "created_at TIMESTAMP", required="id")
-EVAL_RUNS = _fields(
-    "id BIGINT", "dataset_version STRING", "split STRING", "config STRING", "recall_at_1 DOUBLE", "recall_at_5 DOUBLE", "mrr DOUBLE", "clarify_success DOUBLE",
-    "avg_clarify DOUBLE", "p95_latency_ms INT", "cost_per_query_usd DOUBLE", "created_at TIMESTAMP", required="id",
-)
-EXAMPLES = _fields(
-    "id STRING", "query STRING", "image_path STRING", "answer_movie_id BIGINT", "answer_tmdb_id BIGINT", "source STRING", "split STRING", "version STRING",
-    "writer STRING", "scene_id STRING", "transform STRING", "distorted_detail STRING", "overlap DOUBLE",
-)
-SEARCH_DOCS = _fields("scene_id STRING", "movie_id BIGINT", "tmdb_id BIGINT", "model_version STRING", "search_text STRING")
-SCENE_VECTORS = _fields("scene_id STRING", "movie_id BIGINT", "tmdb_id BIGINT", "model_version STRING", "text_hash STRING", "dense [FLOAT]", "terms [STRING]", "weights [FLOAT]")
-LEDGER = _fields("step STRING", "item_id STRING", "model_version STRING", "done_at TIMESTAMP", required="step item_id model_version")
-QUERY_RESULTS = _fields("id STRING", "dataset STRING", "query STRING", "answer_id BIGINT", "rank BIGINT", "top_ids [BIGINT]", "latency_ms BIGINT", "cost_usd DOUBLE", "clarify_turns INT", "request_latencies_ms [BIGINT]")
-
-# Fixed values of the model.
+"""Schemas of the engine's tables, as Spark's DDL; nothing is inferred. Names and types are fixed values of the data model."""
+
+MOVIES = """
+    id BIGINT NOT NULL, tmdb_id BIGINT NOT NULL, title_ko STRING, title_en STRING, year INT, country STRING,
+    genres ARRAY<STRING>, is_animation BOOLEAN, plot_ko STRING, poster_url STRING, kmdb_id STRING, plot_kmdb STRING,
+    keywords_ko ARRAY<STRING>
+"""
+_TAGS = """
+    setting: STRING, time_of_day: STRING, weather: STRING, people: STRUCT<count: INT, actions: ARRAY<STRING>>,
+    objects: ARRAY<STRING>, colors: ARRAY<STRING>, text_in_frame: STRING
+"""
+CAPTION = f"STRUCT<caption_ko: STRING, caption_en: STRING, {_TAGS}>"
+SCENES = f"""
+    id STRING NOT NULL, movie_id BIGINT NOT NULL, source STRING, phash STRING, caption_ko STRING, caption_en STRING,
+    tags STRUCT<{_TAGS}>, model_version STRING, created_at TIMESTAMP
+"""
+REWRITTEN = "STRUCT<scene_ko: STRING, keywords_ko: ARRAY<STRING>, soft_filters: MAP<STRING, STRING>>"
+SESSIONS = f"""
+    id STRING NOT NULL, created_at TIMESTAMP, query_text STRING, image_key STRING, rewritten {REWRITTEN},
+    hard_filters MAP<STRING, STRING>, clarify_turns INT, result_movie_ids ARRAY<BIGINT>, confidence DOUBLE,
+    latency_ms INT, cost_usd DECIMAL(10, 6), trace_run_id STRING
+"""
+FEEDBACK = "id BIGINT NOT NULL, session_id STRING, movie_id BIGINT, is_correct BOOLEAN, created_at TIMESTAMP"
+LEDGER = "step STRING NOT NULL, item_id STRING NOT NULL, model_version STRING NOT NULL, done_at TIMESTAMP"
+
+# Fixed values of the model: where pictures come from, and the times of day that a caption may name.
 SOURCES = ("backdrop", "still", "trailer")
 TIMES_OF_DAY = ("day", "night", "dawn", "dusk", "unknown")

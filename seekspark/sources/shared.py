@@ -4,21 +4,34 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame, name: str = "step") -> DataFrame:
-    """The rows written as Parquet and read back: the plan starts anew, and lost executors cost nothing.
-
-    The folder is the one in spark.checkpoint.dir; a temporary one only where none is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Without one, a local session gets a temporary folder; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seekspark-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def materialised(df: DataFrame, name: str = "step") -> DataFrame:
+    """The rows written as Parquet and read back: the plan starts anew, and lost executors cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._materialised_at = path
+    return out
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Deletes materialised rows of which no later plan reads; others are left alone."""
+    for df in frames:
+        if path := getattr(df, "_materialised_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

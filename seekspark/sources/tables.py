@@ -16,6 +16,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def state_of(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and time of the last change of a table: what is derived from it holds while they stay."""
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+
+
 def one(df: DataFrame, key: str, value) -> DataFrame:
     """The row with the key; raises LookupError without one."""
     found = df.where(F.col(key) == value)
@@ -44,24 +50,40 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with a header, in UTF-8 (with or without a mark) or else in Korean code page 949.
 
-    The bytes of its lines decide. Reading code page 949 lets the session use all of
-    Java's charsets from then on, which Spark asks for.
+    The bytes of its lines decide. Spark reads code page 949 only while all of Java's
+    charsets may be used, which the caller has to allow (spark.sql.legacy.javaCharsets).
     """
-    read = lambda encoding: spark.read.csv(path, header=True, schema=schema, encoding=encoding, multiLine=True, enforceSchema=True)
+    read = lambda encoding: spark.read.csv(path, header=True, schema=schema, encoding=encoding, multiLine=True, enforceSchema=True, escape='"')
     other = spark.read.text(path).where(~F.is_valid_utf8("value"))
     if other.isEmpty():
         return read("UTF-8")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if spark.conf.get("spark.sql.legacy.javaCharsets") != "true":
+        raise ValueError(f"{path} is not in UTF-8; set spark.sql.legacy.javaCharsets to read it in code page 949")
     return read("MS949")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """CSV with a header, and the mark before it by which spreadsheets know UTF-8; quotes are doubled and blanks kept."""
+    first, *rest = df.columns
+    df.select(F.col(f"`{first}`").alias("\ufeff" + first), *(F.col(f"`{c}`") for c in rest)).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
 
+def write_vectors(df: DataFrame, path: str, schema: T.StructType) -> None:
+    """Parquet with the columns and types of schema; the job's commit makes it visible as a whole.
+
+    A column that is missing, or of a type that isn't the schema's, is an error before anything is written.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if wrong := [f"{f.name} {f.dataType.simpleString()}" for f in schema.fields if kinds.get(f.name) != f.dataType]:
+        raise TypeError(f"not in the rows: {', '.join(wrong)}")
+    df.select(*schema.fieldNames()).write.mode("errorifexists").parquet(path)
 
-def write_vectors(df: DataFrame, path: str) -> None:
-    """Typed Parquet; the job's commit makes it visible as a whole."""
-    df.write.mode("overwrite").parquet(path)
+
+def list_images(spark: SparkSession, folder: str, source: str = "backdrop") -> DataFrame:
+    """(movie, n, path, length) of the files {folder}/{movie}/{source}_{n}.jpg; files with other names are left out, and no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    part = lambda k: F.regexp_extract("path", rf"([^/]+)/{source}_(\d+)\.jpg$", k)
+    return found.select(part(1).alias("movie"), F.nullif(part(2), F.lit("")).cast("long").alias("n"), "path", "length").where("n is not null")
 
 
 def write_counted(df: DataFrame, path: str) -> int:
@@ -97,13 +119,25 @@ def versions(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(int(m[1]) for m in found if m)
 
 
+def _point(spark: SparkSession, at: str, to: str) -> None:
+    """Puts `to` into the pointer file by a rename: readers see the old pointer or the new one, never none."""
+    fs, new = _fs(spark, f"{at}.new")
+    out = fs.create(new, True)
+    out.write(bytearray(to.encode()))
+    out.close()
+    jvm = spark._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration()).rename(new, jvm.org.apache.hadoop.fs.Path(at), options)
+
+
 def publish(df: DataFrame, root: str, name: str, *, keep: int = 2) -> str:
     """Writes the next version, moves the pointer to it, and deletes all but the newest `keep`."""
     spark = df.sparkSession
     known = versions(spark, root, name)
     path = f"{root}/{name}_v{max(known, default=0) + 1}"
     write_counted(df, path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}_{_POINTER}")
+    _point(spark, f"{root}/{name}_{_POINTER}", path)
     for v in versions(spark, root, name)[:-keep]:
         fs, p = _fs(spark, f"{root}/{name}_v{v}")
         fs.delete(p, True)
@@ -125,9 +159,13 @@ def version_plan(names: DataFrame, keep: int = 2) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
-    """old with new's rows: for a key in both, the columns (all of new's by default) come from new; a null in new is a value."""
+    """old with new's rows: for a key in both, the columns (all of new's by default) come from new; a null in new is a value.
+
+    Of rows of new that repeat a key one is taken, the least in the order of their columns.
+    """
     columns = columns if columns is not None else [c for c in new.columns if c not in keys]
-    n = new.select(*keys, F.lit(True).alias("_new"), *(F.col(c).alias(f"_{c}") for c in columns))
+    once = new.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_new")).select(*keys, "_new.*") if columns else new.select(*keys).distinct()
+    n = once.select(*keys, F.lit(True).alias("_new"), *(F.col(c).alias(f"_{c}") for c in columns))
     take = lambda c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
     return old.join(n, keys, "full_outer").select(*(take(c) if c in columns else F.col(c) for c in old.columns))
 
@@ -148,6 +186,34 @@ def merged_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
 
 
+def with_references(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose key is one of the parents', and those whose isn't (a null key has no parent)."""
+    there = parents.select(F.col(parent_key).alias(key)).distinct()
+    return rows.join(there, key, "left_semi"), rows.join(there, key, "left_anti")
+
+
+def created_sessions(sessions: DataFrame, new: DataFrame) -> DataFrame:
+    """sessions with new(id, query_text, image_key): ids that are there already stay as they are."""
+    fresh = new.dropDuplicates(["id"]).join(sessions, "id", "left_anti").withColumn("created_at", F.current_timestamp())
+    return sessions.unionByName(fresh, allowMissingColumns=True)
+
+
+def finished_sessions(sessions: DataFrame, ends: DataFrame) -> DataFrame:
+    """sessions with the outcome in ends(id, rewritten, hard_filters, clarify_turns, results, confidence, timings, cost_usd, trace_run_id).
+
+    results is an array of structs with movie_id, timings a map of milliseconds by step,
+    whose sum is the latency; costs are rounded to six digits. Ends of unknown sessions are ignored.
+    """
+    spent = F.aggregate(F.map_values(F.coalesce("timings", F.expr("cast(map() as map<string,bigint>)"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    row = ends.select(
+        "id", "rewritten", F.coalesce("hard_filters", F.expr("cast(map() as map<string,string>)")).alias("hard_filters"), F.coalesce("clarify_turns", F.lit(0)).alias("clarify_turns"),
+        F.coalesce(F.transform("results", lambda r: r["movie_id"].cast("long")), F.expr("cast(array() as array<bigint>)")).alias("result_movie_ids"), "confidence", spent.cast("int").alias("latency_ms"),
+        F.round(F.coalesce("cost_usd", F.lit(0.0)), 6).cast("decimal(10,6)").alias("cost_usd"), "trace_run_id",
+    )
+    n = row.select("id", F.struct(*(c for c in row.columns if c != "id")).alias("_end"))
+    return sessions.join(n, "id", "left").select(*(F.when(F.col("_end").isNotNull(), F.col("_end")[c]).otherwise(F.col(c)).alias(c) if c in row.columns and c != "id" else F.col(c) for c in sessions.columns))
+
+
 def pending(items: DataFrame, ledger: DataFrame, step: str, version: str, key: str = "item_id") -> DataFrame:
     """Items that the ledger doesn't have as done for the step and version."""
     done = ledger.where((F.col("step") == step) & (F.col("model_version") == version)).select(F.col("item_id").alias(key))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DAILY_LIMIT = 30
-TIMEOUT_MS = 30_000
+#: How long a question waits for its answer, and how long a session that has ended is remembered.
+TIMEOUT_MS, KEPT_MS = 30_000, 600_000
 
 EVENTS = "session_id string, event string, detail string"
 _STATE = "attr string, options array<string>, turns int, closed boolean"
@@ -28,11 +29,14 @@ def rate_limited(requests: DataFrame, limit: int = DAILY_LIMIT, lateness: str =
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (session,) = key
     attr, options, turns, closed = state.get if state.exists else (None, None, 0, False)
-    out: list[tuple[str, str]] = []
     if state.hasTimedOut:
-        out.append(("error", "timeout"))
-        attr, options, closed = None, None, True
-    rows = [r for f in frames for r in f.sort_values("seq").to_dict("records")] if not state.hasTimedOut else []
+        state.remove()
+        if not closed:
+            yield pd.DataFrame({"session_id": [session], "event": ["error"], "detail": ["timeout"]})
+        return
+    out: list[tuple[str, str]] = []
+    # Frames are parts of a batch; the session's messages are ordered over all of them.
+    rows = sorted((r for f in frames for r in f.to_dict("records")), key=lambda r: r["seq"])
     for r in rows:
         if r["kind"] == "question" and not closed:
             attr, options, turns = r["attr"], list(r["options"]), turns + 1
@@ -48,9 +52,12 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         elif r["kind"] == "result" and not closed:
             attr, options, closed = None, None, True
             out.append(("result", r["value"] or ""))
-    state.update((attr, options, turns, closed))
-    if attr is not None and not closed:
-        state.setTimeoutDuration(TIMEOUT_MS)
+    if attr is None and not closed and not turns:
+        if state.exists:
+            state.remove()  # nothing was ever asked: there is nothing to remember
+    else:
+        state.update((attr, options, turns, closed))
+        state.setTimeoutDuration(TIMEOUT_MS if attr is not None else KEPT_MS)
     yield pd.DataFrame({"session_id": [session] * len(out), "event": [e for e, _ in out], "detail": [d for _, d in out]})
 
 
@@ -59,6 +66,8 @@ def session_events(messages: DataFrame) -> DataFrame:
 
     An answer that nothing waits for is an error 409, one that wasn't offered an error
     400 (the question stays open); a question without an answer in time ends the session.
+    The state of a session goes when that happens, and KEPT_MS after its last message if
+    nothing is asked, so state doesn't grow with the sessions that ever were.
     """
     return messages.groupBy("session_id").applyInPandasWithState(_step, EVENTS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
@@ -72,6 +81,11 @@ def for_each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], si
     def write(batch: DataFrame, n: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{sink}/batch={n}")
 
-    # Else timeouts by the clock ask for empty batches without end.
-    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # Else timeouts by the clock ask for empty batches without end. The stream takes the setting as it starts.
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)

@@ -75,7 +75,9 @@ def test_answers(spark):
     got = [r[0] for r in df.select(clarify.apply_answer(F.col("f"), F.col("a"), F.col("v"), F.col("o"))).collect()]
     assert got == [{"country": "KR", "decade": "1990s"}, {"country": "KR"}, {"country": "KR"}]
     labels = spark.createDataFrame([("decade", "1990s"), ("country", "other"), ("genre", "true"), ("genre", "unknown")], "a string, v string").select(clarify.option_label(F.col("a"), F.col("v"))).collect()
-    assert [r[0] for r in labels] == ["1990년대", "해외", "true", "잘 모르겠어요"]
+    assert [r[0] for r in labels] == ["1990년대", "외국 영화", "true", "모르겠어요"]
+    more = spark.createDataFrame([("country", "KR"), ("is_animation", "true"), ("is_animation", "false"), ("decade", "old"), ("genre", "drama")], "a string, v string").select(clarify.option_label(F.col("a"), F.col("v"))).collect()
+    assert [r[0] for r in more] == ["한국 영화", "애니메이션", "실사 영화", "old", "drama"]
 
 
 def test_unknown_country_passes_the_hard_filter_only(spark):
@@ -92,7 +94,10 @@ def test_bm25_weight_and_bigrams(spark):
     docs = spark.createDataFrame([(1, "a A b"), (2, ""), (3, None), (4, "a b c d e f g h i")], "doc_id long, text string")
     stats = index.statistics(docs).first()
     assert stats.n_docs == 4 and stats.avgdl == 3
-    w = {(r.doc_id, r.term): r.weight for r in index.document_weights(docs).collect()}
+    own = index.build(docs)
+    assert (own.n_docs, own.avgdl) == (4, 3)
+    assert sorted(map(tuple, own.postings.where("doc_id = 1").collect())) == [(1, "a", 2, 3), (1, "b", 1, 3)]
+    w = {(r.doc_id, r.term): r.weight for r in index.document_weights(own).collect()}
     assert w[1, "a"] == pytest.approx(4.4 / 3.2) and w[1, "b"] == pytest.approx(1.0) and not any(k[0] in (2, 3) for k in w)
     assert spark.range(1).select(X.char_bigrams(F.lit("Élan x 기차표"))).first()[0] == ["él", "la", "an", "x", "기차", "차표"]
 
@@ -101,9 +106,16 @@ def test_filter_is_applied_before_the_cut(spark):
     docs = spark.createDataFrame([(k, f"w filler{k}" if k < 60 else "w other other other") for k in range(61)], "item_id long, text string")
     q = spark.createDataFrame([(1, "w")], "query_id long, text string")
     keep = spark.createDataFrame([(60,)], "item_id long")
-    assert [r.item_id for r in index.sparse_branch(docs, q, key="item_id", keep=keep).collect()] == [60]
-    plan = index.sparse_branch(docs, q, key="item_id")._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Cartesian" not in plan
+    own = index.build(docs, "item_id")
+    assert [r.item_id for r in index.sparse_branch(own, q, key="item_id", keep=keep).collect()] == [60]
+    plan = index.sparse_branch(own, q, key="item_id")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Cartesian" not in plan and "NestedLoop" not in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,w)]" in plan
+    first = {r.item_id: round(r.score, 9) for r in index.sparse_scores(own, q, key="item_id").collect()}
+    index_terms, index.PUSHED_TERMS = index.PUSHED_TERMS, 0
+    try:
+        assert {r.item_id: round(r.score, 9) for r in index.sparse_scores(own, q, key="item_id").collect()} == first and len(first) == 61
+    finally:
+        index.PUSHED_TERMS = index_terms
 
 
 @pytest.mark.parametrize("block", [4096, 3])
@@ -111,6 +123,7 @@ def test_dense_blocks_equal_the_readable_form(spark, sf, block, monkeypatch):
     import seekspark.operators.dense as D
 
     monkeypatch.setattr(D, "QUERY_BLOCK", block)
+    monkeypatch.setattr(D, "TILE", 4096 * block)
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = v.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), "embedding")
     got = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 6)) for r in dense_branch(v, q, limit=5).collect()}
@@ -119,6 +132,9 @@ def test_dense_blocks_equal_the_readable_form(spark, sf, block, monkeypatch):
     want = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 6)) for r in ranked(cosine_pairs(v, q), ["query_id"], "score", "vec_id", limit=5).collect()}
     assert got == want and len(got) == 40
     assert dense_branch(v, q.limit(0)).count() == 0
+    short = q.limit(1).select((F.col("query_id") + 100).alias("query_id"), F.slice("embedding", 1, 3).alias("embedding"))
+    mixed = dense_branch(v.union(v.limit(2).select("vec_id", F.slice("embedding", 1, 3), "label")), q.union(short).union(spark.createDataFrame([(7, None)], q.schema)), limit=5)
+    assert mixed.where("query_id < 100").count() == 40 and mixed.where("query_id >= 100").count() == 2
 
 
 def test_fusion(spark):
@@ -172,7 +188,7 @@ def test_evaluation_of_configurations(spark):
     assert got["search", "y"] == pytest.approx(1 / 7) and got["agent", "y"] == 0 and got["agent", None] == 0.5
     with pytest.raises(ValueError):
         variants.config_from({"experiment": "E", "name": "n", "colour": 1})
-    assert variants.config_table(spark, variants.matrix()).where("experiment = 'E5'").count() == 6
+    assert variants.config_table(spark, variants.matrix()).where("experiment = 'E5'").count() == 5
 
 
 def test_agent_asks_once_then_answers(spark):
@@ -243,9 +259,14 @@ def test_titles_and_keys(spark):
 
 
 def test_entity_resolution(spark):
-    movies = spark.createDataFrame([(1, ["a"], 2000, True), (2, ["b"], 2010, False)], "id long, variants array<string>, year int, home boolean")
-    records = spark.createDataFrame([("r1", 1, ["a"], [2001], True, 90), ("r2", 2, ["a", "z"], [2000], True, 90), ("r3", 3, ["a"], [2000], False, 90), ("r4", 4, ["b"], [2010], False, 20), ("r5", 5, ["b"], [2012], False, 90)], "record_id string, pos long, variants array<string>, years array<int>, home boolean, runtime int")
-    assert [(r.id, r.record_id) for r in resolve.match_records(movies, records).collect()] == [(1, "r2")]
+    home, both, other = [resolve.HOME_NATION], [resolve.HOME_NATION, "US"], ["US"]
+    movies = spark.createDataFrame([(1, ["a"], 2000, True), (2, ["b"], 2010, False), (3, ["c"], 2000, True), (4, ["d"], 2000, None), (5, ["e"], 2000, False), (6, ["f"], None, True)], "id long, variants array<string>, year int, home boolean")
+    records = spark.createDataFrame(
+        [("r1", 1, ["a"], [2001], home, 90), ("r2", 2, ["a", "z"], [2000], home, 90), ("r3", 3, ["a"], [2000], other, 90), ("r4", 4, ["b"], [2010], other, 20), ("r5", 5, ["b"], [2012], other, 90)]
+        + [("c1", 6, ["c"], [1990, 2001], both, None), ("d1", 7, ["d"], [2000], home, 90), ("d2", 8, ["d"], [2001], None, 90), ("e1", 9, ["e"], [1999], both, 90), ("f1", 10, ["f"], [2000], home, 90)],
+        "record_id string, pos long, variants array<string>, years array<int>, nations array<string>, runtime int",
+    )
+    assert sorted((r.id, r.record_id, r.year_diff) for r in resolve.match_records(movies, records).collect()) == [(1, "r2", 0), (3, "c1", 1), (4, "d2", 1), (5, "e1", 1)]
     catalogue = spark.createDataFrame([(1, "가", "One", 1999), (2, "가", None, 2005)], "id long, title_ko string, title_en string, year int")
     rows = spark.createDataFrame([(1, "w", "q", "가", 2005), (2, "w", "q", "one!", None), (3, "w", "q", "가", None), (4, "w", "", "one", None), (5, "w", "q", "zz", None)], "row_id long, writer string, query string, title string, year int")
     got = {r.row_id: (r.movie_id, r.problem) for r in resolve.checked_examples(rows, catalogue).collect()}
@@ -272,3 +293,55 @@ def test_caption_checks(spark):
     assert {r.scene_id: r.words for r in quality.forbidden_hits(captions, words).collect()} == {2: ["Hope"], 3: ["송강호"]}
     dictionary = quality.user_words(spark.createDataFrame([("기생충",), ("두 단어",)], "title string"), spark.createDataFrame([("송 강호",), ("a",)], "name string"))
     assert [r.word for r in dictionary.collect()] == ["강호", "기생충"]
+
+
+@pytest.mark.parametrize("most", [3, 20])
+def test_near_pairs_of_blocks(spark, most, monkeypatch):
+    import random
+
+    monkeypatch.setattr(dedup, "CELL_ROWS", 10)
+    rng = random.Random(1)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    hashes = [b ^ sum(1 << rng.randrange(64) for _ in range(k % 12)) & (2**64 - 1) for k, b in enumerate(base * 4)]
+    signed = [h - 2**64 if h >= 2**63 else h for h in hashes]
+    df = spark.createDataFrame([(k % 2, k, h) for k, h in enumerate(signed)] + [(0, 999, None)], "movie_id long, n long, h long")
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if a % 2 == b % 2 and bin(hashes[a] ^ hashes[b]).count("1") <= most}
+    assert {(r.a, r.b) for r in dedup.near_pairs(df, most).collect()} == want
+    kept = {r.n for r in dedup.representatives(df, most).collect()}
+    assert kept == {2 * k + m for m in (0, 1) for k in greedy(signed[m::2], most)}
+
+
+def test_texts_that_contain_passages(spark):
+    long = "alpha beta gamma delta epsilon zeta"
+    docs = spark.createDataFrame([(1, f"x {long} y"), (2, f"Xalpha beta gamma delta epsilon zetaY {long}"), (3, "alpha beta gamma delta"), (4, None), (5, ""), (6, long.upper())], "doc_id long, text string")
+    q = spark.createDataFrame([(1, long), (2, "beta gam"), (3, ""), (4, None), (5, "beta gamma delta"), (6, "?!")], "query_id long, text string")
+    got = sorted(map(tuple, metrics.containing(docs, q).collect()))
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (5, 1), (5, 2), (5, 3)]
+
+
+def test_marked_words(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(X.query_terms(F.lit("기차 안에서 사람들이 좀비를 피해 문을 막고 버티던 장면"))) == ["기차", "사람들", "좀비", "피해", "문을", "막고", "버티던"]
+    assert one(X.query_terms(F.lit("물에 잠긴 집으로"))) == ["물에", "잠긴", "집으로"]
+    seg = lambda t, *terms: [tuple(x) for x in one(X.highlighted(F.lit(t), F.array(*map(F.lit, terms)).cast("array<string>")))]
+    assert seg("물에 잠긴 반지하 계단", "물에", "잠긴", "계단") == [("물에", True), (" ", False), ("잠긴", True), (" 반지하 ", False), ("계단", True)]
+    assert seg("밤의 골목") == [("밤의 골목", False)] == seg("밤의 골목", "기차")
+    assert seg("a+b 장면", "a+b")[0] == ("a+b", True) and seg("기차역", "기차", "기차역") == [("기차역", True)] and seg("x\\Ey", "x\\E") == [("x\\E", True), ("y", False)]
+
+
+def test_queries_out_of_captions(spark):
+    caption = "struct<caption_ko:string,caption_en:string,setting:string,objects:array<string>>"
+    df = spark.createDataFrame([(1, " ", ("가", "a", "집", ["컵", ""])), (2, "글", None), (3, None, None), (4, "", ("가", None, None, None))], f"k long, t string, c {caption}")
+    got = {r.k: r for r in df.select("k", X.has_query(F.col("t"), F.col("c")).alias("q"), X.from_caption(F.col("c")).alias("f"), X.rewritten_or_raw(F.lit(None).cast("struct<scene_ko:string,keywords_ko:array<string>,soft_filters:map<string,string>>"), F.col("t"), F.col("c.caption_ko")).alias("r")).collect()}
+    assert [got[k].q for k in (1, 2, 3, 4)] == [True, True, False, True]
+    assert got[1].f.scene_ko == "가 a" and got[1].f.keywords_ko == ["집", "컵"] and got[4].f.scene_ko == "가" and got[4].f.keywords_ko == []
+    assert [got[k].r.scene_ko for k in (2, 3, 4)] == ["글", "", "가"] and got[2].r.keywords_ko == [] and got[2].r.soft_filters == {}
+
+
+def test_answers_show_evidence(spark):
+    order = spark.createDataFrame([(1, 7, 1, 0.9, "why", ["7_b_2", "7_b_1"]), (1, 8, 2, 0.0, None, []), (1, 9, 9, 0.0, None, [])], "query_id long, movie_id long, new_rank long, verified double, reason string, evidence array<string>")
+    movies = spark.createDataFrame([(7, "칠", 1999, "p")], "id long, title_ko string, year int, poster_url string")
+    scenes = spark.createDataFrame([("7_b_1", "일"), ("7_b_2", None)], "id string, caption_ko string")
+    a, b = agent.answers(order, movies, scenes, base="http://t/").orderBy("rank").collect()
+    assert (a.title_ko, a.score, a.reason) == ("칠", 0.9, "why") and [tuple(e) for e in a.evidence] == [("7_b_2", "http://t/thumbs/7_b_2.jpg", ""), ("7_b_1", "http://t/thumbs/7_b_1.jpg", "일")]
+    assert (b.title_ko, b.score, b.reason, b.evidence) == (None, 0.0, "", [])

@@ -38,14 +38,79 @@ def test_publishing(spark, tmp_path):
         tables.publish(spark.range(n).toDF("x"), root, "scenes", keep=2)
     assert tables.versions(spark, root, "scenes") == [3, 4]
     assert tables.published(spark, root, "scenes").count() == 4
+    pointer = tmp_path / "scenes_current"
+    assert pointer.is_file() and pointer.read_text().endswith("scenes_v4") and not (tmp_path / "scenes_current.new").exists()
+
+
+def test_upsert_takes_a_repeated_key_once(spark):
+    old, new = frame(spark, [(1, "x", "y")]), frame(spark, [(1, "b", "c"), (1, "a", "z"), (2, "n", "m"), (2, "n", "m")])
+    assert rows(tables.upsert(old, new, ["k"])) == [(1, "a", "z"), (2, "n", "m")]
+
+
+def test_typed_writes_and_pictures(spark, tmp_path):
+    df = spark.createDataFrame([(1, [0.5])], "id long, dense array<float>")
+    tables.write_vectors(df, f"{tmp_path}/v", df.schema)
+    with pytest.raises(TypeError):
+        tables.write_vectors(df.selectExpr("id", "cast(dense as array<double>) dense"), f"{tmp_path}/w", df.schema)
+    (tmp_path / "images" / "42").mkdir(parents=True)
+    for name in ("backdrop_03.jpg", "backdrop_11.jpg", "still_1.jpg", "backdrop_x.jpg", "notes.txt"):
+        (tmp_path / "images" / "42" / name).write_bytes(b"abc")
+    got = sorted((r.movie, r.n, r.length) for r in tables.list_images(spark, f"{tmp_path}/images").collect())
+    assert got == [("42", 3, 3), ("42", 11, 3)]
+
+
+def test_references(spark):
+    good, bad = tables.with_references(frame(spark, [(1, "x", "a"), (2, "z", "a"), (3, None, "a")]), frame(spark, [(9, "x", ""), (8, "x", "")]), "a", "a")
+    assert [r.k for r in good.collect()] == [1] and sorted(r.k for r in bad.collect()) == [2, 3]
+
+
+class State:
+    """As much of a group's state as a step uses."""
+
+    def __init__(self, value=None, timed_out=False):
+        self.get, self.exists, self.hasTimedOut, self.timeout = value, value is not None, timed_out, None
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_session_state_goes_and_frames_are_ordered_together():
+    import pandas as pd
+
+    message = lambda seq, kind, **x: {"seq": seq, "kind": kind, "attr": None, "options": None, "value": None} | x
+    step = lambda state, *frames: [tuple(r) for f in sessions._step(("s",), iter([pd.DataFrame(x) for x in frames]), state) for r in f[["event", "detail"]].values]
+    state = State()
+    assert step(state, [message(2, "answer", value="a")], [message(1, "question", attr="x", options=["a"])]) == [("question", "x"), ("answer", "x=a")]
+    assert state.exists and state.timeout == sessions.KEPT_MS
+    assert step(state, [message(3, "question", attr="y", options=["b"])]) == [("question", "y")] and state.timeout == sessions.TIMEOUT_MS
+    state.hasTimedOut = True
+    assert step(state) == [("error", "timeout")] and not state.exists
+    state = State(("x", ["a"], 1, False))
+    assert step(state, [message(4, "result", value="7")]) == [("result", "7")] and state.exists
+    state.hasTimedOut = True
+    assert step(state) == [] and not state.exists
+    state = State()
+    assert step(state, [message(1, "answer", value="a")]) == [("error", "409")] and not state.exists
 
 
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("작가", "질문")], "writer string, query string")
     tables.write_csv(df, f"{tmp_path}/out")
     assert rows(tables.read_csv(spark, f"{tmp_path}/out", df.schema)) == [("작가", "질문")]
+    part = next(p for p in (tmp_path / "out").iterdir() if p.suffix == ".csv").read_bytes()
+    assert part.startswith(b"\xef\xbb\xbfwriter,query")
     (tmp_path / "k.csv").write_bytes("writer,query\n작가,질문\n".encode("cp949"))
+    with pytest.raises(ValueError):
+        tables.read_csv(spark, f"{tmp_path}/k.csv", df.schema)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     assert rows(tables.read_csv(spark, f"{tmp_path}/k.csv", df.schema)) == [("작가", "질문")]
+    spark.conf.unset("spark.sql.legacy.javaCharsets")
     tables.write_json_lines(df, f"{tmp_path}/j")
     assert rows(tables.read_json_lines(spark, f"{tmp_path}/j", df.schema)) == [("작가", "질문")]
     assert tables.write_counted(df, f"{tmp_path}/p") == 1
