@@ -178,8 +178,8 @@ def _met(rest: DataFrame, percent: int, cell_rows: int) -> DataFrame:
     n_words = SCREEN_BITS // 64
     far = (1 - percent / 100) / 2
     most = int(SCREEN_BITS * far + SCREEN_SIGMA * (SCREEN_BITS * far * (1 - far)) ** 0.5)
-    sizes = rest.groupBy("k").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks"))
-    dealt = rest.join(sizes, "k").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = stored(rest.groupBy("k").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks")), "sizes")
+    dealt = rest.join(small_side(sizes, sizes.count()), "k").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     seats = stored(dealt.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("blocks", "other"), "seats")
     apart = " + ".join(f"bit_count(a.b{k} ^ b.b{k})" for k in range(n_words))
