@@ -12,13 +12,15 @@ from seekspark.llm.decontaminate import contamination_report
 from seekspark.llm.language_id import language_report
 from seekspark.llm.line_dedup import line_report
 from seekspark.llm.near_dedup import near_duplicate_report
-from seekspark.llm.sentencepiece_lattice import round_trip
+from seekspark.llm.sentencepiece_lattice import load_pieces, round_trip
 from seekspark.llm.sharding import shard
 from seekspark.llm.suffix_dedup import repeat_report
 from seekspark.llm.toxicity import toxicity_report
 from seekspark.llm.url_filter import filter_urls
 from seekspark.llm.vector_search import top_k
 
+#: The public model that op1 encodes with.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -28,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(_table(spark, sf_dir, "documents"))
+    return round_trip(_table(spark, sf_dir, "documents"), load_pieces(MODEL))
 
 
 def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,27 +15,29 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekspark.llm.common import by_partition, fresh_name, stored
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words in the vocabulary at most, and the longest (in characters).
-VOCABULARY, LONGEST = 200_000, 48
+#: Words in the vocabulary at most, and the longest (in bytes).
+VOCABULARY, LONGEST = 300_000, 64
 #: What a character without a piece scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Words that a task remembers besides the vocabulary.
-REMEMBERED = 150_000
+REMEMBERED = 50_000
 
-_WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
+_MARK = MARK.encode()
+#: Words in UTF-8, with a space for each word mark.
+_WORDS = re.compile(rb" +[^ \n]*|\n|[^ \n]+")
 
 
 @dataclass(frozen=True)
@@ -61,13 +63,22 @@ class Pieces:
         return tuple(self.byte_ids[b] for b in char.encode()) if self.byte_ids else (self.unknown,)
 
 
-def load_pieces(path: str = MODEL) -> Pieces:
-    """Reads the piece table; the model's file is needed on the driver only."""
+def load_pieces(path: str) -> Pieces:
+    """Reads the piece table; the model's file is needed on the driver only.
+
+    Words are encoded one by one, so a model with a piece that goes over a word's end is refused.
+    """
+    import os
+
     import sentencepiece
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no SentencePiece model at {path}")
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     n = m.get_piece_size()
     plain = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
+    if over := [m.id_to_piece(i) for i in plain if len(_words(m.id_to_piece(i).encode())) != 1]:
+        raise ValueError(f"pieces go over the ends of words: {over[:5]}")
     byte_ids = {int(m.id_to_piece(i)[1:-1], 16): i for i in range(n) if m.is_byte(i)}
     decoded = [b""] * n
     for i in plain:
@@ -77,8 +88,14 @@ def load_pieces(path: str = MODEL) -> Pieces:
     return Pieces(tuple(m.id_to_piece(i) for i in plain), tuple(plain), tuple(float(m.get_score(i)) for i in plain), tuple(byte_ids[b] for b in range(256)) if len(byte_ids) == 256 else (), tuple(decoded), m.unk_id())
 
 
-def _marked(text: str) -> str:
-    return MARK + text.replace(" ", MARK) if text else ""
+def _words(text: bytes) -> list[bytes]:
+    return _WORDS.findall(text.replace(_MARK, b" "))
+
+
+def _words_of(texts: pa.Array) -> Iterator[list[bytes] | None]:
+    """The words of each text, before which a word mark is put; of an empty one none, of a null None."""
+    for t in texts.cast(pa.binary()).to_pylist():
+        yield _words(b" " + t) if t else t if t is None else []
 
 
 def _vocabulary(docs: DataFrame, size: int) -> DataFrame:
@@ -87,11 +104,10 @@ def _vocabulary(docs: DataFrame, size: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            for t in batch.column(0).to_pylist():
-                if t:
-                    seen.update(_WORDS.findall(_marked(t)))
+            for words in _words_of(batch.column(0)):
+                seen.update(words or ())
             often = [(w, n) for w, n in seen.items() if n > 1 and len(w) <= LONGEST]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["word", "n"])
 
     counts = stored(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # The least count at which the words still fit, from a histogram of counts above 10,000 in powers of two.
@@ -102,7 +118,7 @@ def _vocabulary(docs: DataFrame, size: int) -> DataFrame:
         if total > size:
             least = r.n + 1
             break
-    return counts.where(F.col("n") >= least).select("word")
+    return counts.where(F.col("n") >= least).select(F.replace("word", F.lit(" "), F.lit(MARK)).alias("word"))
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -136,16 +152,17 @@ def viterbi(edges: Column, n: Column) -> Column:
 
 
 class Speller(dict):
-    """Words to their ids (four bytes each); words beyond the vocabulary are folded when they are met."""
+    """Words (UTF-8, spaces for marks) to their ids (four bytes each); words beyond the vocabulary are folded when they are met."""
 
-    def __init__(self, known: dict[str, bytes], pieces: Pieces) -> None:
+    def __init__(self, known: Iterable[tuple[bytes, bytes]], pieces: Pieces) -> None:
         super().__init__(known)
-        self.pieces, self.most, self.fallback = pieces, len(known) + REMEMBERED, pieces.fallback
+        self.pieces, self.most, self.fallback = pieces, len(self) + REMEMBERED, pieces.fallback
         # Edges by text, with every beginning of a piece (id -1) so that a walk ends where no piece goes on.
         self.edges = {p[:n]: (-1, 0.0) for p in pieces.text for n in range(1, len(p))}
         self.edges |= dict(zip(pieces.text, zip(pieces.ids, pieces.scores, strict=True), strict=True))
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, key: bytes) -> bytes:
+        word = key.decode().replace(" ", MARK)
         edge, n = self.edges.get, len(word)
         score, back = [0.0] + [float("-inf")] * n, [(0, 0)] * (n + 1)
         for i in range(n):
@@ -167,23 +184,29 @@ class Speller(dict):
             ids += reversed(self.pieces.spelled(word[i:j])) if k < 0 else (k,)
             j = i
         out = array("i", reversed(ids)).tobytes()
-        if len(self) < self.most and n <= LONGEST:
-            self[word] = out
+        if len(self) < self.most and len(key) <= LONGEST:
+            self[key] = out
         return out
 
 
+def _cut(whole: bytes, ends: np.ndarray) -> Iterator[bytes]:
+    at = 0
+    for end in ends.tolist():
+        yield whole[at:end]
+        at = end
+
+
 def _spell(shared, text_at: int):
     def make():
-        words, codes, size, pieces = shared.value
-        cut = np.r_[0, np.cumsum(size, dtype=np.int64)] * 4
-        speller = Speller({w: codes[a:b] for w, a, b in zip(words, cut[:-1].tolist(), cut[1:].tolist(), strict=True)}, pieces)
+        words, ends, codes, sizes, pieces = shared.value
+        speller = Speller(zip(_cut(words, ends), _cut(codes, 4 * np.cumsum(sizes, dtype=np.int64)), strict=True), pieces)
+        spelled = speller.__getitem__
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts = batch.column(text_at).to_pylist()
-            parts = [b"".join([speller[w] for w in _WORDS.findall(_marked(t))]) if t else b"" for t in texts]
+            texts = batch.column(text_at)
+            parts = [b"".join(map(spelled, words)) if words else b"" for words in _words_of(texts)]
             off = np.r_[0, np.cumsum([len(p) // 4 for p in parts])].astype(np.int32)
-            null = pa.array([t is None for t in texts])
-            return [pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(parts), np.int32)), mask=null)]
+            return [pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(parts), np.int32)), mask=texts.is_null())]
 
         return step
 
@@ -202,7 +225,10 @@ def encode(docs: DataFrame, pieces: Pieces, *, vocabulary: int = VOCABULARY) ->
     edges = stored(lattice(vocab, pieces), "lattice")
     spelled = edges.select("word", viterbi(F.col("edges"), F.char_length("word")).alias("ids")).toArrow()  # vocabulary rows at most
     ids = spelled.column("ids").combine_chunks()
-    shared = docs.sparkSession.sparkContext.broadcast((spelled.column("word").to_pylist(), np.asarray(ids.flatten(), np.int32).tobytes(), np.asarray(ids.value_lengths(), np.int32), pieces))
+    words = spelled.column("word").combine_chunks()
+    words = pc.replace_substring(words, MARK, " ").cast(pa.large_binary())
+    ends = np.cumsum(np.asarray(pc.binary_length(words), dtype=np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast((b"".join(words.to_pylist()), ends, np.asarray(ids.flatten(), np.int32).tobytes(), np.asarray(ids.value_lengths(), np.int32), pieces))
     return by_partition(docs, _spell(shared, docs.columns.index("text")), T.StructType([T.StructField(name, T.ArrayType(T.IntegerType()))])), name
 
 
@@ -213,21 +239,19 @@ def decode(ids: Column, pieces: Pieces) -> Column:
     return F.when(F.startswith(text, F.lit(" ")), F.substr(text, F.lit(2))).otherwise(text)
 
 
-def round_trip(docs: DataFrame, pieces: Pieces | None = None, **options) -> DataFrame:
+def round_trip(docs: DataFrame, pieces: Pieces, **options) -> DataFrame:
     """One row per document: doc_id, ids, n_ids, and same: whether decoding gives the text back.
 
     A word mark in a text decodes to a space (they are one character to these models), so
     the text is compared with its marks made spaces. A null text has null ids and same true.
     """
-    pieces = pieces or load_pieces()
     out, ids = encode(docs.select("doc_id", "text"), pieces, **options)
     same = decode(F.col(ids), pieces).eqNullSafe(F.replace("text", F.lit(MARK), F.lit(" ")))
     return out.select("doc_id", F.col(ids).alias("ids"), F.when(F.col(ids).isNull(), 0).otherwise(F.size(ids)).cast("long").alias("n_ids"), same.alias("same"))
 
 
-def with_ids(docs: DataFrame, pieces: Pieces | None = None, **options) -> DataFrame:
+def with_ids(docs: DataFrame, pieces: Pieces, **options) -> DataFrame:
     """docs with ids, n_ids and same (or such names with a number, where docs has them)."""
-    pieces = pieces or load_pieces()
     out, ids = encode(docs, pieces, **options)
     out = out.withColumn(fresh_name(out, "n_ids"), F.when(F.col(ids).isNull(), 0).otherwise(F.size(ids)).cast("long"))
     return out.withColumn(fresh_name(out, "same"), decode(F.col(ids), pieces).eqNullSafe(F.replace("text", F.lit(MARK), F.lit(" "))))

@@ -443,7 +443,11 @@ def test_suffix_array_and_prefixes():
 
 
 def test_sentencepiece(spark, docs, rows):
-    pieces = sentencepiece_lattice.load_pieces()
+    from seekspark.llm.queries import MODEL
+
+    pieces = sentencepiece_lattice.load_pieces(MODEL)
+    with pytest.raises(FileNotFoundError):
+        sentencepiece_lattice.load_pieces("/nowhere.model")
     awkward = docs.union(spark.createDataFrame([(900, " a  ▁b\x00 漢字😀 \n\n z", None, None, 0), (901, "y" * 5000, None, None, 0), (901, "y" * 5000, None, None, 0)], DOCS))
     for size in (10, 200_000):
         got = sentencepiece_lattice.round_trip(awkward, pieces, vocabulary=size).collect()
@@ -474,9 +478,35 @@ def test_viterbi_finds_the_best_path(spark):
 
     df = sentencepiece_lattice.lattice(spark.createDataFrame([(w,) for w in words], "word string"), pieces).cache()
     got = {r.word: r.ids for r in df.select("word", sentencepiece_lattice.viterbi(F.col("edges"), F.char_length("word")).alias("ids")).collect()}
-    speller = sentencepiece_lattice.Speller({}, pieces)
+    speller = sentencepiece_lattice.Speller((), pieces)
     for w in words:
-        assert got[w] == brute(w) == np.frombuffer(speller[w], np.int32).tolist()
+        assert got[w] == brute(w) == np.frombuffer(speller[w.replace("▁", " ").encode()], np.int32).tolist()
+
+
+def test_sentencepiece_equals_the_best_path_of_a_real_model(spark, docs, rows):
+    """The ids of every text, by a slow best path over its words, with the vocabulary's lattice and without it."""
+    from seekspark.llm.queries import MODEL
+
+    pieces = sentencepiece_lattice.load_pieces(MODEL)
+    score = dict(zip(pieces.text, zip(pieces.scores, pieces.ids)))
+
+    def best(word):
+        found = [(0.0, 0, ())]
+        for j in range(1, len(word) + 1):
+            options = [(found[i][0] + score[word[i:j]][0], -i, found[i][2] + (score[word[i:j]][1],)) for i in range(max(0, j - pieces.longest), j) if word[i:j] in score]
+            if word[j - 1] not in score:
+                options.append((found[j - 1][0] + pieces.fallback, 1 - j, found[j - 1][2] + pieces.spelled(word[j - 1])))
+            found.append(max(options, key=lambda o: (o[0], o[1])))
+        return list(found[-1][2])
+
+    def slow(text):
+        return None if text is None else [i for w in re.findall("▁+[^▁\n]*|\n|[^▁\n]+", "▁" + text.replace(" ", "▁")) for i in best(w)] if text else []
+
+    some = [(d, t) for d, t, *_ in rows if len(t or "") < 5000] + [(910, "Über  ▁▁ naïve\n漢字😀 x" * 3), (911, "a" * 70), (912, " ")]
+    frame = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    want = {d: slow(t) for d, t in some}
+    for size in (0, 300_000):
+        assert {r.doc_id: r.ids for r in sentencepiece_lattice.round_trip(frame, pieces, vocabulary=size).collect()} == want
 
 
 # ---- 4 and 3
