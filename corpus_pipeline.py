@@ -12,7 +12,10 @@ from seekspark.llm.decontaminate import drop_contaminated
 from seekspark.llm.language_id import keep_identified
 from seekspark.llm.line_dedup import drop_repeated_lines
 from seekspark.llm.near_dedup import drop_near_duplicates
-from seekspark.llm.sentencepiece_lattice import with_ids
+from seekspark.llm.sentencepiece_lattice import load_pieces, with_ids
+
+#: The public model whose ids the last stage adds.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids, how many they are, and whether decoding gives the text back."""
     ship(spark)
-    return with_ids(docs)
+    return with_ids(docs, load_pieces(MODEL))
 
 
 STAGES: list[tuple[str, Stage]] = [
