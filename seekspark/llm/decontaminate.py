@@ -183,7 +183,7 @@ def _probe(shared, text_at: int):
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from seekspark.llm.common import by_partition, lower_ascii
 
-#: Rules that are sent to the executors as a trie; more are joined instead.
-TRIE_RULES = 500_000
+#: Rules that are sent to the executors as a trie, and the characters of their hosts and paths; more are joined instead.
+TRIE_RULES, TRIE_CHARS = 100_000, 8 << 20
 DEFAULT = "allow"
 
 RULE = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("verdict", T.StringType())])
@@ -99,14 +99,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, st
     url = F.coalesce("url", F.lit(""))
     pattern = "(?s)://([^/?#]*)([^?#]*)"
     parts = pages.select("page_id", lower_ascii(F.regexp_extract(url, pattern, 1)).alias("_host"), F.regexp_extract(url, pattern, 2).alias("_path"))
+    known = None
     if isinstance(rules, DataFrame):
         rules = rules.select("host", "path", "verdict")
-        known = [tuple(r) for r in rules.limit(trie_rules + 1).collect()]
-    else:
+        n, chars = rules.agg(F.count("*"), F.coalesce(F.sum(F.char_length("host") + F.char_length("path")), F.lit(0))).first()
+        if n <= trie_rules and chars <= TRIE_CHARS:
+            known = [tuple(r) for r in rules.collect()]
+    elif len(rules) <= trie_rules and sum(len(h) + len(p) for h, p, _ in rules) <= TRIE_CHARS:
         known = list(rules)
-    if len(known) <= trie_rules:
+    if known is not None:
         shared = spark.sparkContext.broadcast(Trie(known))
         out = by_partition(parts, _matcher(shared), T.StructType([T.StructField("_rule", T.StringType()), T.StructField("_verdict", T.StringType())]))
     else:
-        out = _joined(parts, rules if isinstance(rules, DataFrame) else spark.createDataFrame(known, RULE))
+        out = _joined(parts, rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), RULE))
     return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))

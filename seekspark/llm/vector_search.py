@@ -152,8 +152,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
     Scores are integer inner products of floor(scale * x); ties go to the smaller vec_id.
     Vectors (and ids) that are null, empty, or hold a null or non-finite component take
     no part; a shorter vector counts as ending in zeros. Rows that share a query's
-    vec_id are its own and aren't candidates; of several query rows with one id the least vector
-    stands. Pivots come from `sample` vectors; the
+    vec_id are its own and aren't candidates; of several query rows with one id the vector with
+    the least bytes (little-endian integers) stands. Pivots come from `sample` vectors; the
     index holds every vector, so the result doesn't depend on them.
     """
     spark = vectors.sparkSession

@@ -339,6 +339,9 @@ def test_url_filters(spark):
     for n in (100, 0):
         got = {r.page_id: tuple(r)[1:] for r in url_filter.filter_urls(pages, rules, trie_rules=n).collect()}
         assert got == want
+    frame = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for n in (100, 5):
+        assert {r.page_id: tuple(r)[1:] for r in url_filter.filter_urls(pages, frame, trie_rules=n).collect()} == want
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
@@ -363,6 +366,12 @@ def test_top_k(spark):
     assert vector_search.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [-1.0, 0.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5).collect())
+    assert got == [(0, 1, 7, 65536), (0, 2, 7, 65536), (0, 3, 8, -65536)]  # 256 has lesser bytes than 128
+
+
 # ---- 6
 
 
