@@ -19,6 +19,7 @@ from seekspark.operators.dense import dense_branch
 from seekspark.plans import search as S
 from seekspark.plans import variants
 from seekspark.sources import tables
+from seekspark.sources.shared import materialised
 from seekspark.streaming.sessions import rate_limited
 
 HOME = "en"
@@ -193,6 +194,17 @@ def bm25_topk(spark, d):
     return _rounded(index.sparse_branch(_index(spark, d, _items), q, key="item_id"), "score")
 
 
+_BIGRAMS = f"flatten(list_transform({_TOK}, lambda w: case when length(w) = 1 then [w] else list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) end))"
+
+
+@query(f"with {_bm25_sql('select item_id, text from benchmark', 'select item_id query_id, text from benchmark').replace(_TOK, _BIGRAMS)}, {_rank_sql('scores', 'r', 5)} select query_id, item_id, round(score, 6) score, rank from r")
+def bm25_bigrams(spark, d):
+    """Items as queries against all items, by character pairs."""
+    b = _t(spark, d, "benchmark")
+    own = index.build(b.select("item_id", "text"), "item_id", tokenizer="char2")
+    return _rounded(index.sparse_branch(own, b.select(F.col("item_id").alias("query_id"), "text"), key="item_id", limit=5), "score")
+
+
 @query(f"with {_dense_sql()}, {_rank_sql('dscores', 'r', 50)} select query_id, item_id, round(score, 6) score, rank from r")
 def dense_topk(spark, d):
     return _rounded(dense_branch(_vectors(spark, d), _queries(spark, d), key="item_id"), "score")
@@ -244,11 +256,16 @@ def soft_filter_flags(spark, d):
     return _attrs(spark, d).select("doc_id", m("country", "other").alias("other"), m("decade", "1960s").alias("sixties"), m("genre", "h1").alias("genre"), m("is_animation", "true").alias("animation"), filters.any_soft_match(both, HOME).alias("any_hit"))
 
 
-@query("select doc_id, doc_id % 2 = 0 as has_decade, doc_id % 3 = 0 as has_genre from documents where doc_id % 2 = 0 or doc_id % 3 = 0")
+@query("""with m as (select doc_id, case doc_id % 3 when 0 then '1990s' when 1 then '90s' else (1900 + n_chars % 200) || 's' end dec, 'g' || (doc_id % 4) genre, case doc_id % 5 when 0 then 'KR' when 1 then 'other' else lang end country, case when doc_id % 2 = 0 then 'TRUE' else 'maybe' end anim from documents),
+v as (select doc_id, regexp_full_match(dec, '[0-9]{3}0s') has_decade, genre in ('g0', 'g1') has_genre, country in ('KR', 'other') has_country, lower(anim) in ('true', 'false') has_animation from m)
+select * from v where has_decade or has_genre or has_country or has_animation""")
 def valid_soft_filters(spark, d):
-    m = F.create_map(F.lit("decade"), F.when(F.col("doc_id") % 2 == 0, "1990s").otherwise("90s"), F.lit("genre"), F.when(F.col("doc_id") % 3 == 0, "g1").otherwise("zz"), F.lit("mood"), F.lit("sad"))
+    k = F.col("doc_id")
+    dec = F.when(k % 3 == 0, "1990s").when(k % 3 == 1, "90s").otherwise(F.concat((1900 + F.col("n_chars") % 200).cast("string"), F.lit("s")))
+    country = F.when(k % 5 == 0, "KR").when(k % 5 == 1, "other").otherwise(F.col("lang"))
+    m = F.create_map(F.lit("decade"), dec, F.lit("genre"), F.concat(F.lit("g"), (k % 4).cast("string")), F.lit("country"), country, F.lit("is_animation"), F.when(k % 2 == 0, "TRUE").otherwise("maybe"), F.lit("mood"), F.lit("sad"))
     v = _t(spark, d, "documents").select("doc_id", filters.valid_soft_filters(m, ["g0", "g1"]).alias("m")).where("size(m) > 0")
-    return v.select("doc_id", F.map_contains_key("m", "decade").alias("has_decade"), F.map_contains_key("m", "genre").alias("has_genre"))
+    return v.select("doc_id", *(F.map_contains_key("m", key).alias(name) for key, name in (("decade", "has_decade"), ("genre", "has_genre"), ("country", "has_country"), ("is_animation", "has_animation"))))
 
 
 @query(f"with {_ATTRS_SQL} select distinct unnest(genres) genre from attrs")
@@ -312,7 +329,7 @@ rr as (select *, row_number() over (partition by query_id order by round(verifie
 def _verified(spark: SparkSession, d: str) -> DataFrame:
     """A stand-in verifier: some movies stay unverified, some scores exceed 1, the first of two verdicts is void."""
     score = (F.col("movie_id") * 37 + F.col("query_id") * 11) % 13 / F.lit(10.0)
-    movies = _movies(spark, d)
+    movies = materialised(_movies(spark, d), "candidates")  # read three times
     own = movies.where("movie_id % 4 != 3")
     rows = own.select("query_id", "movie_id", F.lit(0).alias("pos"), F.lit(0.01).alias("score"), F.lit("void").alias("reason")).union(own.select("query_id", "movie_id", F.lit(1), score, F.lit("last")))
     return rank.rerank(movies.select("query_id", "movie_id", "score", "rank"), rows)

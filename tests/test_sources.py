@@ -151,3 +151,8 @@ def test_sessions_pause_and_resume(spark, tmp_path):
 def test_rate_limit(spark):
     df = spark.createDataFrame([("2026-01-01 10:00:00", "a")] * 3 + [("2026-01-02 10:00:00", "a")], "ts string, ip string")
     assert sorted((r.n, r.limited) for r in sessions.rate_limited(df, limit=2).collect()) == [(1, False), (3, True)]
+
+
+def test_reads_are_pruned_and_filters_pushed(spark, sf):
+    plan = tables.table(spark, sf, "documents").where("doc_id > 5").select("lang")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan and "GreaterThan(doc_id,5)" in plan
