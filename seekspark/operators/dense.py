@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from seekspark.operators.common import ranked
@@ -57,6 +57,20 @@ def _best(queries: np.ndarray, ids: np.ndarray, limit: int):
     return run
 
 
+def _blocks(asked: DataFrame) -> Iterator[list[Row]]:
+    """The queries (q, v) in blocks of about QUERY_BLOCK, each of vectors of one length."""
+    rows = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(rows) <= QUERY_BLOCK:
+        for n in sorted({len(r.v) for r in rows}):
+            yield [r for r in rows if len(r.v) == n]
+        return
+    for n, count in asked.groupBy(F.size("v")).count().collect():  # the lengths that queries have
+        parts = -(-count // QUERY_BLOCK)
+        for k in range(parts):
+            if rows := asked.where((F.size("v") == n) & (F.pmod(F.xxhash64("q"), F.lit(parts)) == k)).collect():
+                yield rows
+
+
 def dense_branch(vectors: DataFrame, queries: DataFrame, *, limit: int = BRANCH_LIMIT, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", keep: DataFrame | None = None, dim: int | None = None) -> DataFrame:
     """The best `limit` vectors of each query by cosine: query_key, key, score, rank.
 
@@ -69,16 +83,12 @@ def dense_branch(vectors: DataFrame, queries: DataFrame, *, limit: int = BRANCH_
     asked = queries.where(F.size(vector) > 0).select(F.col(query_key).alias("q"), cut(F.col(vector)).alias("v"))
     candidates = vectors if keep is None else vectors.join(keep.select(key).distinct(), key, "left_semi")
     parts = []
-    for dim_, n in asked.groupBy(F.size("v")).count().orderBy("count").collect():  # the lengths that queries have
-        own, blocks = asked.where(F.size("v") == dim_), -(-n // QUERY_BLOCK)
-        batch = candidates.select(F.col(key).cast("long"), cut(F.col(vector)).alias("v")).where(F.size("v") == dim_)
-        for k in range(blocks):
-            rows = (own if blocks == 1 else own.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)).collect()
-            if rows:
-                q = np.array([r.v for r in rows], np.float64)
-                length = np.linalg.norm(q, axis=1)
-                q /= np.where(length, length, 1)[:, None]
-                parts.append(batch.mapInArrow(_best(q, np.array([r.q for r in rows], np.int64), limit), "query_id long, doc_id long, score double"))
+    for rows in _blocks(asked):
+        q = np.array([r.v for r in rows], np.float64)
+        length = np.linalg.norm(q, axis=1)
+        q /= np.where(length, length, 1)[:, None]
+        batch = candidates.select(F.col(key).cast("long"), cut(F.col(vector)).alias("v")).where(F.size("v") == q.shape[1])
+        parts.append(batch.mapInArrow(_best(q, np.array([r.q for r in rows], np.int64), limit), "query_id long, doc_id long, score double"))
     if not parts:
         return vectors.sparkSession.createDataFrame([], f"{query_key} long, {key} long, score double, rank long")
     out = parts[0]

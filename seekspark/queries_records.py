@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seekspark import schema
 from seekspark.functions import text as X
 from seekspark.operators import clarify, dedup, quality, report, resolve
+from seekspark.operators.common import hash_rank
 from seekspark.plans import agent, variants
 from seekspark.queries import _HYBRID_SQL, _t, hybrid_candidates, query_registry
 from seekspark.sources import tables
@@ -244,11 +245,9 @@ def runs_of_experiment(spark, d):
 @query("with r as (select event_id id, case when event_id % 4 <> 0 then event_id % 9 end rank from events) select id, row_number() over (order by coalesce(rank, 999) desc, id desc) place from r")
 def failed_first(spark, d):
     """The order as a number, counted in the report's order."""
-    from seekspark.operators.common import hash_rank
-
     rows = report.failed_first(_t(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 9).alias("rank")))
-    keyed = rows.withColumns({"worst": -F.coalesce("rank", F.lit(999)), "last": -F.col("id")})
-    return hash_rank(keyed, "worst", "last", name="place").select("id", "place")
+    keyed = rows.withColumn("last", -F.col("id")).withColumn("range", F.struct(-F.coalesce("rank", F.lit(999)), F.floor(F.col("last") / 4096)))
+    return hash_rank(keyed, "range", "last", name="place").select("id", "place")
 
 
 @query(r"with n as (select distinct substr(source, 1, 3) || (substr(source, 4)::bigint * 7 % 13) as name from documents) select name, row_number() over (order by regexp_extract(name, '^(\D*)', 1), regexp_extract(name, '^\D*(\d+)', 1)::bigint, name) place from n")
