@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step handles; a longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of one Arrow batch, so that a Python worker's memory doesn't follow the length of texts.
 ARROW_BYTES = 4 << 20
 #: Rows that may be sent to every executor; beyond that a join shuffles both sides.
@@ -139,10 +139,22 @@ def by_partition(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], li
         for batch in batches:
             new = [a.cast(f.type) if a.type != f.type else a for a, f in zip(step(batch), added, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added.names])
+        del step
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the machine: Python processes are used again, and would hold what their largest task took."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of GNU's C library only
+    if trim is not None:
+        trim(0)
+
+
 # ---- texts as byte arrays -------------------------------------------------------------
 
 _TO_LOWER = np.arange(256, dtype=np.uint8)

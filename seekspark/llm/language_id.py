@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from seekspark.llm.common import LETTER, Prefix, by_partition, chunks, expand, fresh_name, lowered, mix, utf8, word_spans, word_table
+from seekspark.llm.common import CHUNK_BYTES, LETTER, Prefix, by_partition, chunks, expand, fresh_name, give_back, lowered, mix, utf8, word_spans, word_table
 
 FEATURE_BITS = 18
 #: The labelled texts that the model is fitted on: so many of each language at most, none longer than so many bytes.
@@ -207,7 +207,10 @@ def fit(docs: DataFrame, *, per_lang: int = SAMPLE_PER_LANG, max_bytes: int = SA
     order = W.Window.partitionBy("lang").orderBy(h, "doc_id", "text")
     ids = rows.where(F.pmod(h, F.lit(1 << 30)) < share).select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= per_lang).orderBy(F.xxhash64("text"), "lang", "text").collect()
     langs = sorted({r.lang for r in ids})
-    return Model(langs).fit([r.text for r in ids], [langs.index(r.lang) for r in ids])
+    model = Model(langs).fit([r.text for r in ids], [langs.index(r.lang) for r in ids])
+    del ids
+    give_back()
+    return model
 
 
 def _labeller(shared, text_at: int):
@@ -219,7 +222,7 @@ def _labeller(shared, text_at: int):
             raw, off = utf8(texts)
             n = len(off) - 1
             lang, score, sure, plain = np.full(n, -1), np.zeros(n), np.zeros(n), np.zeros(n, bool)
-            for a, b in chunks(off, 1 << 20) if model.langs else ():
+            for a, b in chunks(off, CHUNK_BYTES // 2) if model.langs else ():
                 part, o = raw[off[a] : off[b]], off[a : b + 1] - off[a]
                 letters = np.flatnonzero(_ASCII_LETTER[part])
                 plain[a:b] = np.diff(np.searchsorted(letters, o)) > 0
@@ -275,7 +278,7 @@ def label_words(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
             raw, off = utf8(batch.column(text_at))
             n, parts = np.zeros(len(off) - 1, np.int64), []
-            for a, b in chunks(off, 1 << 20) if model.langs else ():
+            for a, b in chunks(off, CHUNK_BYTES // 2) if model.langs else ():
                 w = Words(raw[off[a] : off[b]], off[a : b + 1] - off[a])
                 g, _ = model.words(w)
                 at = off[a:b][w.doc] - off[a]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekspark.llm.common import SOLID, Prefix, by_partition, chunks, discard, lowered, mix, shingles, small_side, stored, utf8, word_spans
+from seekspark.llm.common import SOLID, Prefix, by_partition, chunks, discard, give_back, lowered, mix, shingles, small_side, stored, utf8, word_spans
 from seekspark.llm.components import components
 
 #: A pair at similarity 0.8 shares none of the 32 bands of 5 with probability 3e-6.
@@ -113,6 +113,7 @@ def _sets(n: int):
             for a, b in chunks(off):
                 s, begin = shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(begin.astype(np.int32), pa.array(s.view(np.int64)))], names=["id", "s"])
+        give_back()
 
     return run
 
@@ -127,6 +128,7 @@ def _screens(n: int):
                 s, begin = shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], n)
                 words = np.packbits((sketch(s, begin, SCREEN_BITS) & _U(1)).astype(bool), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(words.shape[1]))], names=["id", *(f"b{k}" for k in range(words.shape[1]))])
+        give_back()
 
     return run
 
