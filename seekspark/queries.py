@@ -547,7 +547,8 @@ def hamming_pairs(spark, d):
     return dedup.near_pairs(_fingerprints(spark, d), 20)
 
 
-@query()
+@query(f"""with {_PRINTS_SQL}, k as (select movie_id, list_reduce(list([{{'n': n, 'h': h}}] order by n), lambda acc, x: case when len(list_filter(acc, lambda y: bit_count(xor(y.h, x[1].h)) <= 20)) > 0 then acc else list_concat(acc, x) end) kept from f group by 1)
+select movie_id, unnest(list_transform(kept, lambda y: y.n)) n from k""")
 def greedy_dedup(spark, d):
     return dedup.representatives(_fingerprints(spark, d), 20)
 
