@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekspark.llm.common import by_partition, fresh_name, stored
+from seekspark.llm.common import by_partition, fresh_name, give_back, stored
 
 MARK = "▁"
 #: Words in the vocabulary at most, and the longest (in bytes).
@@ -229,6 +229,8 @@ def encode(docs: DataFrame, pieces: Pieces, *, vocabulary: int = VOCABULARY) ->
     words = pc.replace_substring(words, MARK, " ").cast(pa.large_binary())
     ends = np.cumsum(np.asarray(pc.binary_length(words), dtype=np.int64))
     shared = docs.sparkSession.sparkContext.broadcast((b"".join(words.to_pylist()), ends, np.asarray(ids.flatten(), np.int32).tobytes(), np.asarray(ids.value_lengths(), np.int32), pieces))
+    del spelled, ids, words, ends
+    give_back()
     return by_partition(docs, _spell(shared, docs.columns.index("text")), T.StructType([T.StructField(name, T.ArrayType(T.IntegerType()))])), name
 
 
