@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekspark.llm.clustering import cluster_report
 from seekspark.llm.common import ship
 from seekspark.llm.decontaminate import contamination_report
+from seekspark.llm.fingerprint import fingerprint_report
 from seekspark.llm.language_id import language_report
 from seekspark.llm.line_dedup import line_report
 from seekspark.llm.near_dedup import near_duplicate_report
@@ -18,6 +20,7 @@ from seekspark.llm.suffix_dedup import repeat_report
 from seekspark.llm.toxicity import toxicity_report
 from seekspark.llm.url_filter import filter_urls
 from seekspark.llm.vector_search import top_k
+from seekspark.llm.whitening import whitening_report
 
 #: The public model that op1 encodes with.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -69,8 +72,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_top_k_search, op3_toxicity, op4_language_id, op5_decontamination, op6_suffix_array_dedup, op7_line_dedup, op8_sharding, op9_minhash_near_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_top_k_search, op3_toxicity, op4_language_id, op5_decontamination, op6_suffix_array_dedup, op7_line_dedup, op8_sharding, op9_minhash_near_dedup, op10_url_filters, op11_fingerprints, op12_whitening, op13_centroid_clustering)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -133,6 +148,22 @@ m as (select page_id, rhost || rpath rule, rverdict, row_number() over (partitio
 select p.page_id, host, path, rule, coalesce(rverdict, 'allow') verdict from p left join m on m.page_id = p.page_id and k = 1
 """
 
+_ROUND = """
+d{k} as materialized (select vec_id, q, c, list_sum(list_transform(list_zip(q, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint far from v, m{k}),
+a{k} as materialized (select vec_id, q, c, far from (select *, row_number() over (partition by vec_id order by far, c) r from d{k}) where r = 1),
+s{k} as (select c, i, sum(q[i]::hugeint) s, count(*) n from (select c, q, unnest(range(1, 65)) i from a{k}) group by 1, 2),
+n{k} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) m from s{k} group by 1),
+m{next} as materialized (select m{k}.c, coalesce(n{k}.m, m{k}.m) m from m{k} left join n{k} on n{k}.c = m{k}.c)"""
+
+_OP13 = f"""
+with v as materialized (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) q from embeddings
+                        where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+m0 as materialized (select row_number() over (order by sha256('2:' || vec_id)) - 1 c, q m from v order by sha256('2:' || vec_id) limit 40),
+{",".join(_ROUND.format(k=k, next=k + 1) for k in range(6))}
+select vec_id, a5.c::int cluster, far distance, sum(far) over (partition by a5.c)::bigint cluster_inertia, sum(far) over ()::bigint inertia, sha256(array_to_string(m, ',')) centroid_sha256
+from a5 join m5 on a5.c = m5.c
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k_search": _OP2, "op5_decontamination": _OP5, "op7_line_dedup": _OP7, "op9_minhash_near_dedup": _OP9, "op10_url_filters": _OP10}
+    return {"op2_top_k_search": _OP2, "op5_decontamination": _OP5, "op7_line_dedup": _OP7, "op9_minhash_near_dedup": _OP9, "op10_url_filters": _OP10, "op13_centroid_clustering": _OP13}

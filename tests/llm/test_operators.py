@@ -1,16 +1,18 @@
 """Each operator against a brute-force version, and on awkward rows: nulls, empty and long texts, ties, repeats, no rows, clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seekspark.llm import common, decontaminate, language_id, line_dedup, near_dedup, sentencepiece_lattice, sharding, suffix_dedup, toxicity, url_filter, vector_search
+from seekspark.llm import clustering, common, decontaminate, fingerprint, language_id, line_dedup, near_dedup, sentencepiece_lattice, sharding, suffix_dedup, toxicity, url_filter, vector_search, whitening
 from seekspark.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -856,3 +858,198 @@ def test_pipeline_without_rows(spark, tmp_path):
     before = len(common.made(spark))
     assert corpus_pipeline.run(spark, f"{tmp_path}").count() == 0
     assert len(common.made(spark)) <= before + 1
+
+
+# ---- 11
+
+
+def brute_sketch(text):
+    t = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    grams = {t[k : k + fingerprint.SHINGLE].encode() for k in range(max(1, len(t) - fingerprint.SHINGLE + 1))} if t else set()
+    hashes = sorted(int(common.Prefix(np.frombuffer(g, np.uint8)).of(np.array([0]), np.array([len(g)]))[0]) for g in grams)
+    below = [h for h in hashes if h < (1 << 64) // fingerprint.SCALE]
+    return below if len(below) >= fingerprint.LEAST else hashes[: fingerprint.LEAST]
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    top = min(max(x[-1], (1 << 64) // fingerprint.SCALE - 1) if len(x) >= fingerprint.LEAST else 1 << 64 for x in (a, b))
+    a, b = ({h for h in x if h <= top} for x in (a, b))
+    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
+
+
+def brute_fingerprints(rows):
+    rows = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], r[1] or ""))
+    out = []
+    for k, (d, t, *_) in enumerate(rows):
+        t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+        cut = len(t) // 4
+        e = t[: len(t) - cut] + after[:cut]
+        own, changed, then = (brute_sketch(x) for x in (t, e, after))
+        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), "".join(f"{h:016x}" for h in own), "".join(f"{h:016x}" for h in changed), brute_likeness(own, changed), brute_likeness(own, then)))
+    return sorted(out, key=repr)
+
+
+def got_fingerprints(df):
+    return sorted((tuple(r[c] for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_fingerprints_are_those_of_brute_force(docs, rows, size):
+    assert got_fingerprints(fingerprint.fingerprint_report(clashing(docs, "fingerprint", "part", "guest", "key"), size)) == brute_fingerprints(rows)
+
+
+def test_fingerprints_of_awkward_documents(spark):
+    rng = random.Random(3)
+    long = " ".join(words_text(rng, 5, 30_000) for _ in range(3000))
+    rows = [(None, "no id é"), (None, None), (7, "seven 😀😀😀😀 eight"), (7, None), (7, "seven 😀😀😀😀 eight"), (9, long), (10, long), (11, ""), (2**62, "the LAST one"), (-4, "ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (2, 100):
+        assert got_fingerprints(fingerprint.fingerprint_report(df, size)) == brute_fingerprints(rows)
+    alone = [(3, "a single document is its own next")]
+    assert got_fingerprints(fingerprint.fingerprint_report(spark.createDataFrame(alone, "doc_id long, text string"))) == brute_fingerprints(alone)
+    assert fingerprint.fingerprint_report(empty(spark)).collect() == []
+
+
+def test_fingerprint_column_keeps_columns_and_empty_texts(docs, rows):
+    out = fingerprint.with_fingerprint(clashing(docs, "fingerprint"))
+    assert out.columns[-2:] == ["fingerprint", "fingerprint_1"]
+    found = {r.doc_id: r.fingerprint_1 for r in out.collect()}
+    assert found == {d: "".join(f"{h:016x}" for h in brute_sketch(t or "")) for d, t, *_ in rows}
+
+
+def test_merged_fingerprints_are_those_of_both_texts_and_tell_containment():
+    rng = np.random.default_rng(8)
+    few, many, other = (rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) for n in (30, 40_000, 50_000))
+    kept = fingerprint.kept_hashes
+    for a, b in ((few, many), (many, other), (few, few[:5]), (few, other[:50])):
+        whole = kept(np.concatenate([a, b]))
+        top = min(fingerprint.limit(kept(a)), fingerprint.limit(kept(b)))
+        assert np.array_equal(fingerprint.merged(kept(a), kept(b))[: fingerprint.LEAST], whole[whole <= top][: fingerprint.LEAST])
+    assert np.array_equal(fingerprint.read(fingerprint.written(kept(many))), kept(many))
+    part = many[:4000]
+    assert fingerprint.likeness(kept(part), kept(many)) == 1.0
+    half = np.concatenate([many[:4000], other[:4000]])
+    assert 0.35 < fingerprint.likeness(kept(half), kept(many)) < 0.65
+    assert fingerprint.likeness(kept(many), kept(other)) < 0.02
+
+
+# ---- 12
+
+VEC = "vec_id long, embedding array<double>"
+
+
+def brute_whitening(rows, k=4):
+    ok = [(i, [int(math.floor(256 * c)) for c in v]) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) and abs(256 * c) < 2**62 for c in v)]
+    dim = max((len(x) for _, x in ok), default=0)
+    ok = [(i, (*x, *[0] * (dim - len(x)))) for i, x in ok]
+    fit = sorted({x for _, x in ok})
+    n, s = len(fit), [sum(c) for c in zip(*fit, strict=True)]
+    cov = [[Fraction(sum((n * x[a] - s[a]) * (n * x[b] - s[b]) for x in fit), n**3) for b in range(dim)] for a in range(dim)]
+    e, q = np.linalg.eigh(np.array([[float(c) for c in r] for r in cov]).reshape(dim, dim))
+    far = [(i, sum((n * c - t) ** 2 for c, t in zip(x, s, strict=True)), [float(c - Fraction(t, n)) for c, t in zip(x, s, strict=True)]) for i, x in ok]
+    return n, e[::-1][:k], q[:, ::-1][:, :k], float(sum(cov[a][a] for a in range(dim))), far
+
+
+def check_whitening(df, rows, tolerance=1e-9):
+    n, e, q, trace, far = brute_whitening(rows)
+    got = df.collect()
+    assert len(got) == len(far) * len(e) and {r.n for r in got} <= {n}
+    by = {}
+    for r in got:
+        by.setdefault((r.vec_id, r.deviation_digits), {})[r.component] = r
+    for i, d, c in far:
+        own = by[i, str(d)]
+        assert sorted(own) == list(range(1, len(e) + 1))
+        for k in range(len(e)):
+            r = own[k + 1]
+            assert r.deviation == (d if d < 2**63 else None)
+            assert math.isclose(r.explained, e[k] / trace if trace else 0.0, rel_tol=1e-6, abs_tol=1e-9)
+            if e[k] > 1e-9 * e[0]:
+                assert math.isclose(abs(r.whitened), abs(np.dot(c, q[:, k])) / math.sqrt(e[k]), rel_tol=1e-6, abs_tol=tolerance)
+                assert r.identity_error < 1e-4
+    return got
+
+
+def test_whitening_is_that_of_exact_fractions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(c) for c in rng.normal(3, [2.0, 1.0, 0.5, 0.3, 0.1, 0.05])]) for k in range(60)]
+    rows += [(100 + k, rows[0][1]) for k in range(50)] + [(None, rows[1][1]), (5, rows[2][1])]
+    got = check_whitening(whitening.whitening_report(clashing(spark.createDataFrame(rows, VEC).repartition(5), "component", "x", "n", "whitened")), rows)
+    copies = {(r.component, r.whitened) for r in got if r.vec_id is not None and r.vec_id >= 100}
+    assert len(copies) == 4  # equal vectors, equal rows
+
+
+def test_whitening_of_large_components_is_exact(spark):
+    rng = np.random.default_rng(5)
+    base = 2.0**45
+    rows = [(k, [base + float(a), -base * 3 + float(b), float(c)]) for k, (a, b, c) in enumerate(rng.normal(0, [900, 90, 9], (40, 3)))]
+    rows += [(90, [float("nan"), 0.0, 0.0]), (91, [2.0**60, 0.0, 0.0]), (92, None), (93, [None, 1.0, 1.0])]
+    check_whitening(whitening.whitening_report(spark.createDataFrame(rows, VEC).repartition(3)), rows, 1e-6)
+
+
+def test_whitening_of_awkward_vectors(spark):
+    report = lambda rows: whitening.whitening_report(spark.createDataFrame(rows, VEC))
+    assert report([]).collect() == []
+    assert report([(1, None), (2, [float("inf")]), (3, [])]).collect() == []
+    rows = [(1, [1.0, 2.0]), (2, [0.5]), (3, []), (4, [-0.001, 0.0])]
+    check_whitening(report(rows), rows)
+    one = report([(1, [1.0, 2.0]), (2, [1.0, 2.0])]).collect()
+    assert {(r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in one} == {(1, 0, None, 0.0, None)} and len(one) == 4
+    line = report([(k, [float(k), 2.0 * k]) for k in range(9)]).collect()
+    assert all((r.whitened is None) == (r.component == 2) for r in line)
+
+
+def test_limb_products_are_exact():
+    rng = np.random.default_rng(6)
+    x = rng.integers(-(2**62) + 1, 2**62, (300, 3))
+    total = sum(m.astype(object) << s for s, m in whitening.gram(x).items())
+    big = x.astype(object)
+    assert (total == big.T @ big).all()
+
+
+# ---- 13
+
+
+def brute_clusters(rows, k, rounds, dim):
+    kept = [(i, [math.floor(256 * c) for c in v]) for i, v in rows if v is not None and len(v) == dim and all(c is not None and math.isfinite(c) and abs(256 * c) < 2**59 for c in v)]
+    ordered = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"2:{r[0]}".encode()).hexdigest(), r[1]))
+    centres = [list(x) for _, x in ordered[:k]]
+    assign = lambda x: min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), j) for j, c in enumerate(centres))
+    for _ in range(rounds):
+        own = {}
+        for _, x in kept:
+            own.setdefault(assign(x)[1], []).append(x)
+        for j, xs in own.items():
+            centres[j] = [sum(c) // len(xs) for c in zip(*xs, strict=True)]
+    last = [(i, *assign(x)[::-1]) for i, x in kept]
+    inertia = {j: sum(d for _, c, d in last if c == j) for j in range(len(centres))}
+    fit = lambda v: v if v < 2**63 else None
+    return sorted(((i, j, fit(d), fit(inertia[j]), fit(sum(inertia.values())), hashlib.sha256(",".join(map(str, centres[j])).encode()).hexdigest()) for i, j, d in last), key=repr)
+
+
+def check_clusters(spark, rows, k=6, rounds=4, dim=3):
+    df = clashing(spark.createDataFrame(rows, VEC).repartition(4), "cluster", "x", "distance")
+    got = clustering.cluster_report(df, k=k, rounds=rounds, dim=dim)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_clusters(rows, k, rounds, dim)
+
+
+def test_clusters_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, [float(c) for c in rng.normal(k % 4, 0.4, 3)]) for k in range(120)]
+    rows += [(200 + k, [1.0, 1.0, 1.0]) for k in range(70)]  # a hot vector
+    check_clusters(spark, rows)
+
+
+def test_clusters_of_awkward_vectors(spark):
+    rows = [(1, [0.0, 0.0, 0.0]), (1, [0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 0.0, 0.0]), (5, [None, 0.0, 0.0]), (6, [-1.0, 0.25, 0.001]), (2**61 + 1, [5.0, -5.0, 5.0])]
+    check_clusters(spark, rows)
+    check_clusters(spark, [(1, [2.0**48, 0.0, -(2.0**48)]), (2, [-(2.0**48), 3.0, 1.0]), (3, [2.0**49, 1.0, 0.0]), (4, [2.0**51, 0.0, 0.0])], k=2)
+    check_clusters(spark, [(1, [2.0**31, 0.0, -(2.0**31)]), (2, [-(2.0**31), 3.0, 1.0]), (3, [2.0**32, 1.0, 0.0])], k=2)
+    check_clusters(spark, [])
+
+
+def test_nearest_centroid_of_equal_ones_is_the_first():
+    at, far = clustering.nearest(np.array([[0, 0], [4, 0]]), [[1, 0], [-1, 0], [1, 0]])
+    assert at.tolist() == [0, 0] and far.tolist() == [1, 9]
