@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ def char_bigrams(text: Column) -> Column:
     return F.flatten(F.transform(tokens(text), pairs))
 
 
-TOKENIZERS = {"word": tokens, "char2": char_bigrams}
+Tokenizer = Callable[[Column], Column]
+TOKENIZERS: dict[str, Tokenizer] = {"word": tokens, "char2": char_bigrams}
 
 
 def _filled(c: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekspark.functions import dictionary as _dictionary  # noqa: F401  its tokenizer is one of TOKENIZERS
 from seekspark.functions.text import TOKENIZERS, caption_for
 from seekspark.operators.fuse import MODES
 

@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekspark.functions import text as X
+from seekspark.functions.dictionary import Dictionary
+from seekspark.functions.hashing import murmur3, with_term_ids
 from seekspark.operators import clarify, dedup, filters, index, metrics, quality, rank, report, resolve
 from seekspark.operators.common import numbered, ranked
 from seekspark.operators.dense import dense_branch
 from seekspark.plans import search as S
 from seekspark.plans import variants
 from seekspark.sources import tables
-from seekspark.sources.shared import materialised
+from seekspark.sources.shared import discarded_folder, materialised
 from seekspark.streaming.sessions import rate_limited
 
 HOME = "en"
@@ -93,6 +95,8 @@ def _index(spark: SparkSession, d: str, docs: Callable[[SparkSession, str], Data
     at = f"{d}/documents.parquet"
     key = (spark.sparkContext.applicationId, docs.__name__, at, tables.state_of(spark, at))
     if key not in _INDEXES:
+        for old in [k for k in _INDEXES if k[:3] == key[:3]]:
+            discarded_folder(spark, _INDEXES.pop(old).path)
         _INDEXES[key] = index.build(docs(spark, d), "item_id")
     return _INDEXES[key]
 
@@ -172,7 +176,7 @@ def bm25_stats(spark, d):
 
 @query(f"select term, count(distinct doc_id)::bigint df from (select doc_id, unnest({_TOK}) term from documents) group by 1")
 def term_df(spark, d):
-    return index.document_frequency(_index(spark, d, _items).postings)
+    return _index(spark, d, _items).terms.select("term", "df")
 
 
 @query(rf"""
@@ -205,6 +209,62 @@ def bm25_bigrams(spark, d):
     return _rounded(index.sparse_branch(own, b.select(F.col("item_id").alias("query_id"), "text"), key="item_id", limit=5), "score")
 
 
+# The dictionary: the first four letters of each item's first word, so that it cuts words of documents.
+_DICTIONARY = rf"words as (select distinct left({_TOK}[1], 4) word from benchmark where len({_TOK}) > 0), dictionary as (select '(' || string_agg(word, '|' order by length(word) desc, word) || ')' pattern from words)"
+_CUT_TOK = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), (select pattern from dictionary), chr(1) || '\1' || chr(1), 'g'), '[\p{L}\p{N}_]+')"
+
+
+def _dictionary(spark: SparkSession, d: str) -> Dictionary:
+    return Dictionary.of_table(_t(spark, d, "benchmark").select(F.left(F.get(X.tokens(F.col("text")), F.lit(0)), F.lit(4)).alias("word")))
+
+
+@query(f"with {_DICTIONARY}, t as (select doc_id, {_CUT_TOK} w, ws from documents, (select list(word) ws from words)) select doc_id, len(w)::bigint n_tokens, len(list_filter(w, lambda x: list_contains(ws, x)))::bigint n_known, md5(array_to_string(w, ' ')) cut from t")
+def dictionary_tokens(spark, d):
+    """Documents cut by a dictionary: how many tokens, how many of them are its words, and all of them in order."""
+    cut = _dictionary(spark, d)
+    known = F.lit(f"^(?:{cut.pattern})$")
+    t = _t(spark, d, "documents").select("doc_id", cut(F.col("text")).alias("w"))
+    return t.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.filter("w", lambda x: F.rlike(x, known))).cast("long").alias("n_known"), F.md5(F.array_join("w", " ")).alias("cut"))
+
+
+@query(f"with {_DICTIONARY}, {_bm25_sql('select item_id, text from benchmark', _QUERIES_SQL).replace(_TOK, _CUT_TOK)}, {_rank_sql('scores', 'r', 5)} select query_id, item_id, round(score, 6) score, rank from r")
+def bm25_dictionary(spark, d):
+    """Items as queries against all items; both are cut by the same dictionary."""
+    b = _t(spark, d, "benchmark")
+    own = index.build(b.select("item_id", "text"), "item_id", tokenizer=_dictionary(spark, d))
+    return _rounded(index.sparse_branch(own, b.select(F.col("item_id").alias("query_id"), "text"), key="item_id", limit=5), "score")
+
+
+_SCRAMBLED = "((((({k} * 3432918353::ubigint) % 4294967296 << 15) & 4294967295) | ((({k} * 3432918353::ubigint) % 4294967296) >> 17)) * 461845907::ubigint) % 4294967296"
+_MURMUR = f"""
+bytes as (select term, hex(encode(term)) h, strlen(term) n from (select distinct term from terms)),
+blocks as (select term, h, n, list_transform(range(0, n // 4), lambda i: ('0x' || substr(h, 8 * i + 7, 2) || substr(h, 8 * i + 5, 2) || substr(h, 8 * i + 3, 2) || substr(h, 8 * i + 1, 2))::ubigint) b,
+           ('0x0' || substr(substr(h, (n // 4) * 8 + 1, 6), 5, 2) || substr(substr(h, (n // 4) * 8 + 1, 6), 3, 2) || substr(substr(h, (n // 4) * 8 + 1, 6), 1, 2))::ubigint t from bytes),
+body as (select term, n, t, list_reduce(list_prepend(0::ubigint, list_transform(b, lambda k: {_SCRAMBLED.format(k="k")})), lambda a, k: ((((xor(a, k) << 13) & 4294967295) | (xor(a, k) >> 19)) * 5 + 3864292196::ubigint) % 4294967296) x from blocks),
+m0 as (select term, xor(xor(x, {_SCRAMBLED.format(k="t")}), n::ubigint) x from body),
+m1 as (select term, (xor(x, x >> 16) * 2246822507::ubigint) % 4294967296 x from m0),
+m2 as (select term, (xor(x, x >> 13) * 3266489909::ubigint) % 4294967296 x from m1),
+ids as (select term, xor(x, x >> 16)::bigint term_id from m2)"""
+
+
+@query(f"with terms as (select unnest({_TOK}) term from benchmark), {_MURMUR} select term, term_id from ids")
+def term_ids(spark, d):
+    """The 32-bit ids of the benchmark's terms."""
+    terms = index.query_terms(_t(spark, d, "benchmark"), "item_id").select("term").distinct()
+    return terms.select("term", murmur3(F.col("term")).alias("term_id"))
+
+
+@query(f"""with terms as (select doc_id, dl, unnest(w) term from (select doc_id, w, len(w) dl from (select doc_id, {_TOK} w from documents))), {_MURMUR},
+p as (select doc_id, term_id & 4095 term_id, count(*) tf, any_value(dl) dl from terms join ids using (term) group by 1, 2), st as (select avg(len({_TOK})) avgdl from documents)
+select doc_id, count(*)::bigint n_ids, max(tf)::bigint most, max(dl)::bigint n_tokens, round(sum(tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl))), 6) total from p, st group by 1""")
+def merged_term_ids(spark, d):
+    """Document vectors by ids of twelve bits, of which many are shared: the frequencies of terms with one id are one frequency, which is then weighed."""
+    own = _index(spark, d, _items)
+    weight = index.bm25_weight(F.col("tf"), F.col("dl"), F.lit(own.avgdl))
+    merged = with_term_ids(own.postings, "item_id", bits=12).groupBy(F.col("item_id").alias("doc_id"))
+    return merged.agg(F.count("*").alias("n_ids"), F.max("tf").alias("most"), F.max("dl").alias("n_tokens"), F.round(F.sum(weight), 6).alias("total"))
+
+
 @query(f"with {_dense_sql()}, {_rank_sql('dscores', 'r', 50)} select query_id, item_id, round(score, 6) score, rank from r")
 def dense_topk(spark, d):
     return _rounded(dense_branch(_vectors(spark, d), _queries(spark, d), key="item_id"), "score")

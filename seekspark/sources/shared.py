@@ -20,18 +20,52 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def made(spark: SparkSession) -> list[str]:
+    """The folders that the library has made in this session and not deleted, oldest first; those of the training-data operators are apart."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_seekspark_folders"):
+        sc._seekspark_folders = []
+    return sc._seekspark_folders
+
+
+def made_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, to be written by the caller and deleted by `clear`."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    made(spark).append(path)
+    return path
+
+
 def materialised(df: DataFrame, name: str = "step") -> DataFrame:
     """The rows written as Parquet and read back: the plan starts anew, and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = made_folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._materialised_at = path
     return out
 
 
+def discarded_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that the library has made."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in made(spark):
+        made(spark).remove(path)
+
+
 def discarded(*frames: DataFrame) -> None:
     """Deletes materialised rows of which no later plan reads; others are left alone."""
     for df in frames:
         if path := getattr(df, "_materialised_at", None):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            discarded_folder(df.sparkSession, path)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what was made after the first `since` folders. For callers that have written their results: plans that read these folders fail afterwards."""
+    for path in made(spark)[since:]:
+        discarded_folder(spark, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: rows of a table of few files or row groups are dealt out before costly work; one of as many parts as there are cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
