@@ -51,3 +51,21 @@ def merged_timings(rows: DataFrame, key: str, timings: str) -> DataFrame:
     """(key, timings): the maps of a key added up entry by entry."""
     parts = rows.select(key, F.explode(timings).alias("step", "ms")).groupBy(key, "step").agg(F.sum("ms").alias("ms"))
     return parts.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("step", "ms")))).alias(timings))
+
+
+def with_variant(runs: DataFrame, config: str = "config") -> DataFrame:
+    """Runs whose config is parsed once, as a VARIANT; malformed JSON becomes null, and `malformed` says so (a null config isn't)."""
+    parsed = F.try_parse_json(config)
+    return runs.withColumns({config: parsed, "malformed": F.col(config).isNotNull() & parsed.isNull()})
+
+
+def flattened_variant(runs: DataFrame, config: str = "config") -> DataFrame:
+    """flattened() of a VARIANT config: fields of another type than text, or true and false, count as missing."""
+    text = lambda key: F.coalesce(F.when(F.schema_of_variant(F.variant_get(config, f"$.{key}", "variant")) == "STRING", F.variant_get(config, f"$.{key}", "string")), F.lit(""))
+    flag = F.when(F.schema_of_variant(F.variant_get(config, "$.agent", "variant")) == "BOOLEAN", F.variant_get(config, "$.agent", "boolean"))
+    return runs.withColumns({"experiment": text("experiment"), "name": text("name"), "commit": text("commit"), "agent": F.coalesce(flag, F.lit(False))})
+
+
+def of_experiment_variant(runs: DataFrame, experiment: str, config: str = "config") -> DataFrame:
+    """Runs of one experiment; one whose config is malformed, or names none, is of none."""
+    return runs.where(F.try_variant_get(config, "$.experiment", "string") == experiment)
