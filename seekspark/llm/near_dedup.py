@@ -190,13 +190,25 @@ def _met(rest: DataFrame, percent: int, cell_rows: int) -> DataFrame:
     return seats.alias("a").join(seats.alias("b"), F.expr(on)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
 
 
+def _same_document(base: DataFrame, copied: DataFrame, n_copied: int) -> DataFrame:
+    """(u, v): the classes of equal sets that the rows of one repeated doc_id are in, each linked with that doc_id."""
+    real = base.where("doc_id is not null and n_shingles > 0").select("doc_id", "h1", "h2")
+    again = stored(base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    n = again.count()
+    rows = real.join(small_side(again, n), "doc_id", "left_semi").join(small_side(copied, n_copied), ["h1", "h2"])
+    out = stored(rows.where("rep != doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).distinct(), "same")
+    discard(again)
+    return out
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Documents are linked where 100 * intersection >= percent * union of their sets of
     distinct word shingles; component_id is the least doc_id that can be reached. Texts
     that are null, empty or white space have no shingle and no link. Equal sets make one
-    class before any pair is looked at. Rows that repeat a doc_id count as one document;
+    class before any pair is looked at. Rows that repeat a doc_id are one document, with the
+    links of each of its texts, though each row has its own n_shingles;
     a row with a null doc_id is linked with nothing and has a null component_id.
     """
     base = stored(by_partition(docs.select("doc_id", "text"), _sketches(words, bands, rows), T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])).drop("text"), "sketches")
@@ -208,7 +220,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     bucket = _buckets(base, copied, n_copied)
     star = stored(bucket.where("id != u").where(_alike(percent)).select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct(), "star")
     real_docs = docs.where("doc_id is not null")
-    links = _confirmed(real_docs, star, words, percent)
+    same = _same_document(base, copied, n_copied)
+    links = stored(_confirmed(real_docs, star, words, percent).unionAll(same), "links_and_ids")
+    discard(same)
     labels = components(links)
 
     # The others of a bucket, where more than one component is left: pairs across components that pass the screen.
