@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -74,6 +75,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_buckets(df: DataFrame, name: str, n: int, *keys: str) -> DataFrame:
+    """stored(), in n buckets of the keys, each sorted by them: one file of each where df is partitioned so. Plans on it join by merging inside `sorted_buckets`."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    made(spark).append(path)
+    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._stored_at, out._table = path, table
+    return out
+
+
+@contextlib.contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Inside, a scan of a bucket that is one file is known to be sorted; the session's setting returns afterwards."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def made(spark: SparkSession) -> list[str]:
     """The folders that this session has stored and not deleted."""
     sc = spark.sparkContext
@@ -92,6 +117,8 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 def discard(*frames: DataFrame) -> None:
     """Deletes stored rows of which no later plan reads."""
     for df in frames:
+        if table := getattr(df, "_table", None):
+            df.sparkSession.sql(f"drop table {table}")
         _delete(df.sparkSession, [df._stored_at])
 
 

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import NO_ID, discard, fresh_name, let, lower_ascii, small_lists, small_side, stored
+from seekspark.llm.common import NO_ID, discard, fresh_name, let, lower_ascii, small_lists, small_side, sorted_buckets, stored, stored_buckets
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
 
@@ -28,7 +28,11 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levels of runs; add() takes a batch of (h1, h2, id) with a row for each document and key."""
+    """The levels of runs; add() takes a batch of (h1, h2, id) with a row for each document and key.
+
+    A run is a table in buckets of its key, each one sorted file, so that runs meet each other and a batch
+    by merging: neither side is shuffled or sorted again.
+    """
 
     def __init__(self, min_docs: int, fanout: int = FANOUT) -> None:
         self.min_docs, self.fanout, self.levels = min_docs, fanout, [[]]
@@ -41,19 +45,31 @@ class LineRuns:
         return reduce(DataFrame.unionAll, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
     @staticmethod
-    def _sorted(run: DataFrame) -> DataFrame:
-        return stored(run.repartition("h1", "h2").sortWithinPartitions("h1", "h2"), "run")
+    def _run(rows: DataFrame, dealt: bool = False) -> DataFrame:
+        """The rows as a run; dealt if they are in its buckets' partitions already."""
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return stored_buckets(rows if dealt else rows.repartition(n, "h1", "h2"), "run", n, "h1", "h2")
 
-    def add(self, batch: DataFrame) -> None:
-        own = batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
+    def unsettled(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch's own run whose keys no run shows to be repeated."""
         for run in self._all():
-            own = own.join(run.where(F.col("n_docs") >= self.min_docs).hint("merge"), ["h1", "h2"], "left_anti")
-        self.levels[0].append(self._sorted(own))
+            batch = batch.join(run.where(F.col("n_docs") >= self.min_docs).hint("merge"), ["h1", "h2"], "left_anti")
+        return batch
+
+    def add(self, batch: DataFrame) -> None:
+        # Stored before runs are taken from it: the planner would move anti joins below the aggregation, to each line.
+        own = self._run(batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")))
+        if self._all():
+            with sorted_buckets(own.sparkSession):
+                left = self._run(self.unsettled(own), dealt=True)
+            discard(own)
+            own = left
+        self.levels[0].append(own)
         for k, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._sorted(self._merged(level)))
+                self.levels[k + 1].append(self._run(self._merged(level)))
                 discard(*level)
                 self.levels[k] = []
 
