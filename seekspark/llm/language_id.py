@@ -171,8 +171,8 @@ class Model:
             e = w.scores(self.weights)[w.of].astype(np.float64)
             e -= np.log(np.exp(e - e.max(1, keepdims=True)).sum(1, keepdims=True)) + e.max(1, keepdims=True)
             total = np.r_[np.zeros((1, n)), np.cumsum(e + 0.5 * own[y], 0)]
-            at = np.arange(len(e))
-            y[:] = (total[np.minimum(at + 4, len(e))] - total[np.maximum(at - 3, 0)]).argmax(1)
+            at, first, end = np.arange(len(e)), np.searchsorted(w.doc, w.doc, "left"), np.searchsorted(w.doc, w.doc, "right")
+            y[:] = (total[np.minimum(at + 4, end)] - total[np.maximum(at - 3, first)]).argmax(1)  # no text learns from another's words
         for _ in range(rounds):
             for w, y in batches:
                 g, pairs = forward_backward(w.scores(self.weights)[w.of].astype(np.float64), self.start, self.trans, w.chain, w.length, True)
