@@ -10,6 +10,7 @@ bound, and then expand only to annuli whose bound reaches their k-th score.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,15 +152,18 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
 
     Scores are integer inner products of floor(scale * x); ties go to the smaller vec_id.
     Vectors (and ids) that are null, empty, or hold a null or non-finite component take
-    no part; a shorter vector counts as ending in zeros. Rows that share a query's
+    no part, nor do those with a component so large that a score could leave a long (scaled, the
+    root of 2^63 / dimensions: above 2^28 for 64); a shorter vector counts as ending in zeros. Rows that share a query's
     vec_id are its own and aren't candidates; of several query rows with one id the vector with
     the least bytes (little-endian integers) stands. Pivots come from `sample` vectors; the
     index holds every vector, so the result doesn't depend on them.
     """
     spark = vectors.sparkSession
     fine = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("_query"))
-    n, dim = fine.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    dim = dim or 1
+    dim = fine.agg(F.max(F.size("embedding"))).first()[0] or 1
+    most = math.isqrt(((1 << 63) - 1) // dim)
+    fine = fine.where(F.forall("embedding", lambda x: F.abs(x * scale) < most))
+    n = fine.count()
     picked = fine.orderBy(F.xxhash64("vec_id")).limit(sample).select("embedding").toArrow().column(0)
     piv = _pivots(_matrix(picked, scale, dim), pivots)
     keyed = fine.select("vec_id", "embedding").mapInArrow(_assign(piv, scale), "vec_id long, cell int, dist double, vec binary")
