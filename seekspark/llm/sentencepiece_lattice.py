@@ -198,8 +198,10 @@ def _cut(whole: bytes, ends: np.ndarray) -> Iterator[bytes]:
 
 def _spell(shared, text_at: int):
     def make():
-        words, ends, codes, sizes, pieces = shared.value
-        speller = Speller(zip(_cut(words, ends), _cut(codes, 4 * np.cumsum(sizes, dtype=np.int64)), strict=True), pieces)
+        speller = getattr(shared, "speller", None)  # a worker process keeps it beside the broadcast, for its next tasks
+        if speller is None:
+            words, ends, codes, sizes, pieces = shared.value
+            speller = shared.speller = Speller(zip(_cut(words, ends), _cut(codes, 4 * np.cumsum(sizes, dtype=np.int64)), strict=True), pieces)
         spelled = speller.__getitem__
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
