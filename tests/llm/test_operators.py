@@ -1053,3 +1053,46 @@ def test_clusters_of_awkward_vectors(spark):
 def test_nearest_centroid_of_equal_ones_is_the_first():
     at, far = clustering.nearest(np.array([[0, 0], [4, 0]]), [[1, 0], [-1, 0], [1, 0]])
     assert at.tolist() == [0, 0] and far.tolist() == [1, 9]
+
+
+# ---- what the reports found
+
+
+def test_rows_that_repeat_a_doc_id_are_one_document(spark):
+    rng = random.Random(21)
+    a, b, c = (words_text(rng, 40, 4000) for _ in range(3))
+    near = a.split(" ")
+    near[3] = "changed"
+    rows = [(1, a), (5, a), (5, b), (2, b), (7, c), (8, " ".join(near)), (9, None), (9, c), (10, ""), (10, "x y"), (None, a), (11, "alone here with five words")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=5).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 5: 1, 2: 1, 8: 1, 7: 7, 9: 7, 10: 10, None: None, 11: 11}
+    assert len(got) == len(rows)
+
+
+def test_line_runs_meet_without_a_shuffle_or_a_sort(spark):
+    runs = line_dedup.LineRuns(2, fanout=3)
+    frame = lambda *r: spark.createDataFrame(r, "h1 long, h2 long, id long")
+    runs.add(frame((1, 1, 9), (1, 1, 8), (2, 2, 9)))
+    runs.add(frame((1, 1, 5), (2, 2, 4), (3, 3, 4)))
+    with common.sorted_buckets(spark):
+        batch = runs._run(frame((1, 1, 1), (3, 3, 1)).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")))
+        plan = runs.unsettled(batch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and "Sort [" not in plan and "Aggregate" not in plan
+    assert {tuple(r) for r in runs.repeated().collect()} == {(1, 1, 9), (2, 2, 9)}
+    common.discard(batch)
+    runs.discard()
+
+
+def test_relabelling_stops_at_the_ends_of_texts():
+    texts = [f"der die das {k}" if k % 2 else f"the of and {k}" for k in range(200)]
+    model = language_id.Model(["de", "en"]).fit(texts, [0 if k % 2 else 1 for k in range(200)])
+    w = language_id.Words(*common.utf8(pa.array(["the", "die", "of and", "das der"])))
+    got = model.words(w)[0].argmax(1)
+    assert got.tolist() == [1, 0, 1, 1, 0, 0]
+
+
+def test_vectors_whose_scores_could_leave_a_long_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (50, [2.0**22, -(2.0**22)]), (1, [1e18, 0.0]), (2, [0.5, 0.5]), (3, [2.0**23, 1.0]), (4, [2.0**24, 0.0])]
+    got = vector_search.top_k(spark.createDataFrame(rows, VEC), F.col("vec_id") % 50 == 0, k=3).collect()
+    assert {r.vec_id for r in got} == {0, 2, 3, 50}
+    assert {(r.query_id, r.vec_id): r.score for r in got}[50, 3] == 2**30 * 2**31 - 2**30 * 256
