@@ -42,7 +42,14 @@ class LineRuns:
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionAll, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        """The runs as one. They are joined, not put end to end: this Spark takes a union of bucketed scans for partitioned by their key, which it isn't."""
+
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:
+            other = b.select("h1", "h2", F.col("n_docs").alias("_n"), F.col("keeper").alias("_keeper")).hint("merge")
+            n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))
+            return a.join(other, ["h1", "h2"], "full_outer").select("h1", "h2", n.alias("n_docs"), F.greatest("keeper", "_keeper").alias("keeper"))
+
+        return reduce(both, runs)
 
     @staticmethod
     def _run(rows: DataFrame, dealt: bool = False) -> DataFrame:
@@ -69,7 +76,8 @@ class LineRuns:
             if len(level) >= self.fanout:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._run(self._merged(level)))
+                with sorted_buckets(level[0].sparkSession):
+                    self.levels[k + 1].append(self._run(self._merged(level)))
                 discard(*level)
                 self.levels[k] = []
 
