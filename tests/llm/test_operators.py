@@ -1092,7 +1092,7 @@ def test_relabelling_stops_at_the_ends_of_texts():
 
 
 def test_vectors_whose_scores_could_leave_a_long_take_no_part(spark):
-    rows = [(0, [1.0, 2.0]), (50, [2.0**22, -(2.0**22)]), (1, [1e18, 0.0]), (2, [0.5, 0.5]), (3, [2.0**23, 1.0]), (4, [2.0**24, 0.0])]
+    rows = [(0, [1.0, 2.0]), (50, [2.0**22, -(2.0**22)]), (1, [1e18, 0.0]), (2, [0.5, 0.5]), (3, [1.5 * 2.0**22, 1.0]), (4, [2.0**24, 0.0])]
     got = vector_search.top_k(spark.createDataFrame(rows, VEC), F.col("vec_id") % 50 == 0, k=3).collect()
     assert {r.vec_id for r in got} == {0, 2, 3, 50}
-    assert {(r.query_id, r.vec_id): r.score for r in got}[50, 3] == 2**30 * 2**31 - 2**30 * 256
+    assert {(r.query_id, r.vec_id): r.score for r in got}[50, 3] == 2**30 * 3 * 2**29 - 2**30 * 256
