@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from seekspark.sources.shared import materialised
+
 
 def ranked(df: DataFrame, keys: Sequence[str], score: str, tie: str, *, limit: int | None = None, name: str = "rank") -> DataFrame:
     """df with the rank (from 1) by descending score and ascending tie within keys, cut at limit.
@@ -25,16 +27,21 @@ def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return df.withColumn("_first", F.row_number().over(W.Window.partitionBy(*keys).orderBy(*order))).where("_first = 1").drop("_first")
 
 
-def hash_rank(df: DataFrame, bucket: str, *order: str, name: str = "k") -> DataFrame:
-    """df numbered from 1 in the order, whose leading part is a bucket of few values (such as a hash's first digits).
+def placed(df: DataFrame, *order: Column | str, name: str = "k") -> DataFrame:
+    """df numbered from 1 in the order, which has to tell all rows apart.
 
-    Rows are numbered within buckets and offset by the buckets before, so no task sorts all rows.
+    Rows are sorted in ranges and written with their place in their range; what comes before a range is a sum of
+    the ranges' counts, which are as many as there are partitions. No task sorts or counts all rows.
     """
-    counts = df.groupBy(bucket).agg(F.count("*").alias("_n"))
-    before = W.Window.orderBy(bucket).rowsBetween(W.Window.unboundedPreceding, -1)
-    offsets = counts.select(bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each bucket
-    own = F.row_number().over(W.Window.partitionBy(bucket).orderBy(*order))
-    return df.withColumn("_own", own).join(F.broadcast(offsets), bucket).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before")
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the place in the partition, which is in the bits above
+    rows = materialised(ranges.withColumns({"_range": F.spark_partition_id(), "_at": at}), "placed")
+    before, offsets = 0, []
+    for r in rows.groupBy("_range").count().orderBy("_range").collect():
+        offsets.append((r["_range"], before))
+        before += r["count"]
+    known = df.sparkSession.createDataFrame(offsets, "_range int, _before long")
+    return rows.join(F.broadcast(known), "_range").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -42,12 +49,6 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def numbered(df: DataFrame, key: str, width: int = 4096, name: str = "pos") -> DataFrame:
-    """df numbered from 1 by an integer key: in ranges of width keys, offset by the ranges before."""
-    ranges = df.withColumn("_range", F.floor(F.col(key) / width))
-    return hash_rank(ranges, "_range", key, name=name).drop("_range")
-
-
 def in_cells(rows: DataFrame, group: str, key: str, cell_rows: int) -> DataFrame:
     """rows with block, x and y: a group's rows are dealt into blocks of about cell_rows by their key, and each two blocks meet in a cell (x, y).
 

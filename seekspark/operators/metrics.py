@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seekspark.functions.text import tokens
-from seekspark.operators.common import let
+from seekspark.operators.index import BROADCAST_TERMS, Index, asked, build, read_blocks
+from seekspark.sources.shared import materialised
 
-#: Distinct runs of passages that are sent to every executor; more are shuffled.
-SENT_RUNS = 200_000
 # The metrics that every report has, and how many ranks count.
 SEARCH_DEPTH, AGENT_DEPTH = 10, 5
 
@@ -20,33 +20,64 @@ def ranks_of(predictions: DataFrame, truth: DataFrame, depth: int = SEARCH_DEPTH
     return truth.join(found, ["query_id", "answer_id"], "left")
 
 
-#: Words of the run by which passages are found, and passages without so many inner words that are sent to every executor, to be looked for one by one.
-RUN, SHORT_PASSAGES = 3, 10_000
+#: Passages without an inner word that one pass over the documents looks for.
+SHORT_PASSAGES = 10_000
 
 
-def containing(docs: DataFrame, passages: DataFrame, *, key: str = "doc_id", passage_key: str = "query_id") -> DataFrame:
+def containing(docs: DataFrame, passages: DataFrame, index: Index | None = None, *, key: str = "doc_id", passage_key: str = "query_id") -> DataFrame:
     """(passage_key, key): docs(key, text) whose text contains that of passages(passage_key, text).
 
     A text that contains a passage has the passage's inner words (but the first and last,
-    which may be parts of words there) as a run. Of each passage the run with the most
-    letters is joined to the runs of the documents, and what meets is compared whole.
+    which may be parts of words there). Of each passage the rarest inner word is looked up in the
+    index of docs by words (made here, unless it is given), and the documents that have it are
+    compared whole. Passages without an inner word are looked for in all documents, many in one pass.
     Empty and null passages are in nothing.
     """
-    def runs(c: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(c) - RUN + 1), lambda i: F.array_join(F.slice(c, i, F.lit(RUN)), " "))
-
+    own = index if index is not None and index.tokenizer == "word" else build(docs, key)
     words = tokens(F.col("text"))
-    cut = passages.where("text != ''").select(F.col(passage_key), F.col("text").alias("_passage"), F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))).alias("_inner"))
-    best = let(runs(F.col("_inner")), lambda r: F.array_max(F.transform(r, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
-    long = cut.where(F.size("_inner") >= RUN).select(passage_key, "_passage", best.alias("_run"))
-    own = docs.select(key, "text", words.alias("_words")).where(F.size("_words") >= RUN).select(key, "text", let(F.col("_words"), runs).alias("_runs"))
-    wanted = long.select("_run").distinct()
-    n = wanted.limit(SENT_RUNS + 1).count()
-    met = own.select(key, F.explode(F.array_distinct("_runs")).alias("_run")).join(F.broadcast(wanted) if n <= SENT_RUNS else wanted, "_run", "left_semi")
-    found = met.join(long, "_run").join(docs.select(key, "text"), key).where(F.contains("text", F.col("_passage"))).select(passage_key, key)
-    short = cut.where(F.size("_inner") < RUN).select(passage_key, "_passage")
-    k = short.limit(SHORT_PASSAGES + 1).count()
-    return found.unionAll(docs.join(F.broadcast(short) if k <= SHORT_PASSAGES else short, F.contains("text", F.col("_passage"))).select(passage_key, key)) if k else found
+    cut = passages.where("text != ''").select(passage_key, F.col("text").alias("_passage"), F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))).alias("_inner"))
+    inner = cut.where(F.size("_inner") > 0).select(passage_key, F.array_join(F.array_distinct("_inner"), " ").alias("text"))
+    terms = asked(own, inner, passage_key)
+    rarest = terms.rows.groupBy(passage_key).agg(F.count("*").alias("_found"), F.min_by("term", F.struct("df", "term")).alias("term"))
+    # A passage with an inner word that no document has is in none.
+    rarest = inner.select(passage_key, F.size(F.split("text", " ")).alias("_asked")).join(rarest, passage_key).where("_asked = _found").select(passage_key, "term")
+    n = rarest.limit(BROADCAST_TERMS + 1).count()
+    met = read_blocks(own, terms).join(F.broadcast(rarest) if n <= BROADCAST_TERMS else rarest, "term").select(passage_key, F.explode("posts.key").alias(key))
+    found = met.join(cut.select(passage_key, "_passage"), passage_key).join(docs.select(key, "text"), key).where(F.contains("text", F.col("_passage"))).select(passage_key, key)
+    short = cut.where(F.size("_inner") == 0).select(passage_key, "_passage")
+    k = short.count()
+    if not k:
+        return found
+    parts = -(-k // SHORT_PASSAGES)
+    short = materialised(short.withColumn("_part", F.pmod(F.xxhash64("_passage"), F.lit(parts))), "short")
+    for part in range(parts):
+        rows = short.where(F.col("_part") == part)
+        texts = [r[0] for r in rows.select("_passage").distinct().collect()]  # about SHORT_PASSAGES
+        hits = docs.select(key, "text").mapInArrow(_with_any(texts), T.StructType([docs.schema[key], T.StructField("_passage", T.StringType())]))
+        found = found.unionAll(hits.join(rows, "_passage").select(passage_key, key))
+    return found
+
+
+def _with_any(texts: list[str]):
+    """Rows (key, text) to (key, passage) for each of the texts that the text contains: one walk through it for all, by a trie with links back."""
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        trie = ahocorasick.Automaton()
+        for t in texts:
+            trie.add_word(t, t)
+        trie.make_automaton()
+        for batch in batches:
+            keys, found = [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                own = {t for _, t in trie.iter(text)} if text else ()
+                keys += [at] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(found, pa.string())], names=[batch.schema.names[0], "_passage"])
+
+    return run
 
 
 def hit_metrics(rank: Column | str = "rank") -> list[Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from seekspark.functions.text import overlap, tokens
-from seekspark.operators.common import hash_rank
+from seekspark.operators.common import placed
 from seekspark.schema import CAPTION, TIMES_OF_DAY
 
 # Allowed caption lengths in code points (both ends included), the shortest
@@ -74,8 +74,8 @@ def split_examples(scenes: DataFrame, *, dev: int = 200, seed: str = "0") -> Dat
     """One scene a movie by hash order, shuffled; the first `dev` are dev, the rest test; numbered ids."""
     h = F.sha1(F.concat_ws("|", F.col("scene_id").cast("string"), F.lit(seed)))
     per_movie = scenes.withColumn("_h", h).groupBy("movie_id").agg(F.min_by(F.struct("scene_id", "_h"), F.struct("_h", "scene_id")).alias("x"))
-    rows = per_movie.select("movie_id", F.col("x.scene_id").alias("scene_id"), F.col("x._h").alias("_h"), F.substring("x._h", 1, 3).alias("_b"))
-    k = hash_rank(rows, "_b", "_h", "scene_id")
+    rows = per_movie.select("movie_id", F.col("x.scene_id").alias("scene_id"), F.col("x._h").alias("_h"))
+    k = placed(rows, "_h", "scene_id")
     return k.select("movie_id", "scene_id", F.when(F.col("k") <= dev, "dev").otherwise("test").alias("split"), F.format_string("syn-%04d", "k").alias("id"))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from seekspark.functions.text import decade, normalized_title
-from seekspark.operators.common import first_by
 
 # How far years may be apart, and the shortest feature film in minutes.
 YEAR_SLACK, FEATURE_MINUTES = 1, 40
@@ -24,15 +23,17 @@ def match_records(movies: DataFrame, records: DataFrame, home: str = HOME_NATION
     the home nation among the record's nations; for any other film (one of an unknown
     country too) a record of the home nation alone doesn't fit. Of several the nearest year
     wins, then the first. Records meet movies by an equi-join on a title and a year, of
-    which a record has those at most YEAR_SLACK from its own.
+    which a record has those at most YEAR_SLACK from its own; the best record of each kind stands for all of a title and year.
     """
     m = movies.select("id", F.coalesce("home", F.lit(False)).alias("m_home"), "year", F.explode("variants").alias("title"))
     near = F.array_distinct(F.flatten(F.transform("years", lambda y: F.transform(F.lit([*range(-YEAR_SLACK, YEAR_SLACK + 1)]), lambda d: (y + d).cast("int")))))
     r = records.where(F.coalesce("runtime", F.lit(FEATURE_MINUTES)) >= FEATURE_MINUTES).select("record_id", "pos", "years", F.coalesce(F.array_contains("nations", home), F.lit(False)).alias("has"), F.coalesce(F.col("nations") == F.array(F.lit(home)), F.lit(False)).alias("alone"), F.explode(near).alias("year"), "variants")
-    r = r.withColumn("title", F.explode("variants")).drop("variants")
-    fit = m.join(r, ["title", "year"]).where(F.when(F.col("m_home"), F.col("has")).otherwise(~F.col("alone")))
-    fit = fit.withColumn("year_diff", F.array_min(F.transform("years", lambda y: F.abs(y - F.col("year")))))
-    return first_by(fit, ["id"], F.col("year_diff"), F.col("pos")).select("id", "record_id", "year_diff")
+    away = F.array_min(F.transform("years", lambda y: F.abs(y - F.col("year"))))
+    r = r.select(F.explode("variants").alias("title"), "year", "has", "alone", away.alias("year_diff"), "pos", "record_id")
+    # All that a movie can tell records of one title and year apart by: the best of each kind, so a title of many records meets few rows.
+    best = r.groupBy("title", "year", "has", "alone").agg(F.min(F.struct("year_diff", "pos", "record_id")).alias("r"))
+    fit = m.join(best, ["title", "year"]).where(F.when(F.col("m_home"), F.col("has")).otherwise(~F.col("alone")))
+    return fit.groupBy("id").agg(F.min("r").alias("r")).select("id", "r.record_id", "r.year_diff")
 
 
 def match_titles(rows: DataFrame, movies: DataFrame) -> DataFrame:

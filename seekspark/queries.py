@@ -16,7 +16,7 @@ from seekspark.functions import text as X
 from seekspark.functions.dictionary import Dictionary
 from seekspark.functions.hashing import murmur3, with_term_ids
 from seekspark.operators import clarify, dedup, filters, index, metrics, quality, rank, report, resolve
-from seekspark.operators.common import numbered, ranked
+from seekspark.operators.common import placed, ranked
 from seekspark.operators.dense import dense_branch
 from seekspark.plans import search as S
 from seekspark.plans import variants
@@ -466,7 +466,7 @@ _METRICS = "round(coalesce(avg(case when rank = 1 then 1.0 else 0 end), 0), 6) r
 def _results(spark: SparkSession, d: str) -> DataFrame:
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     predicted = index.sparse_branch(_index(spark, d, _items), q, key="item_id", limit=metrics.SEARCH_DEPTH).withColumnRenamed("item_id", "id")
-    truth = metrics.containing(_t(spark, d, "documents").select("doc_id", "text"), q).select("query_id", F.col("doc_id").alias("answer_id"), F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("dataset"))
+    truth = metrics.containing(_items(spark, d), q, _index(spark, d, _items), key="item_id").withColumnRenamed("item_id", "doc_id").select("query_id", F.col("doc_id").alias("answer_id"), F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("dataset"))
     return metrics.ranks_of(predicted, truth)
 
 
@@ -654,9 +654,19 @@ def fuzzy_year_match(spark, d):
 # ---- quality -------------------------------------------------------------------------
 
 
-@query("select item_id, case when length(text) between 40 and 120 then 'hangul' else 'length,hangul' end problems from (select doc_id item_id, text from documents union all select item_id, text from benchmark where false)")
+_CAPTIONS = "c as (select doc_id scene_id, substr(source, 4)::bigint movie_id, case when doc_id % 3 = 0 then '한 장면: ' else '' end || substr(text, 1 + doc_id % 90, 20 + doc_id % 120) text from documents)"
+
+
+@query(rf"""with {_CAPTIONS}, w as (select movie_id, unnest(list_distinct(w[3:5])) word from (select substr(source, 4)::bigint movie_id, {_TOK.replace('text', 'min_by(text, doc_id)')} w from documents group by source)),
+hit as (select distinct scene_id from c join w using (movie_id) where regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])' || word || '($|[^a-zA-Z])'))
+select scene_id, concat_ws(',', case when length(text) not between 40 and 120 then 'length' end, case when not regexp_matches(text, '[가-힣]') then 'hangul' end, case when scene_id in (select scene_id from hit) then 'forbidden' end) problems from c""")
 def caption_problems(spark, d):
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.array_join(quality.caption_problems(F.col("text")), ",").alias("problems"))
+    """Parts of texts as captions: some too short or too long, some with Hangul, some with giveaway words of their movie."""
+    k = F.col("item_id")
+    captions = _items(spark, d).select(k.alias("scene_id"), "movie_id", F.concat(F.when(k % 3 == 0, "한 장면: ").otherwise(""), F.substr("text", (1 + k % 90).cast("int"), (20 + k % 120).cast("int"))).alias("text"))
+    words = _plots(spark, d).select("movie_id", F.explode(F.array_distinct(F.slice(X.tokens(F.col("text")), 3, 3))).alias("word"))
+    rows = captions.join(quality.forbidden_hits(captions, words), "scene_id", "left")
+    return rows.select("scene_id", F.array_join(quality.caption_problems(F.col("text"), F.col("words")), ",").alias("problems"))
 
 
 @query(rf"""with w as (select movie_id, unnest(list_distinct(w[3:5])) word from (select substr(source, 4)::bigint movie_id, {_TOK.replace('text', 'min_by(text, doc_id)')} w from documents group by source))
@@ -772,8 +782,8 @@ s as (select p, round_even(p * k::double / (k + m), 0)::bigint j, round_even((p
 select 'home' kind, s_suppkey::bigint id, p::bigint place from s join (select s_suppkey, row_number() over (order by s_suppkey) pos from supplier) on pos = j where j > i
 union all select 'other', n_nationkey::bigint, p::bigint from s join (select n_nationkey, row_number() over (order by n_nationkey) pos from nation) on pos = p - j where j = i""")
 def interleave_ratio(spark, d):
-    placed = lambda name, key: numbered(_t(spark, d, name).select(F.col(key).cast("long").alias("id")), "id")
-    home, other = placed("supplier", "s_suppkey"), placed("nation", "n_nationkey")
+    own = lambda name, key: placed(_t(spark, d, name).select(F.col(key).cast("long").alias("id")), "id", name="pos")
+    home, other = own("supplier", "s_suppkey"), own("nation", "n_nationkey")
     out = resolve.interleaved(home.select("id", "pos"), other.select(F.concat(F.lit("n"), "id").alias("id"), "pos"))
     return out.select(F.when(F.startswith("id", F.lit("n")), "other").otherwise("home").alias("kind"), F.regexp_replace("id", "n", "").cast("long").alias("id"), "place")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from seekspark import schema
 from seekspark.functions import text as X
 from seekspark.operators import clarify, dedup, quality, report, resolve
-from seekspark.operators.common import hash_rank
+from seekspark.operators.common import placed
 from seekspark.plans import agent, variants
 from seekspark.queries import _HYBRID_SQL, _t, hybrid_candidates, query_registry
 from seekspark.sources import tables
@@ -94,10 +94,18 @@ def query_from_caption(spark, d):
     return _rewrites(spark, d).where("caption is not null").select("k", out["scene_ko"].alias("scene"), F.array_join(out["keywords_ko"], ",").alias("keywords"))
 
 
-@query(r"""with t as (select item_id, list_distinct(list_filter(string_split_regex(text, '[\s,.!?~·]+'), lambda x: length(x) >= 2)) w from benchmark)
-select item_id, len(t.w)::bigint n from t""")
+_MARKED = (("에서", 1), ("은", 2), ("으로는", 3), ("이랑", 4), ("", 5))
+
+
+@query(r"""with w as (select item_id, regexp_extract_all(text, '\p{L}+')[1:5] w from benchmark),
+p as (select item_id, list_transform(list_zip(w, ['에서', '은', '으로는', '이랑', '']), lambda z: case when length(z[1]) >= 2 then z[1] else z[1] || z[2] end) terms from w where len(w) = 5)
+select item_id, array_to_string(list_sort(list_distinct(list_filter(terms, lambda x: length(x) >= 2))), ' ') terms from p""")
 def marked_terms(spark, d):
-    return _t(spark, d, "benchmark").select("item_id", F.size(X.query_terms(F.col("text"))).cast("long").alias("n"))
+    """The first words of each item with particles at their ends, between words that nearly every query has."""
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)), 1, 5)
+    rows = _t(spark, d, "benchmark").select("item_id", words.alias("w")).where("size(w) = 5")
+    said = F.concat_ws(" ", F.lit("영화 장면,"), *(F.concat(F.get("w", F.lit(k - 1)), F.lit(p)) for p, k in _MARKED), F.lit("그리고 나오던... 장면에서"))
+    return rows.select("item_id", F.array_join(F.array_sort(X.query_terms(said)), " ").alias("terms"))
 
 
 @query("select p_partkey, (length(p_name) - length(replace(p_name, split_part(p_name, ' ', 1), ''))) // length(split_part(p_name, ' ', 1)) n_marked, md5(p_name) whole from part")
@@ -244,10 +252,9 @@ def runs_of_experiment(spark, d):
 
 @query("with r as (select event_id id, case when event_id % 4 <> 0 then event_id % 9 end rank from events) select id, row_number() over (order by coalesce(rank, 999) desc, id desc) place from r")
 def failed_first(spark, d):
-    """The order as a number, counted in the report's order."""
+    """The report's order as a number."""
     rows = report.failed_first(_t(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 9).alias("rank")))
-    keyed = rows.withColumn("last", -F.col("id")).withColumn("range", F.struct(-F.coalesce("rank", F.lit(999)), F.floor(F.col("last") / 4096)))
-    return hash_rank(keyed, "range", "last", name="place").select("id", "place")
+    return placed(rows, F.desc(F.coalesce("rank", F.lit(999))), F.desc("id"), name="place").select("id", "place")
 
 
 @query(r"with n as (select distinct substr(source, 1, 3) || (substr(source, 4)::bigint * 7 % 13) as name from documents) select name, row_number() over (order by regexp_extract(name, '^(\D*)', 1), regexp_extract(name, '^\D*(\d+)', 1)::bigint, name) place from n")
