@@ -463,11 +463,16 @@ _RESULTS_SQL = f"{_bm25_sql(_DOCS_SQL, 'select item_id query_id, text from bench
 _METRICS = "round(coalesce(avg(case when rank = 1 then 1.0 else 0 end), 0), 6) recall_at_1, round(coalesce(avg(case when rank <= 5 then 1.0 else 0 end), 0), 6) recall_at_5, round(coalesce(avg(coalesce(1.0::double / rank, 0)), 0), 6) mrr"
 
 
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = metrics.containing(_items(spark, d), q, _index(spark, d, _items), key="item_id")
+    return found.select("query_id", F.col("item_id").alias("answer_id"), F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("dataset"))
+
+
 def _results(spark: SparkSession, d: str) -> DataFrame:
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     predicted = index.sparse_branch(_index(spark, d, _items), q, key="item_id", limit=metrics.SEARCH_DEPTH).withColumnRenamed("item_id", "id")
-    truth = metrics.containing(_items(spark, d), q, _index(spark, d, _items), key="item_id").withColumnRenamed("item_id", "doc_id").select("query_id", F.col("doc_id").alias("answer_id"), F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("dataset"))
-    return metrics.ranks_of(predicted, truth)
+    return metrics.ranks_of(predicted, _truth(spark, d))
 
 
 @query(f"with {_RESULTS_SQL} select count(*)::bigint n, {_METRICS} from res")

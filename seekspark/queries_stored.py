@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekspark.operators import filters, index, report
-from seekspark.queries import _ATTRS_SQL, _DOCS_SQL, _QUERIES_SQL, HOME, _attrs, _bm25_sql, _index, _items, _queries, _rank_sql, _rounded, _t, query_registry
+from seekspark.plans import evaluation, variants
+from seekspark.plans import search as S
+from seekspark.queries import _ATTRS_SQL, _DENSE_BRANCH_SQL, _DOCS_SQL, _METRICS, _QUERIES_SQL, _SPARSE_SQL, _TRUTH_SQL, HOME, _attrs, _bm25_sql, _index, _items, _queries, _rank_sql, _rounded, _rrf_sql, _scenes, _t, _truth, query_registry
 from seekspark.sources import payload, ranges, versions
 from seekspark.sources.shared import made_folder, materialised
 from seekspark.streaming import windows
@@ -52,6 +54,24 @@ def payload_filter_topk(spark, d):
     return _rounded(index.sparse_branch(_index(spark, d, _items), _queries(spark, d), key="item_id", keep=keep, direct_pairs=0), "score")
 
 
+# ---- configurations ------------------------------------------------------------------
+
+_MODES = ("sparse", "dense", "hybrid")
+
+
+@query(f"""with {_SPARSE_SQL}, {_DENSE_BRANCH_SQL}, {_rrf_sql('sb', limit=50, name='f_sparse')}, {_rrf_sql('db', limit=50, name='f_dense')}, {_rrf_sql('sb', 'db', limit=50, name='f_hybrid')}, {_TRUTH_SQL},
+found as ({" union all ".join(f"select '{m}' as name, query_id, item_id, rank from f_{m}" for m in _MODES)}),
+res as (select c.name, t.query_id, t.dataset, f.rank from truth t cross join (values ('sparse'), ('dense'), ('hybrid')) c(name) left join found f on f.name = c.name and f.query_id = t.query_id and f.item_id = answer_id and f.rank <= 10)
+select 'E1' experiment, name, dataset, count(*)::bigint n, {_METRICS} from res group by grouping sets ((name, dataset), (name))""")
+def evaluated_configs(spark, d):
+    """The modes of search as configurations, evaluated over both datasets."""
+    q, scenes = _queries(spark, d), _scenes(spark, d)
+    truth = materialised(_truth(spark, d), "truth")
+    predict = lambda c: S.search(scenes, q, mode=c.mode).withColumnRenamed("item_id", "id")
+    rows = evaluation.evaluate([variants.config_from({"experiment": "E1", "name": m, "mode": m}) for m in _MODES], truth, predict)
+    return _rounded(rows, "recall_at_1", "recall_at_5", "mrr")
+
+
 # ---- runs with a VARIANT -------------------------------------------------------------
 
 _CONFIGS_SQL = """configs as (select event_id id, event_type dataset_version, event_id % 13 = 0 malformed,

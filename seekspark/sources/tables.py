@@ -1,4 +1,4 @@
-"""Readers and writers: explicit schemas, whole-directory commits, versions behind a pointer."""
+"""Readers and writers: explicit schemas, whole-directory commits, versions by manifest."""
 
 from __future__ import annotations
 
@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-_POINTER = "current"
-
+from seekspark.sources import versions as manifests
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -119,33 +118,13 @@ def versions(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(int(m[1]) for m in found if m)
 
 
-def _point(spark: SparkSession, at: str, to: str) -> None:
-    """Puts `to` into the pointer file by a rename: readers see the old pointer or the new one, never none."""
-    fs, new = _fs(spark, f"{at}.new")
-    out = fs.create(new, True)
-    out.write(bytearray(to.encode()))
-    out.close()
-    jvm = spark._jvm
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration()).rename(new, jvm.org.apache.hadoop.fs.Path(at), options)
-
-
 def publish(df: DataFrame, root: str, name: str, *, keep: int = 2) -> str:
-    """Writes the next version, moves the pointer to it, and deletes all but the newest `keep`."""
-    spark = df.sparkSession
-    known = versions(spark, root, name)
-    path = f"{root}/{name}_v{max(known, default=0) + 1}"
-    write_counted(df, path)
-    _point(spark, f"{root}/{name}_{_POINTER}", path)
-    for v in versions(spark, root, name)[:-keep]:
-        fs, p = _fs(spark, f"{root}/{name}_v{v}")
-        fs.delete(p, True)
-    return path
+    """The path of df's version: a new one, or the current one if its rows are the same. See versions.publish."""
+    return manifests.publish(df, root, name, keep=keep).path
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{root}/{name}_{_POINTER}").first()[0])
+    return manifests.current(spark, root, name)
 
 
 def version_plan(names: DataFrame, keep: int = 2) -> DataFrame:
