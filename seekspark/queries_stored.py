@@ -13,7 +13,8 @@ from seekspark.plans import search as S
 from seekspark.queries import _ATTRS_SQL, _DENSE_BRANCH_SQL, _DOCS_SQL, _METRICS, _QUERIES_SQL, _SPARSE_SQL, _TRUTH_SQL, HOME, _attrs, _bm25_sql, _index, _items, _queries, _rank_sql, _rounded, _rrf_sql, _scenes, _t, _truth, query_registry
 from seekspark.sources import payload, ranges, versions
 from seekspark.sources.shared import made_folder, materialised
-from seekspark.streaming import windows
+from seekspark.streaming import stateful, windows
+from seekspark.streaming.sessions import for_each_batch
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -162,3 +163,24 @@ def activity_replayed(spark, d):
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
     windows.replayed(windows.activity(stream), f"{folder}/out", f"{folder}/state")
     return _plain(spark.read.schema("user_id long, start timestamp, finish timestamp, n long, total double").parquet(f"{folder}/out"))
+
+
+@query("""with m as (select conv_id, turn, role, lag(role) over w before, bool_or(role = 'system') over (partition by conv_id) ended from conversations window w as (partition by conv_id order by turn)),
+e as (select *, case when role = 'system' then 'result' when role = 'assistant' then case when not ended then 'question' end when ended or before is distinct from 'assistant' then '409' when conv_id % 5 = 0 then '400' else 'answer' end kind from m)
+select 'c' || conv_id session_id, row_number() over (partition by conv_id order by turn) n, case when kind in ('400', '409') then 'error' else kind end as event,
+       case kind when 'result' then 's|' when 'question' then 't' || turn when 'answer' then 't' || (turn - 1) || '=t' || turn else kind end detail from e where kind is not null""")
+def question_sessions(spark, d):
+    """Conversations as sessions that come in two files: assistants ask, users answer, a system's word ends a session. Open questions are carried from one batch to the next."""
+    folder, c = made_folder(spark, "sessions"), _t(spark, d, "conversations")
+    said = lambda k: F.concat(F.lit("t"), (F.col("turn") + k).cast("string"))
+    asks, ends = F.col("role") == "assistant", F.col("role") == "system"
+    messages = c.select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.col("turn").cast("long").alias("seq"), F.when(asks, "question").when(ends, "result").otherwise("answer").alias("kind"),
+        F.when(asks, said(0)).alias("attr"), F.when(asks, F.array(said(1), F.lit("unknown"))).alias("options"), F.when(ends, "s").when(~asks, F.when(F.col("conv_id") % 5 == 0, "else").otherwise(said(0))).alias("value"),
+    )
+    for part in (messages.where("seq < 2"), messages.where("seq >= 2")):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with stateful.with_rocksdb(spark):
+        for_each_batch(stateful.session_events(stream, 10**9, 10**9), lambda batch: batch, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(stateful.EVENTS).parquet(f"{folder}/out").select("session_id", "n", "event", "detail")
