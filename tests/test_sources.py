@@ -38,8 +38,9 @@ def test_publishing(spark, tmp_path):
         tables.publish(spark.range(n).toDF("x"), root, "scenes", keep=2)
     assert tables.versions(spark, root, "scenes") == [3, 4]
     assert tables.published(spark, root, "scenes").count() == 4
-    pointer = tmp_path / "scenes_current"
-    assert pointer.is_file() and pointer.read_text().endswith("scenes_v4") and not (tmp_path / "scenes_current.new").exists()
+    manifest = tmp_path / "scenes_v4.json"
+    assert manifest.is_file() and '"rows": 4' in manifest.read_text() and not (tmp_path / ".scenes_v4.json").exists()
+    assert tables.publish(spark.range(4).toDF("x"), root, "scenes").endswith("scenes_v4")
 
 
 def test_upsert_takes_a_repeated_key_once(spark):
