@@ -108,6 +108,8 @@ def _vocabulary(docs: DataFrame, size: int) -> DataFrame:
                 seen.update(words or ())
             often = [(w, n) for w, n in seen.items() if n > 1 and len(w) <= LONGEST]
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["word", "n"])
+            del seen, often
+        give_back()
 
     counts = stored(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # The least count at which the words still fit, from a histogram of counts above 10,000 in powers of two.
@@ -202,6 +204,8 @@ def _spell(shared, text_at: int):
         if speller is None:
             words, ends, codes, sizes, pieces = shared.value
             speller = shared.speller = Speller(zip(_cut(words, ends), _cut(codes, 4 * np.cumsum(sizes, dtype=np.int64)), strict=True), pieces)
+            del words, ends, codes, sizes
+            give_back()
         spelled = speller.__getitem__
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
