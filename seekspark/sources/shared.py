@@ -65,7 +65,12 @@ def clear(spark: SparkSession, since: int = 0) -> None:
         discarded_folder(spark, path)
 
 
+#: Bytes a core below which rows are dealt out anew: a table so small may be one row group, which is one task.
+SMALL_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: rows of a table of few files or row groups are dealt out before costly work; one of as many parts as there are cores stays as it is."""
+    """df over all cores before costly work, if by its plan it is small enough for that to be cheap; larger tables have splits enough. Runs nothing."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL_BYTES else df
