@@ -72,5 +72,5 @@ SMALL_BYTES = 64 << 20
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores before costly work, if by its plan it is small enough for that to be cheap; larger tables have splits enough. Runs nothing."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL_BYTES else df
