@@ -158,33 +158,37 @@ class Speller(dict):
 
     def __init__(self, known: Iterable[tuple[bytes, bytes]], pieces: Pieces) -> None:
         super().__init__(known)
-        self.pieces, self.most, self.fallback = pieces, len(self) + REMEMBERED, pieces.fallback
-        # Edges by text, with every beginning of a piece (id -1) so that a walk ends where no piece goes on.
-        self.edges = {p[:n]: (-1, 0.0) for p in pieces.text for n in range(1, len(p))}
-        self.edges |= dict(zip(pieces.text, zip(pieces.ids, pieces.scores, strict=True), strict=True))
+        import ahocorasick
+
+        self.pieces, self.most = pieces, len(self) + REMEMBERED
+        # All pieces in one walk through a word: its edges by their ends, at each the longest first.
+        self.found = ahocorasick.Automaton()
+        for text, i, score in zip(pieces.text, pieces.ids, pieces.scores, strict=True):
+            self.found.add_word(text, (len(text), i, score))
+        self.found.make_automaton()
+        self.chars = {p for p in pieces.text if len(p) == 1}
+
+    def _edges(self, word: str) -> Iterable[tuple[int, tuple[int, int, float]]]:
+        """(index of the last character, (characters, id, score)) by ends, the longest first; characters without a piece have the id -1."""
+        found = self.found.iter(word) if len(self.found) else ()
+        if self.chars.issuperset(word):
+            return found
+        single = [(k, (1, -1, self.pieces.fallback)) for k, c in enumerate(word) if c not in self.chars]
+        return sorted([*found, *single], key=lambda e: (e[0], -e[1][0]))
 
     def __missing__(self, key: bytes) -> bytes:
         word = key.decode().replace(" ", MARK)
-        edge, n = self.edges.get, len(word)
-        score, back = [0.0] + [float("-inf")] * n, [(0, 0)] * (n + 1)
-        for i in range(n):
-            here, single = score[i], False
-            for j in range(i + 1, n + 1):
-                e = edge(word[i:j])
-                if e is None:
-                    break
-                if e[0] >= 0:
-                    single = single or j == i + 1
-                    if here + e[1] > score[j]:  # of equal paths the earlier start, so the longer piece, stands
-                        score[j], back[j] = here + e[1], (i, e[0])
-            if not single and here + self.fallback > score[i + 1]:
-                score[i + 1], back[i + 1] = here + self.fallback, (i, -1)
+        at = len(word) - 1
+        score, back = [float("-inf")] * (at + 1) + [0.0], [(1, -1, 0.0)] * (at + 1)  # by the last character; before the first is index -1, the last entry
+        for end, edge in self._edges(word):
+            s = score[end - edge[0]] + edge[2]
+            if s > score[end]:  # of equal paths the earlier start, so the longer piece, stands
+                score[end], back[end] = s, edge
         ids: list[int] = []
-        j = n
-        while j:
-            i, k = back[j]
-            ids += reversed(self.pieces.spelled(word[i:j])) if k < 0 else (k,)
-            j = i
+        while at >= 0:
+            size, i, _ = back[at]
+            ids += (i,) if i >= 0 else reversed(self.pieces.spelled(word[at]))
+            at -= size
         out = array("i", reversed(ids)).tobytes()
         if len(self) < self.most and len(key) <= LONGEST:
             self[key] = out
