@@ -124,8 +124,12 @@ def _vocabulary(docs: DataFrame, size: int) -> DataFrame:
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, edges): every piece that is a substring of the word, and the byte spelling of characters without one."""
+    """(word, edges): every piece that is a substring of the word, and the byte spelling of characters without one.
+
+    Words are dealt out before they are exploded, so that a word's edges are grouped where they are made: words are shuffled, edges aren't.
+    """
     spark = words.sparkSession
+    words = words.repartition("word")
     table = F.broadcast(spark.createDataFrame(list(zip(pieces.text, pieces.ids, pieces.scores, strict=True)), "sub string, id int, score double"))  # the model's fixed number of pieces
     n = F.char_length("word")
     spans = words.select("word", F.posexplode(F.sequence(F.lit(0), n - 1)).alias("start", "_")).select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))).alias("size"))
