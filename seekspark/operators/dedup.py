@@ -17,6 +17,8 @@ MAX_DISTANCE = 20
 BAND_BITS = 8
 #: Fingerprints of one block; two blocks are compared by one task.
 CELL_ROWS = 2048
+#: Near pairs of a group that one task settles at most.
+TASK_PAIRS = 1_000_000
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -68,26 +70,49 @@ def _compared(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def representatives(rows: DataFrame, max_distance: int = MAX_DISTANCE, *, key: str = "n", group: str = "movie_id", fingerprint: str = "h", save: Callable[[DataFrame], DataFrame] = materialised) -> DataFrame:
+def representatives(rows: DataFrame, max_distance: int = MAX_DISTANCE, *, key: str = "n", group: str = "movie_id", fingerprint: str = "h", save: Callable[[DataFrame], DataFrame] = materialised, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """(group, key) kept when each row, in key order, stays unless it is near one kept before.
 
     The choice depends on order and isn't transitive. Of equal fingerprints the first stands
-    for all. Then rows are settled in rounds of joins over the near pairs: a row stays once
-    every earlier row near it is dropped, and is dropped once one of them stays. Each round
-    settles the first open row of every chain, at least. Null fingerprints take no part.
+    for all. A group of no more than task_pairs near pairs is settled in one pass over them,
+    in a task; larger ones are settled together in rounds of joins, as many as the longest
+    chain of near rows in them. Null fingerprints take no part.
     """
     first = rows.where(F.col(fingerprint).isNotNull()).groupBy(group, fingerprint).agg(F.min(key).alias(key))
     first = save(first)
     pairs = save(near_pairs(first, max_distance, key=key, group=group, fingerprint=fingerprint).select(F.col(group).alias("_g"), "a", "b"))
-    later = pairs.select("_g", F.col("b").alias("k")).distinct()
-    open_pairs, kept = pairs, first.select(F.col(group).alias("_g"), F.col(key).alias("k")).join(later, ["_g", "k"], "left_anti")
-    kept = save(kept)
-    fresh, parts = kept, [kept]
+    large = save(pairs.groupBy("_g").count().where(F.col("count") > task_pairs).select("_g"))
+    all_rows, kinds = first.select(F.col(group).alias("_g"), F.col(key).alias("k")), dict(pairs.dtypes)
+    dropped = pairs.join(large, "_g", "left_anti").groupBy("_g").applyInPandas(_dropped, f"_g {kinds['_g']}, k {kinds['b']}")
+    out = all_rows.join(large, "_g", "left_anti").join(dropped, ["_g", "k"], "left_anti")
+    parts = [] if large.isEmpty() else _in_rounds(all_rows.join(large, "_g", "left_semi"), pairs.join(large, "_g", "left_semi"), save)
+    for p in parts:
+        out = out.unionAll(p)
+    out = save(out.select(F.col("_g").alias(group), F.col("k").alias(key)))
+    discarded(first, pairs, large, *parts)
+    return out
+
+
+def _dropped(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one group that are near a row kept before them: by b, each pair's a is settled when its b is met."""
+    gone: dict = {}
+    pairs = pairs.sort_values("b", kind="stable")
+    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True):
+        if a not in gone:
+            gone[b] = True
+    return pd.DataFrame({"_g": pd.Series([key[0]] * len(gone), dtype=object), "k": pd.Series(list(gone), dtype=pairs["b"].dtype)})
+
+
+def _in_rounds(rows: DataFrame, pairs: DataFrame, save: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """The rows(_g, k) that stay, in parts. In a round a row stays once every earlier row near it is dropped, and is dropped once one of them stays: the first open row of every chain, at least, is settled."""
+    open_pairs = save(pairs)
+    fresh = save(rows.join(open_pairs.select("_g", F.col("b").alias("k")).distinct(), ["_g", "k"], "left_anti"))
+    parts = [fresh]
     while True:
-        dropped = open_pairs.join(fresh.select("_g", F.col("k").alias("a")), ["_g", "a"], "left_semi").select("_g", F.col("b").alias("k")).distinct()
-        dropped = save(dropped)
+        dropped = save(open_pairs.join(fresh.select("_g", F.col("k").alias("a")), ["_g", "a"], "left_semi").select("_g", F.col("b").alias("k")).distinct())
         if dropped.isEmpty():
-            break
+            discarded(dropped, open_pairs)
+            return parts
         # Pairs of dropped rows are settled; rows that only they held back now stay.
         held = open_pairs.join(dropped.select("_g", F.col("k").alias("b")), ["_g", "b"], "left_anti")
         freed = held.join(dropped.select("_g", F.col("k").alias("a")), ["_g", "a"], "left_semi").select("_g", F.col("b").alias("k")).distinct()
@@ -96,12 +121,6 @@ def representatives(rows: DataFrame, max_distance: int = MAX_DISTANCE, *, key: s
         parts.append(fresh)
         discarded(dropped, open_pairs)
         open_pairs = rest
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    out = save(out.select(F.col("_g").alias(group), F.col("k").alias(key)))
-    discarded(first, dropped, open_pairs, *parts)
-    return out
 
 
 def keep_representatives(scenes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

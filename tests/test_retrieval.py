@@ -13,6 +13,7 @@ from seekspark.operators import clarify, dedup, filters, index, metrics, quality
 from seekspark.operators.dense import cosine_pairs, dense_branch
 from seekspark.operators.fuse import branches_of, fuse
 from seekspark.plans import agent, evaluation, search, variants
+from seekspark.sources.shared import materialised
 
 ATTRS = "movie_id long, decade string, country string, genres array<string>, is_animation boolean"
 
@@ -214,10 +215,10 @@ def greedy(hashes, most):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.integers(-(2**63), 2**63 - 1) | st.integers(0, 4095), max_size=25), st.integers(0, 40))
-def test_greedy_choice(spark, hashes, most):
+@given(st.lists(st.integers(-(2**63), 2**63 - 1) | st.integers(0, 4095), max_size=25), st.integers(0, 40), st.sampled_from([0, 5, dedup.TASK_PAIRS]))
+def test_greedy_choice(spark, hashes, most, task_pairs):
     df = spark.createDataFrame([(1, k, h) for k, h in enumerate(hashes)], "movie_id long, n long, h long")
-    assert sorted(r.n for r in dedup.representatives(df, most).collect()) == greedy(hashes, most)
+    assert sorted(r.n for r in dedup.representatives(df, most, task_pairs=task_pairs).collect()) == greedy(hashes, most)
     near = {(r.a, r.b) for r in dedup.near_pairs(df, most).collect()}
     assert near == {(a, b) for a in range(len(hashes)) for b in range(a + 1, len(hashes)) if bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1") <= most}
 
@@ -303,8 +304,25 @@ def test_near_pairs_of_blocks(spark, most, monkeypatch):
     df = spark.createDataFrame([(k % 2, k, h) for k, h in enumerate(signed)] + [(0, 999, None)], "movie_id long, n long, h long")
     want = {(a, b) for a in range(80) for b in range(a + 1, 80) if a % 2 == b % 2 and bin(hashes[a] ^ hashes[b]).count("1") <= most}
     assert {(r.a, r.b) for r in dedup.near_pairs(df, most).collect()} == want
-    kept = {r.n for r in dedup.representatives(df, most).collect()}
-    assert kept == {2 * k + m for m in (0, 1) for k in greedy(signed[m::2], most)}
+    few = sum(a % 2 for a, _ in want)  # the odd rows' pairs; where the even rows have more, one group is settled in a task and one in rounds
+    for task_pairs in (0, few, dedup.TASK_PAIRS):
+        kept = {r.n for r in dedup.representatives(df, most, task_pairs=task_pairs).collect()}
+        assert kept == {2 * k + m for m in (0, 1) for k in greedy(signed[m::2], most)}
+
+
+def test_a_chain_is_settled_without_rounds(spark):
+    saved = []
+
+    def save(df, name="rows"):
+        saved.append(1)
+        return materialised(df, name)
+
+    # Each fingerprint is near the one before it only: every second stays, whichever way it is settled.
+    chain = [(1, k, (1 << k + 1) - 1) for k in range(12)]
+    df = spark.createDataFrame(chain, "movie_id long, n long, h long")
+    assert sorted(r.n for r in dedup.representatives(df, 1, save=save).collect()) == list(range(0, 12, 2))
+    assert len(saved) == 4
+    assert sorted(r.n for r in dedup.representatives(df, 1, task_pairs=10).collect()) == list(range(0, 12, 2))
 
 
 def test_texts_that_contain_passages(spark):
