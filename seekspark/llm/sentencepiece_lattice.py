@@ -32,6 +32,8 @@ MARK = "▁"
 VOCABULARY, LONGEST = 300_000, 64
 #: What a character without a piece scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
+#: Words whose edges one task groups, about.
+LATTICE_WORDS = 10_000
 #: Words that a task remembers besides the vocabulary.
 REMEMBERED = 50_000
 
@@ -123,13 +125,13 @@ def _vocabulary(docs: DataFrame, size: int) -> DataFrame:
     return counts.where(F.col("n") >= least).select(F.replace("word", F.lit(" "), F.lit(MARK)).alias("word"))
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+def lattice(words: DataFrame, pieces: Pieces, *, size: int = VOCABULARY) -> DataFrame:
     """(word, edges): every piece that is a substring of the word, and the byte spelling of characters without one.
 
-    Words are dealt out before they are exploded, so that a word's edges are grouped where they are made: words are shuffled, edges aren't.
+    Words, size of them at most, are dealt out before they are exploded, so that a word's edges are grouped where they are made: words are shuffled, edges aren't.
     """
     spark = words.sparkSession
-    words = words.repartition("word")
+    words = words.repartition(-(-size // LATTICE_WORDS), "word")
     table = F.broadcast(spark.createDataFrame(list(zip(pieces.text, pieces.ids, pieces.scores, strict=True)), "sub string, id int, score double"))  # the model's fixed number of pieces
     n = F.char_length("word")
     spans = words.select("word", F.posexplode(F.sequence(F.lit(0), n - 1)).alias("start", "_")).select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))).alias("size"))
@@ -236,7 +238,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, vocabulary: int = VOCABULARY) ->
     """
     name = fresh_name(docs, "ids")
     vocab = _vocabulary(docs, vocabulary)
-    edges = stored(lattice(vocab, pieces), "lattice")
+    edges = stored(lattice(vocab, pieces, size=max(1, vocabulary)), "lattice")
     spelled = edges.select("word", viterbi(F.col("edges"), F.char_length("word")).alias("ids")).toArrow()  # vocabulary rows at most
     ids = spelled.column("ids").combine_chunks()
     words = spelled.column("word").combine_chunks()
