@@ -1096,3 +1096,22 @@ def test_vectors_whose_scores_could_leave_a_long_take_no_part(spark):
     got = vector_search.top_k(spark.createDataFrame(rows, VEC), F.col("vec_id") % 50 == 0, k=3).collect()
     assert {r.vec_id for r in got} == {0, 2, 3, 50}
     assert {(r.query_id, r.vec_id): r.score for r in got}[50, 3] == 2**30 * 3 * 2**29 - 2**30 * 256
+
+
+def test_top_k_broadcasts_no_visits(spark, monkeypatch):
+    """Queries visit most annuli when vectors are spread out; groups of annuli get each query once, by a shuffle."""
+    monkeypatch.setattr(vector_search, "GROUPS", 4, raising=False)
+    monkeypatch.setattr(vector_search, "HITS", 64, raising=False)
+    rng = np.random.default_rng(5)
+    v = [(k, rng.normal(size=6).tolist()) for k in range(400)]
+    v += [(1000 + k, v[k % 3][1]) for k in range(60)]
+    df = vector_search.top_k(spark.createDataFrame(v, VEC), F.col("vec_id") % 50 == 0, block_rows=8, pivots=3)
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, x in enumerate(lines):
+        below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+        assert "BroadcastExchange" not in x or not any("MapInArrow" in y for y in lines[i:below])
+    x = {k: np.floor(256 * np.array(c)).astype(int) for k, c in v}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in df.collect()}
+    want = {(q, i + 1): (k, -s) for q in x if q % 50 == 0 for i, (s, k) in enumerate(sorted((-int(x[q] @ y), k) for k, y in x.items() if k != q)[:5])}
+    assert got == want
