@@ -132,6 +132,22 @@ def statistics(docs: DataFrame, text: str = "text", tokenizer: str | Tokenizer =
     return total.select("n_docs", (F.col("total").cast("double") / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
 
 
+def term_frequencies(docs: DataFrame, text: str = "text", tokenizer: str | Tokenizer = "word") -> DataFrame:
+    """(term, df) of a collection that has no stored index: counted where the documents are read, so that a task sends each of its terms once."""
+    return spread(docs.select(text)).select(F.explode(F.array_distinct(cut(tokenizer, F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def total_weights(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | Tokenizer = "word") -> DataFrame:
+    """(key, n_terms, total): the number and the sum of each document's weights (see document_weights), for documents with a token.
+
+    Nothing is stored or exploded: documents are cut once for the average length, and once for their weights.
+    """
+    avgdl = F.lit(statistics(docs, text, tokenizer).first().avgdl)
+    weighed = F.aggregate("terms", F.lit(0.0), lambda total, x: total + bm25_weight(x["tf"], F.col("dl"), avgdl))
+    rows = forward(spread(docs.select(key, text)), key, text, tokenizer).where(F.size("terms") > 0)
+    return rows.select(key, F.size("terms").cast("long").alias("n_terms"), weighed.alias("total"))
+
+
 def document_frequency(postings: DataFrame) -> DataFrame:
     """(term, df) of postings, which have a row for each document and term. A stored index has them in its terms."""
     return postings.groupBy("term").agg(F.count("*").alias("df"))

@@ -193,3 +193,16 @@ def test_terms_that_share_an_id_are_one(spark):
     got = {(r.doc_id, r.term_id): (r.tf, r.dl) for r in with_term_ids(index.postings(docs)).collect()}
     shared = murmur(pair[0].encode())
     assert got == {(1, shared): (3, 4), (1, murmur(b"other")): (1, 4), (2, shared): (1, 1)}
+
+
+def test_frequencies_and_weights_need_no_stored_index(spark, sf, monkeypatch):
+    """Queries on whole documents and on vectors alone neither build nor write an index."""
+    from seekspark import queries as Q
+
+    def none(*a, **k):
+        raise AssertionError("an index is built")
+
+    monkeypatch.setattr(Q, "_INDEXES", {})
+    monkeypatch.setattr(index, "build", none)
+    for name in ("term_df", "bm25_doc_weights", "rrf_dense_only"):
+        assert Q.queries()[name](spark, sf).count()
