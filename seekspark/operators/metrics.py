@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from seekspark.functions.text import tokens
 from seekspark.operators.index import BROADCAST_TERMS, Index, asked, build, read_blocks
-from seekspark.sources.shared import materialised
+from seekspark.sources.shared import materialised, spread
 
 # The metrics that every report has, and how many ranks count.
 SEARCH_DEPTH, AGENT_DEPTH = 10, 5
@@ -20,8 +20,8 @@ def ranks_of(predictions: DataFrame, truth: DataFrame, depth: int = SEARCH_DEPTH
     return truth.join(found, ["query_id", "answer_id"], "left")
 
 
-#: Passages without an inner word that one pass over the documents looks for.
-SHORT_PASSAGES = 10_000
+#: Passages (those without an inner word, or all where there is no index) that one pass over the documents looks for, and characters of all of them up to which no index is made.
+SHORT_PASSAGES, SCANNED_CHARS = 10_000, 1 << 22
 
 
 def containing(docs: DataFrame, passages: DataFrame, index: Index | None = None, *, key: str = "doc_id", passage_key: str = "query_id") -> DataFrame:
@@ -29,13 +29,18 @@ def containing(docs: DataFrame, passages: DataFrame, index: Index | None = None,
 
     A text that contains a passage has the passage's inner words (but the first and last,
     which may be parts of words there). Of each passage the rarest inner word is looked up in the
-    index of docs by words (made here, unless it is given), and the documents that have it are
-    compared whole. Passages without an inner word are looked for in all documents, many in one pass.
-    Empty and null passages are in nothing.
+    index of docs by words, and the documents that have it are compared whole. Passages without an inner
+    word are looked for in all documents, many in one pass. Without an index, one pass looks for all passages
+    (SHORT_PASSAGES and SCANNED_CHARS at most; for more an index is made here). Empty and null passages are in nothing.
     """
-    own = index if index is not None and index.tokenizer == "word" else build(docs, key)
     words = tokens(F.col("text"))
     cut = passages.where("text != ''").select(passage_key, F.col("text").alias("_passage"), F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))).alias("_inner"))
+    own = index if index is not None and index.tokenizer == "word" else None
+    if own is None:
+        n, chars = cut.agg(F.count("*"), F.coalesce(F.sum(F.length("_passage")), F.lit(0))).first()
+        if n <= SHORT_PASSAGES and chars <= SCANNED_CHARS:
+            return _walked(docs, F.broadcast(cut.select(passage_key, "_passage")), key, passage_key)
+        own = build(docs, key)
     inner = cut.where(F.size("_inner") > 0).select(passage_key, F.array_join(F.array_distinct("_inner"), " ").alias("text"))
     terms = asked(own, inner, passage_key)
     rarest = terms.rows.groupBy(passage_key).agg(F.count("*").alias("_found"), F.min_by("term", F.struct("df", "term")).alias("term"))
@@ -51,13 +56,17 @@ def containing(docs: DataFrame, passages: DataFrame, index: Index | None = None,
     parts = -(-k // SHORT_PASSAGES)
     short = materialised(short.withColumn("_part", F.pmod(F.xxhash64("_passage"), F.lit(parts))), "short")
     for part in range(parts):
-        rows = short.where(F.col("_part") == part)
-        texts = [r[0] for r in rows.select("_passage").distinct().collect()]  # about SHORT_PASSAGES
-        hits = docs.select(key, "text").mapInArrow(_with_any(texts), T.StructType([docs.schema[key], T.StructField("_passage", T.StringType())]))
-        found = found.unionAll(hits.join(rows, "_passage").select(passage_key, key))
+        found = found.unionAll(_walked(docs, short.where(F.col("_part") == part), key, passage_key))
     return found
 
 
+def _walked(docs: DataFrame, passages: DataFrame, key: str, passage_key: str) -> DataFrame:
+    """(passage_key, key) of passages(passage_key, _passage), about SHORT_PASSAGES, looked for in every document."""
+    texts = [r[0] for r in passages.select("_passage").distinct().collect()]
+    hits = spread(docs.select(key, "text")).mapInArrow(_with_any(texts), T.StructType([docs.schema[key], T.StructField("_passage", T.StringType())]))
+    return hits.join(passages, "_passage").select(passage_key, key)
+
+
 def _with_any(texts: list[str]):
     """Rows (key, text) to (key, passage) for each of the texts that the text contains: one walk through it for all, by a trie with links back."""
 
@@ -72,7 +81,7 @@ def _with_any(texts: list[str]):
         for batch in batches:
             keys, found = [], []
             for at, text in enumerate(batch.column(1).to_pylist()):
-                own = {t for _, t in trie.iter(text)} if text else ()
+                own = {t for _, t in trie.iter(text)} if text and texts else ()
                 keys += [at] * len(own)
                 found += own
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(found, pa.string())], names=[batch.schema.names[0], "_passage"])

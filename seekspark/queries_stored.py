@@ -65,10 +65,11 @@ found as ({" union all ".join(f"select '{m}' as name, query_id, item_id, rank fr
 res as (select c.name, t.query_id, t.dataset, f.rank from truth t cross join (values ('sparse'), ('dense'), ('hybrid')) c(name) left join found f on f.name = c.name and f.query_id = t.query_id and f.item_id = answer_id and f.rank <= 10)
 select 'E1' experiment, name, dataset, count(*)::bigint n, {_METRICS} from res group by grouping sets ((name, dataset), (name))""")
 def evaluated_configs(spark, d):
-    """The modes of search as configurations, evaluated over both datasets."""
-    q, scenes = _queries(spark, d), _scenes(spark, d)
+    """The modes of search as configurations, evaluated over both datasets; modes share branches, so each branch is searched once."""
+    scenes = _scenes(spark, d)
     truth = materialised(_truth(spark, d), "truth")
-    predict = lambda c: S.search(scenes, q, mode=c.mode).withColumnRenamed("item_id", "id")
+    found = {name: materialised(b, name) for name, b in S.branches(scenes, _queries(spark, d)).items()}
+    predict = lambda c: S.fused(scenes, found, c.mode).withColumnRenamed("item_id", "id")
     rows = evaluation.evaluate([variants.config_from({"experiment": "E1", "name": m, "mode": m}) for m in _MODES], truth, predict)
     return _rounded(rows, "recall_at_1", "recall_at_5", "mrr")
 

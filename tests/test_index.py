@@ -223,3 +223,37 @@ def test_a_scan_finds_what_the_index_finds(spark, sf, monkeypatch):
     monkeypatch.setattr(index, "build", None)
     monkeypatch.setattr(Q, "_INDEXES", {})
     assert Q.queries()["hard_filter_topk"](spark, sf).count()
+
+
+def test_searches_by_few_queries_build_no_index_and_search_a_branch_once(spark, sf, monkeypatch):
+    """evaluated_configs has three modes of two branches; it and the other searches by the benchmark's texts need no index."""
+    from seekspark import queries as Q
+    from seekspark import queries_stored
+    from seekspark.operators import metrics, scan
+
+    def none(*a, **k):
+        raise AssertionError("an index is built")
+
+    def noted(module, name):
+        f = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **k: calls.append(name) or f(*a, **k))
+
+    calls = []
+    monkeypatch.setattr(Q, "_INDEXES", {})
+    for module in (index, metrics, scan, search):
+        monkeypatch.setattr(module, "build", none)
+    noted(search, "scanned_branch")
+    noted(search, "dense_branch")
+    assert queries_stored.queries()["evaluated_configs"](spark, sf).count() == 9
+    assert sorted(calls) == ["dense_branch", "scanned_branch"]
+    for name in ("bm25_topk", "rrf_hybrid", "movie_aggregate", "hybrid_movies", "eval_metrics"):
+        assert Q.queries()[name](spark, sf).count()
+
+
+def test_a_scan_keeps_a_null_key_and_other_keys_take_an_index(spark):
+    docs = spark.createDataFrame([(None, "red fox"), (5, "red red dog"), (6, "cat"), (7, None)], "item_id long, text string").withColumn("movie_id", F.lit(1))
+    q = spark.createDataFrame([(1, "red fox"), (2, "bird"), (3, None)], "query_id long, text string")
+    found = lambda d, **k: [(r.query_id, r.item_id, r["rank"]) for r in search.search(search.Collection(d, None, 50, **k), q, mode="sparse").orderBy("rank").collect()]
+    assert found(docs) == found(docs, index=index.build(docs, "item_id")) == [(1, None, 1), (1, 5, 2)]
+    named = docs.withColumn("item_id", F.concat(F.lit("s"), F.coalesce("item_id", F.lit(0)).cast("string")))
+    assert found(named) == [(1, "s0", 1), (1, "s5", 2)]

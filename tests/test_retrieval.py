@@ -333,6 +333,23 @@ def test_texts_that_contain_passages(spark):
     assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (5, 1), (5, 2), (5, 3)]
 
 
+def test_passages_are_found_without_an_index_as_with_one(spark, monkeypatch):
+    def none(*a, **k):
+        raise AssertionError("an index is built")
+
+    long = "alpha beta gamma delta epsilon zeta"
+    docs = spark.createDataFrame([(1, f"x {long} y"), (2, f"Xalpha beta gamma delta epsilon zetaY {long} {long}"), (3, "alpha beta gamma delta"), (4, None), (5, ""), (6, long.upper())], "doc_id long, text string")
+    q = spark.createDataFrame([(1, long), (7, long), (2, "beta gam"), (3, ""), (4, None), (5, "beta gamma delta"), (6, "alpha omega delta")], "query_id long, text string")
+    rows = lambda *a: sorted(map(tuple, metrics.containing(*a).collect()))
+    want = rows(docs, q, index.build(docs))
+    assert len(want) == 10
+    with monkeypatch.context() as m:
+        m.setattr(metrics, "build", none)
+        assert rows(docs, q) == want and rows(docs, q.where("query_id in (3, 4)")) == []
+    monkeypatch.setattr(metrics, "SCANNED_CHARS", 10)
+    assert rows(docs, q) == want
+
+
 def test_marked_words(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(X.query_terms(F.lit("기차 안에서 사람들이 좀비를 피해 문을 막고 버티던 장면"))) == ["기차", "사람들", "좀비", "피해", "문을", "막고", "버티던"]
